@@ -17,7 +17,7 @@ HIGHPASS_GAIN = 1.0 / (1.0 + _K)
 HIGHPASS_POLE = (1.0 - _K) / (1.0 + _K)
 
 PITCHES = 12
-_FFT_CELLS = 4_000_000
+_FFT_CELLS = 4_000_000  # cells transformed at a time
 
 
 def dense(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,51 +203,64 @@ def _lag_lines(cross: np.ndarray, long_is_first: np.ndarray, start: np.ndarray,
     return np.take_along_axis(cross, lags, axis=-1) * valid, valid
 
 
-def _chroma_pairs(rows: list[np.ndarray], query: np.ndarray, kind: str) -> np.ndarray:
+class _Candidates:
+    """A run of chroma matrices and their transforms, one per padded size."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.rows = rows
+        self.beats = np.array([r.shape[1] for r in rows])
+        self._lines: dict[int, np.ndarray] = {}
+        self._planes: dict[int, np.ndarray] = {}
+
+    def size_with(self, beats: int) -> int:
+        return 1 << int(np.ceil(np.log2(self.beats.max() + beats)))
+
+    def lines(self, size: int) -> np.ndarray:
+        if size not in self._lines:
+            self._lines[size] = np.fft.rfft(_padded(self.rows, size))
+        return self._lines[size]
+
+    def planes(self, size: int) -> np.ndarray:
+        if size not in self._planes:
+            self._planes[size] = np.fft.rfft2(_padded(self.rows, size), (2 * PITCHES, size))
+        return self._planes[size]
+
+
+def _chroma_pairs(candidates: _Candidates, query: np.ndarray, kind: str) -> np.ndarray:
     lq = query.shape[1]
-    lc = np.array([r.shape[1] for r in rows])
-    size = 1 << int(np.ceil(np.log2(lc.max() + lq)))
-    candidates = _padded(rows, size)
+    lc = candidates.beats
+    n = len(lc)
+    size = candidates.size_with(lq)
     padded_query = _padded([query], size)[0]
     front = lc > lq  # on equal lengths the query goes in front
     longer, shorter = np.maximum(lc, lq), np.minimum(lc, lq)
 
-    if kind == "same":
-        spectrum = np.fft.rfft(candidates) * np.conj(np.fft.rfft(padded_query))
-        cross = np.fft.irfft(spectrum.sum(axis=1), size)
-        start = (shorter - 1) // 2 - (shorter - 1)
-    elif kind == "pitch_row":
-        spectrum = np.fft.rfft(candidates) * np.conj(np.fft.rfft(padded_query))
-        cross = np.fft.irfft(spectrum.sum(axis=1), size)
-        start = shorter // 2 - (shorter - 1)
-    else:
-        tall = 2 * PITCHES
-        shape = (tall, size)
-        spectrum = np.fft.rfft2(candidates, shape) * np.conj(np.fft.rfft2(padded_query, shape))
-        plane = np.fft.irfft2(spectrum, shape)
-        if kind == "same_2d":
-            pitch_lags = np.arange(PITCHES) - (PITCHES - 1) + PITCHES // 2
-            start, length = shorter // 2 - (shorter - 1), longer
-        else:
-            pitch_lags = np.arange(2 * PITCHES - 1) - (PITCHES - 1)
-            start, length = 1 - shorter, longer + shorter - 1
-        best = np.full(len(rows), -np.inf)
-        lines = []
-        for lag in pitch_lags:
-            picked = np.where(front, lag, -lag) % tall
-            line, valid = _lag_lines(plane[np.arange(len(rows)), picked], front, start, length)
-            lines.append((line, valid))
-        peaks = np.stack([np.where(v, x, -np.inf).max(axis=1) for x, v in lines])
-        if kind == "same_2d":
-            return peaks.max(axis=0)
-        top = peaks.argmax(axis=0)
-        line = np.stack([x for x, _ in lines])[top, np.arange(len(rows))]
-        valid = lines[0][1]
+    if kind in ("same", "pitch_row"):
+        spectrum = np.einsum("npk,pk->nk", candidates.lines(size), np.conj(np.fft.rfft(padded_query)))
+        cross = np.fft.irfft(spectrum, size)
+        middle = (shorter - 1) // 2 if kind == "same" else shorter // 2
+        line, valid = _lag_lines(cross, front, middle - (shorter - 1), longer)
+        line = line - line[:, :1]
         return np.where(valid, high_pass(line), -np.inf).max(axis=1)
 
-    line, valid = _lag_lines(cross, front, start, longer)
-    line = line - line[:, :1]
-    return np.where(valid, high_pass(line), -np.inf).max(axis=1)
+    shape = (2 * PITCHES, size)
+    plane = np.fft.irfft2(candidates.planes(size) * np.conj(np.fft.rfft2(padded_query, shape)), shape)
+    if kind == "same_2d":
+        pitch_lags = np.arange(PITCHES) - (PITCHES - 1) + PITCHES // 2
+        start, length = shorter // 2 - (shorter - 1), longer
+    else:
+        pitch_lags = np.arange(2 * PITCHES - 1) - (PITCHES - 1)
+        start, length = 1 - shorter, longer + shorter - 1
+    lines = []
+    for lag in pitch_lags:
+        picked = np.where(front, lag, -lag) % (2 * PITCHES)
+        line, valid = _lag_lines(plane[np.arange(n), picked], front, start, length)
+        lines.append(line)
+    peaks = np.stack([np.where(valid, line, -np.inf).max(axis=1) for line in lines])
+    if kind == "same_2d":
+        return peaks.max(axis=0)
+    top = np.stack(lines)[peaks.argmax(axis=0), np.arange(n)]
+    return np.where(valid, high_pass(top), -np.inf).max(axis=1)
 
 
 def _as_matrix(flat: np.ndarray, beats_first: bool) -> np.ndarray:
@@ -260,16 +273,17 @@ def _chroma_block(column: pa.Array, queries, kind: str, beats_first: bool) -> np
     index = np.array([i for i, r in enumerate(rows) if r is not None], dtype=int)
     # candidates of like length share a transform of one size
     index = index[np.argsort([len(rows[i]) for i in index], kind="stable")]
-    for j, flat in enumerate(queries):
-        query = _as_matrix(np.asarray(flat, dtype=np.float64), beats_first)
-        at = 0
-        while at < len(index):
-            span = len(rows[index[min(len(index), at + 256) - 1]]) + 2 * query.size
-            step = max(1, min(256, _FFT_CELLS // (span * (2 * PITCHES if "2d" in kind else 1))))
-            part = index[at : at + step]
-            matrices = [_as_matrix(rows[i], beats_first) for i in part]
-            out[part, j] = _chroma_pairs(matrices, query, kind)
-            at += step
+    matrices = [_as_matrix(np.asarray(q, dtype=np.float64), beats_first) for q in queries]
+    widest = max((m.shape[1] for m in matrices), default=1)
+    at = 0
+    while at < len(index):
+        longest = len(rows[index[min(len(index), at + 512) - 1]]) // PITCHES
+        cells = 4 * PITCHES * (longest + widest) * (1 if kind in ("same", "pitch_row") else 2)
+        part = index[at : at + max(1, min(512, _FFT_CELLS // cells))]
+        candidates = _Candidates([_as_matrix(rows[i], beats_first) for i in part])
+        for j, query in enumerate(matrices):
+            out[part, j] = _chroma_pairs(candidates, query, kind)
+        at += len(part)
     return out
 
 

@@ -19,6 +19,10 @@ def matrix_literal(rows: Sequence[Sequence[float]]) -> Column:
     return F.from_json(F.lit(text), "array<array<double>>")
 
 
+def constant_array(values: Sequence, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 

@@ -193,7 +193,7 @@ def _or_infinite(distance: Column) -> Column:
 
 def levenshtein_column(feature: Feature, queries: Sequence[str]) -> Column:
     source = F.col(feature.column)
-    texts = F.array(*[F.lit(q) for q in queries])
+    texts = vectors.constant_array(queries, "string")
     return F.transform(texts, lambda q: _or_infinite(F.levenshtein(source, q)))
 
 
@@ -243,7 +243,7 @@ def distance_rows(
     measured = catalogue.select(
         F.col(id_col).alias("id"), *keep, *[distance_vector(f, batch).alias(f.distance) for f in features]
     )
-    query_ids = F.array(*[F.lit(i).cast(id_type) for i in batch.ids]).alias("query_id")
+    query_ids = vectors.constant_array(batch.ids, id_type.simpleString()).alias("query_id")
     zipped = F.arrays_zip(query_ids, *[F.col(f.distance) for f in features])
     return measured.select("id", *keep, F.inline(zipped)).select(
         "query_id", "id", *keep, *[f.distance for f in features]
@@ -293,7 +293,8 @@ def divergence_status(feature: Feature, batch: QueryBatch) -> Column:
 
 def divergence_diagnostics(catalogue: DataFrame, batch: QueryBatch, feature: Feature) -> DataFrame:
     """How many comparisons of each kind a metric met, per query (accumulators as an aggregate)."""
-    ids = F.array(*[F.lit(i) for i in batch.ids]).alias("query_id")
+    kind = "string" if isinstance(batch.ids[0], str) else "bigint"
+    ids = vectors.constant_array(batch.ids, kind).alias("query_id")
     states = catalogue.select(divergence_status(feature, batch).alias("status"))
     pairs = states.select(F.inline(F.arrays_zip(ids, F.col("status"))))
     return pairs.groupBy("query_id", "status").agg(F.count("*").alias("n"))

@@ -6,9 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from resona.operators import distances as D
 from resona.operators import ranking, scaling
@@ -139,88 +138,97 @@ class _Best:
         self.scores, self.ids = scores[order], ids[order]
 
 
-def recommend_many(
+def recommend_sets(
     catalogue: DataFrame,
     queries: DataFrame,
     features: Sequence[Feature],
+    sets: dict[str, Sequence[str]],
     k: int,
     scale_mode: str = "after_join",
     id_col: str = "id",
     max_queries: int = 2048,
 ) -> DataFrame:
-    """The k best per query for a long query list: (query_id, rank, id, aggregated).
+    """The k best per query and feature set: (feature_set, query_id, rank, id, aggregated).
 
-    A batch of queries meets each Arrow batch of the catalogue in a NumPy block. Tasks send on
-    only min/max (first pass) and their k best (second pass), never the pairs. Lists beyond one
-    batch take one such scan per batch.
+    Distances and scaling cover all `features`; every set averages its share of the scaled
+    columns, so many sets cost one comparison. A batch of queries meets each Arrow batch of the
+    catalogue in a NumPy block. Tasks send on only min/max (first pass) and their k best (second
+    pass), never the pairs. Query lists beyond one batch take one such scan per batch.
     """
     columns = [f.column for f in features]
     id_type = catalogue.schema[id_col].dataType
     answers = None
     for batch in D.query_batches(queries, columns, id_col, max_queries):
-        part = _recommend_batch(catalogue, batch, features, k, scale_mode, id_col, id_type)
+        part = _rank_batch(catalogue, batch, features, sets, k, scale_mode, id_col, id_type)
         answers = part if answers is None else answers.unionByName(part)
     if answers is None:
-        empty = T.StructType(
-            [
-                T.StructField("query_id", id_type),
-                T.StructField("rank", T.IntegerType()),
-                T.StructField("id", id_type),
-                T.StructField("aggregated", T.DoubleType()),
-            ]
-        )
-        return catalogue.sparkSession.createDataFrame([], empty)
+        key = id_type.simpleString()
+        schema = f"feature_set string, query_id {key}, rank int, id {key}, aggregated double"
+        return catalogue.sparkSession.createDataFrame([], schema)
     return answers
 
 
-def _recommend_batch(catalogue, batch, features, k, scale_mode, id_col, id_type) -> DataFrame:
+def recommend_many(
+    catalogue: DataFrame,
+    queries: DataFrame,
+    features: Sequence[Feature],
+    k: int,
+    scale_mode: str = "after_join",
+    id_col: str = "id",
+    max_queries: int = 2048,
+) -> DataFrame:
+    """The k best per query for a long query list: (query_id, rank, id, aggregated)."""
+    sets = {"all": [f.name for f in features]}
+    ranked = recommend_sets(catalogue, queries, features, sets, k, scale_mode, id_col, max_queries)
+    return ranked.drop("feature_set")
+
+
+def _rank_batch(catalogue, batch, features, sets, k, scale_mode, id_col, id_type) -> DataFrame:
     inputs = _batch_inputs(catalogue, batch, features, id_col)
     low, high = _ranges(inputs, batch, features, scale_mode)
     spread = high - low
     flat = ~(spread > 0)
     spread = np.where(flat, 1.0, spread)
-    text_ids = isinstance(id_type, T.StringType)
-    id_name = id_type.simpleString()
+    place = {f.name: i for i, f in enumerate(features)}
+    members = {name: [place[n] for n in names] for name, names in sets.items()}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = [_Best(k) for _ in batch.ids]
-        bounds = np.full(len(batch), np.inf)
+        leaders = {name: [_Best(k) for _ in batch.ids] for name in members}
+        bounds = {name: np.full(len(batch), np.inf) for name in members}
+        key_type = None
         for ids, block, ok in _blocks(batches, batch, features):
+            key_type = ids.type
             keys = ids.to_numpy(zero_copy_only=False)
-            total = np.zeros(block.shape[1:])
+            complete = ok.all(axis=0)
             for i, f in enumerate(features):
                 with np.errstate(invalid="ignore"):
                     share = (block[i] - low[i]) / spread[i]
                 share = 1.0 - share if f.similarity else share
-                total += np.where(flat[i], 0.0, share) * f.weight
-            total /= len(features)
-            total = np.where(ok.all(axis=0), total, np.inf)
-            within = (total <= bounds) & np.isfinite(total)
-            for j in np.flatnonzero(within.any(axis=0)):
-                near = within[:, j]
-                leaders[j].offer(total[near, j], keys[near])
-                bounds[j] = leaders[j].bound
-        slots, found, scores = [], [], []
-        for j, leader in enumerate(leaders):
-            if leader.ids is not None:
-                slots.append(np.full(len(leader.ids), j, dtype=np.int32))
-                found.append(leader.ids)
-                scores.append(leader.scores)
-        if slots:
-            names = np.concatenate(found)
+                block[i] = np.where(flat[i], 0.0, share) * f.weight
+            for name, picked in members.items():
+                total = np.where(complete, block[picked].sum(axis=0) / len(picked), np.inf)
+                near = (total <= bounds[name]) & np.isfinite(total)
+                for j in np.flatnonzero(near.any(axis=0)):
+                    leader = leaders[name][j]
+                    leader.offer(total[near[:, j], j], keys[near[:, j]])
+                    bounds[name][j] = leader.bound
+        for name, group in leaders.items():
+            filled = [(q, x) for q, x in zip(batch.ids, group) if x.ids is not None]
+            if not filled:
+                continue
+            sizes = [len(x.ids) for _, x in filled]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(slots)),
-                    pa.array(names.tolist() if text_ids else names),
-                    pa.array(np.concatenate(scores)),
+                    pa.array([name] * sum(sizes)),
+                    pa.array([q for (q, _), n in zip(filled, sizes) for _ in range(n)], key_type),
+                    pa.array([i for _, x in filled for i in x.ids.tolist()], key_type),
+                    pa.array(np.concatenate([x.scores for _, x in filled])),
                 ],
-                names=["slot", "id", "aggregated"],
+                names=["feature_set", "query_id", "id", "aggregated"],
             )
 
-    partial = inputs.mapInArrow(best, f"slot int, id {id_name}, aggregated double")
-    window = Window.partitionBy("slot").orderBy("aggregated", "id")
-    placed = partial.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
-    query_ids = F.array(*[F.lit(i).cast(id_type) for i in batch.ids])
-    return placed.select(
-        F.element_at(query_ids, F.col("slot") + 1).alias("query_id"), "rank", "id", "aggregated"
-    )
+    key = id_type.simpleString()
+    schema = f"feature_set string, query_id {key}, id {key}, aggregated double"
+    partial = inputs.mapInArrow(best, schema)
+    ranked = ranking.top_k(partial, k, "aggregated", per=("feature_set", "query_id"))
+    return ranked.select("feature_set", "query_id", "rank", "id", "aggregated")

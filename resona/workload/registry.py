@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval"]
+MODULES = ["retrieval", "evaluation"]
 
 _shipped: set[str] = set()
 
