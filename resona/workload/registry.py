@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval", "evaluation"]
+MODULES = ["retrieval", "evaluation", "construction"]
 
 _shipped: set[str] = set()
 
