@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # fixed values: names of the seven statistics in their order
 SEVEN = ["mean", "var", "skew", "kurtosis", "median", "min", "max"]
 
+# fixed value: relative resolution of a double
+_RESOLUTION = 1e-15
+
 _ACCURACY = 2000
 _MARGIN = 0.002
 
@@ -49,16 +52,18 @@ def _or_zero(column):
 def seven_statistics(df: DataFrame, keys: Sequence[str], value: str, bounded: bool = False) -> DataFrame:
     """mean, population variance, skewness, Pearson kurtosis, median, min and max per group.
 
-    Undefined ones are 0. `bounded` says that groups are small by construction (the frames of
+    Undefined ones are 0, and so are skewness and kurtosis where the variance is rounding noise
+    beside the mean. `bounded` says that groups are small by construction (the frames of
     one segment); their median then comes with the other aggregates.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
+    varies = F.var_pop(v) > F.pow(F.avg(v) * _RESOLUTION, F.lit(2.0))
     aggregates = [
         _or_zero(F.avg(v)).alias("mean"),
         _or_zero(F.var_pop(v)).alias("var"),
-        _or_zero(F.skewness(v)).alias("skew"),
-        _or_zero(F.kurtosis(v) + 3).alias("kurtosis"),
+        F.when(varies, _or_zero(F.skewness(v))).otherwise(0.0).alias("skew"),
+        F.when(varies, _or_zero(F.kurtosis(v) + 3)).otherwise(0.0).alias("kurtosis"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]

@@ -149,8 +149,8 @@ def _seven_finish(keys, source):
     """Skewness and kurtosis from moments about the mean, since engines differ in theirs."""
     moment = "list_sum(list_transform(all_values, lambda x: pow(x - mean, {p}))) / len(all_values)"
     return f"""SELECT {keys}, mean, var,
-    CASE WHEN var > 0 THEN ({moment.format(p=3)}) / pow(var, 1.5) ELSE 0 END AS skew,
-    CASE WHEN var > 0 THEN ({moment.format(p=4)}) / (var * var) ELSE 0 END AS kurtosis, median, min, max FROM {source}"""
+    CASE WHEN var > pow(1e-15 * mean, 2) THEN ({moment.format(p=3)}) / pow(var, 1.5) ELSE 0 END AS skew,
+    CASE WHEN var > pow(1e-15 * mean, 2) THEN ({moment.format(p=4)}) / (var * var) ELSE 0 END AS kurtosis, median, min, max FROM {source}"""
 
 
 def _seven_cte(name, keys, source, value):
@@ -163,19 +163,17 @@ def _round_seven(wrap="round({s}, {d}) AS {s}", digits=4):
 
 
 def _descriptor(spark, sf_dir):
-    """Band rows of a line item table: supplier, month as segment, line number as band."""
-    li = table(spark, sf_dir, "lineitem")
-    month = (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("bigint")
-    return li.select(
+    """Band rows of a line item table: supplier, year as segment, line number as band."""
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("id"),
-        month.alias("segment"),
+        F.year("l_shipdate").cast("bigint").alias("segment"),
         F.col("l_linenumber").alias("band"),
-        F.col("l_quantity").alias("value"),
+        F.sqrt("l_extendedprice").alias("value"),
     )
 
 
-_BAND = """rows_ AS (SELECT l_suppkey AS id, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS segment,
-l_linenumber AS band, l_quantity AS value FROM lineitem)"""
+_BAND = """rows_ AS (SELECT l_suppkey AS id, year(l_shipdate)::BIGINT AS segment,
+l_linenumber AS band, sqrt(l_extendedprice) AS value FROM lineitem)"""
 
 
 def seven_statistics(spark, sf_dir):
@@ -202,14 +200,14 @@ SQL["spectrum_descriptor"] = f"WITH {_BAND}, " + _seven_cte("s", "id, segment, b
 )
 _LONG = " UNION ALL ".join(f"SELECT id, segment, band, '{s}' AS statistic, {s} AS value FROM s" for s in SEVEN)
 QUERIES["temporal_spectrum_descriptor"] = lambda spark, sf_dir: rounded(
-    S.temporal_spectrum_descriptor(_descriptor(spark, sf_dir)), *SEVEN, digits=7
+    S.temporal_spectrum_descriptor(_descriptor(spark, sf_dir)), *SEVEN, digits=6
 )
 SQL["temporal_spectrum_descriptor"] = (
     f"WITH {_BAND}, "
     + _seven_cte("s", "id, segment, band", "rows_", "value")
     + f", long AS ({_LONG}), "
     + _seven_cte("t", "id, band, statistic", "long", "value")
-    + f" SELECT id, band, statistic, {_round_seven(digits=7)} FROM t"
+    + f" SELECT id, band, statistic, {_round_seven(digits=6)} FROM t"
 )
 
 
@@ -223,24 +221,24 @@ def _price_modulation(spark, sf_dir):
         F.col("l_linenumber").alias("band"),
         F.col("l_quantity").cast("int").alias("bin"),
     ]
-    return li.groupBy(*keys).agg((F.sum("l_extendedprice") / 1000).alias("value"))
+    return li.groupBy(*keys).agg(F.sqrt(F.sum("l_extendedprice")).alias("value"))
 
 
 _PRICE = """rows_ AS (SELECT l_suppkey AS id, (year(l_shipdate) * 12 + month(l_shipdate))::BIGINT AS segment,
-l_linenumber AS band, l_quantity::INT AS bin, sum(l_extendedprice) / 1000 AS value FROM lineitem GROUP BY ALL)"""
+l_linenumber AS band, l_quantity::INT AS bin, sqrt(sum(l_extendedprice)) AS value FROM lineitem GROUP BY ALL)"""
 QUERIES["temporal_rhythm_histogram"] = lambda spark, sf_dir: rounded(
-    S.temporal_rhythm_histogram(_price_modulation(spark, sf_dir)), *SEVEN, digits=8
+    S.temporal_rhythm_histogram(_price_modulation(spark, sf_dir)), *SEVEN, digits=6
 )
 SQL["temporal_rhythm_histogram"] = (
     f"WITH {_PRICE}, h AS (SELECT id, segment, bin, sum(value) AS value FROM rows_ GROUP BY ALL), "
     + _seven_cte("s", "id, bin", "h", "value")
-    + f" SELECT id, bin, {_round_seven(digits=8)} FROM s"
+    + f" SELECT id, bin, {_round_seven(digits=6)} FROM s"
 )
 QUERIES["modulation_variance"] = lambda spark, sf_dir: rounded(
-    S.modulation_variance(_price_modulation(spark, sf_dir)), *SEVEN, digits=8
+    S.modulation_variance(_price_modulation(spark, sf_dir)), *SEVEN, digits=6
 )
 SQL["modulation_variance"] = f"WITH {_PRICE}, " + _seven_cte("s", "id, segment, bin", "rows_", "value") + (
-    f" SELECT id, bin, {_round_seven('round(avg({s}), {d}) AS {s}', 8)} FROM s GROUP BY id, bin"
+    f" SELECT id, bin, {_round_seven('round(avg({s}), {d}) AS {s}', 6)} FROM s GROUP BY id, bin"
 )
 
 
@@ -355,7 +353,7 @@ def _beats(spark, sf_dir):
 
 def _frames(spark, sf_dir):
     level = F.floor(F.col("value") * 100).cast("bigint")
-    vec = F.array(*[((level + 37 * k) % 100) / 100.0 for k in range(12)])
+    vec = F.array(*[F.sqrt(((level + 37 * k) % 100) / 100.0) for k in range(12)])
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.expr(_SECOND).alias("frame"), vec.alias("vec"))
 
 
@@ -366,7 +364,7 @@ _SPANS = f"""beats AS (SELECT user_id AS id, {_SECONDS} AS frame FROM events WHE
 spans AS (SELECT id, (row_number() OVER w - 1)::INT AS beat, coalesce(lag(frame) OVER w, 0) AS low, frame AS high FROM beats
     WINDOW w AS (PARTITION BY id ORDER BY frame)),
 frames AS (SELECT user_id AS id, {_SECONDS} AS frame,
-    list_transform(range(0, 12), lambda k: ((floor(value * 100)::BIGINT + 37 * k) % 100) / 100.0::DOUBLE) AS vec FROM events)"""
+    list_transform(range(0, 12), lambda k: sqrt(((floor(value * 100)::BIGINT + 37 * k) % 100) / 100.0::DOUBLE)) AS vec FROM events)"""
 
 QUERIES["beat_segments"] = lambda spark, sf_dir: S.beat_segments(_beats(spark, sf_dir), WIDTH)
 SQL["beat_segments"] = f"WITH {_SPANS} SELECT * FROM spans"
@@ -374,14 +372,14 @@ SQL["beat_segments"] = f"WITH {_SPANS} SELECT * FROM spans"
 
 def beat_chroma(spark, sf_dir):
     out = S.beat_means(_frames(spark, sf_dir), _beats(spark, sf_dir), 12, WIDTH)
-    return rounded(out.select("id", "beat", F.posexplode("vec").alias("pitch", "value")), "value", digits=9)
+    return rounded(out.select("id", "beat", F.posexplode("vec").alias("pitch", "value")), "value", digits=6)
 
 
 QUERIES["beat_chroma"] = beat_chroma
 SQL["beat_chroma"] = f"""WITH {_SPANS}, m AS (SELECT f.id, beat, p, avg(vec[p + 1]) AS v FROM frames f JOIN spans s
 ON f.id = s.id AND f.frame >= low AND f.frame < high, unnest(range(12)) AS u(p) GROUP BY f.id, beat, p),
 t AS (SELECT id, beat, sum(abs(v)) AS norm FROM m GROUP BY id, beat)
-SELECT id, beat, p::INT AS pitch, round(CASE WHEN norm != 0 THEN v / norm ELSE v END, 9) AS value FROM m JOIN t USING (id, beat)"""
+SELECT id, beat, p::INT AS pitch, round(CASE WHEN norm != 0 THEN v / norm ELSE v END, 6) AS value FROM m JOIN t USING (id, beat)"""
 
 
 def beat_notes(spark, sf_dir):
