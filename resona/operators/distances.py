@@ -22,9 +22,11 @@ from resona.functions import kernels, vectors
 MAX_BATCH_QUERIES = 4096
 MAX_BATCH_BYTES = 64 << 20
 
-# Vectors up to this length are compared by JVM expressions, longer ones by NumPy blocks.
+# Vectors and texts up to these lengths, and few queries, are compared by JVM expressions; the
+# rest by NumPy blocks, which pay for the way to Python.
 MAX_EXPRESSION_WIDTH = 128
-MAX_EXPRESSION_QUERIES = 32
+MAX_EXPRESSION_TEXT = 16
+MAX_EXPRESSION_QUERIES = 4
 
 SIMILARITIES = {"chroma", "chroma_2d", "chroma_full", "chroma_row"}
 GAUSSIAN = {"js", "skl"}
@@ -171,8 +173,6 @@ def block_distances(feature: Feature, column: pa.Array, queries: Sequence) -> np
         out = kernels.euclidean_block(trimmed.cast(pa.list_(pa.float64())), q[:, keep])
         out[~good] = np.inf
         return out
-    if feature.metric == "levenshtein":
-        return kernels.dense(column, len(queries))[0]
     return kernels.BLOCKS[feature.metric](column, queries)
 
 
@@ -200,10 +200,10 @@ def levenshtein_column(feature: Feature, queries: Sequence[str]) -> Column:
 def distance_vector(feature: Feature, batch: QueryBatch) -> Column:
     """`array<double>` with the distance to every query of the batch, in its order."""
     queries = batch.of(feature)
-    if feature.metric == "levenshtein":
+    few = len(queries) <= MAX_EXPRESSION_QUERIES
+    if few and feature.metric == "levenshtein" and max(map(len, queries)) <= MAX_EXPRESSION_TEXT:
         return levenshtein_column(feature, queries)
-    short = len(queries) <= MAX_EXPRESSION_QUERIES and len(queries[0]) <= MAX_EXPRESSION_WIDTH
-    if short and feature.metric == "euclidean":
+    if few and feature.metric == "euclidean" and len(queries[0]) <= MAX_EXPRESSION_WIDTH:
         source = vectors.doubles(F.col(feature.column))
         block = vectors.matrix_literal(queries)
         return F.transform(block, lambda q: _or_infinite(vectors.euclidean(source, q)))

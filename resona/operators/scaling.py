@@ -56,6 +56,18 @@ def present_score(features: Sequence[Feature]) -> Column:
     return F.try_divide(total, present)
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """Shuffle the narrow rows once for two readers, so that the wide catalogue is scanned and
+    compared once.
+
+    All columns take part in the hash: then no reader prunes one, and both readers' shuffles
+    are the same. The source partition takes part as well: one id may repeat a lot.
+    """
+    names = rows.columns
+    pieces = rows.withColumn("_piece", F.spark_partition_id())
+    return pieces.repartition("_piece", *names).select(*names)
+
+
 def scale_rows(
     rows: DataFrame, features: Sequence[Feature], scale_mode: str = "after_join", missing: str = "drop"
 ) -> DataFrame:
@@ -70,9 +82,7 @@ def scale_rows(
     own = scale_mode == "before_join" or missing == "keep"
     if not own:
         rows = rows.filter(all_usable(features))
-    # The narrow rows are shuffled once and both readers below share that shuffle, so the wide
-    # catalogue is scanned and compared once. Spread evenly, not by id: one id may repeat a lot.
-    rows = rows.hint("rebalance")
+    rows = _shared(rows)
     ranges = min_max(rows, features, own)
     if own and missing == "drop":
         rows = rows.filter(all_usable(features))

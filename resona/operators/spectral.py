@@ -9,7 +9,6 @@ modulation(id, segment, band, bin, value)
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,24 +79,33 @@ def periodogram(signal: np.ndarray, window: int) -> np.ndarray:
 
 
 def spectrogram(segmented: DataFrame, size: int, window: int, gain: float = HEARING_THRESHOLD) -> DataFrame:
-    """Power spectra per segment; one segment (a fixed number of samples) is one task group."""
-
-    def transform(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        signal = np.zeros(size)
-        signal[rows["offset"].to_numpy()] = rows["value"].to_numpy() * gain
-        power = periodogram(signal, window)
-        return pd.DataFrame(
-            {
-                "id": [key[0]] * len(power),
-                "segment": key[1],
-                "frame": np.arange(len(power), dtype=np.int32),
-                "power": list(power),
-            }
-        )
-
-    kind = segmented.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, segment bigint, frame int, power array<double>"
-    return segmented.groupBy("id", "segment").applyInPandas(transform, schema)
+    """Power spectra per segment; a segment is a fixed number of samples and travels as one row."""
+
+    @F.arrow_udf("array<array<double>>")
+    def spectra(packed: pa.Array) -> pa.Array:
+        cells = packed.flatten()
+        offsets = cells.field("offset").to_numpy(zero_copy_only=False)
+        values = cells.field("value").to_numpy(zero_copy_only=False) * gain
+        ends = np.cumsum(packed.value_lengths().to_numpy(zero_copy_only=False))
+        signals = np.zeros((len(packed), size))
+        row = np.repeat(np.arange(len(packed)), np.diff(np.concatenate([[0], ends])))
+        signals[row, offsets] = values
+        return _nested([periodogram(signal, window) for signal in signals])
+
+    packed = segmented.groupBy("id", "segment").agg(F.collect_list(F.struct("offset", "value")).alias("s"))
+    rows = packed.select("id", "segment", spectra(F.col("s")).alias("p"))
+    return rows.select("id", "segment", F.posexplode("p").alias("frame", "power"))
+
+
+def _nested(matrices: list[np.ndarray]) -> pa.Array:
+    """One list of equally long lists per matrix."""
+    if not matrices:
+        return pa.array([], pa.list_(pa.list_(pa.float64())))
+    width = matrices[0].shape[1]
+    rows = np.concatenate([[0], np.cumsum([len(m) for m in matrices])]).astype(np.int32)
+    inner = np.arange(0, rows[-1] * width + 1, width, dtype=np.int32)
+    values = pa.array(np.concatenate(matrices).ravel())
+    return pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(pa.array(inner), values))
 
 
 def sonogram(
@@ -139,28 +147,36 @@ def mel_bands(power: str, samplerate: float, window: int, bands: int = 80, low:
 
 
 def modulation(sonograms: DataFrame, bins: int = MODULATION_BINS) -> DataFrame:
-    """Magnitudes of the modulation frequencies 1..bins per band, per segment."""
-
-    def transform(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        series = np.stack(rows.sort_values("frame")["bands"].to_numpy()).T
-        size = 1 << int(np.ceil(np.log2(series.shape[1])))
-        if bins >= size:
-            raise ValueError(f"{bins} modulation bins need more than {series.shape[1]} frames")
-        magnitude = np.abs(np.fft.fft(series, size))[:, 1 : bins + 1] / 256
-        count = len(magnitude)
-        return pd.DataFrame(
-            {
-                "id": [key[0]] * (count * bins),
-                "segment": key[1],
-                "band": np.repeat(np.arange(count, dtype=np.int32), bins),
-                "bin": np.tile(np.arange(1, bins + 1, dtype=np.int32), count),
-                "value": magnitude.ravel(),
-            }
-        )
+    """Magnitudes of the modulation frequencies 1..bins per band, per segment.
+
+    The frames of a segment (a fixed number) travel as one row.
+    """
 
-    kind = sonograms.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, segment bigint, band int, bin int, value double"
-    return sonograms.groupBy("id", "segment").applyInPandas(transform, schema)
+    @F.arrow_udf("array<double>")
+    def magnitudes(packed: pa.Array) -> pa.Array:
+        frames = packed.flatten().field("bands")
+        width = int(frames.value_lengths()[0].as_py()) if len(frames) else 0
+        values = kernels.dense(frames, width)[0]
+        ends = np.cumsum(packed.value_lengths().to_numpy(zero_copy_only=False))
+        out = []
+        for part in np.split(values, ends[:-1]) if len(ends) else []:
+            size = 1 << int(np.ceil(np.log2(len(part))))
+            if bins >= size:
+                raise ValueError(f"{bins} modulation bins need more than {len(part)} frames")
+            out.append((np.abs(np.fft.fft(part.T, size))[:, 1 : bins + 1] / 256).ravel())
+        return pa.array(out, pa.list_(pa.float64()))
+
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "bands")))
+    packed = sonograms.groupBy("id", "segment").agg(ordered.alias("s"))
+    rows = packed.select("id", "segment", magnitudes(F.col("s")).alias("m"))
+    cells = rows.select("id", "segment", F.posexplode("m").alias("at", "value"))
+    return cells.select(
+        "id",
+        "segment",
+        F.floor(F.col("at") / bins).cast("int").alias("band"),
+        (F.col("at") % bins + 1).cast("int").alias("bin"),
+        "value",
+    )
 
 
 # Features out of modulation and sonogram ----------------------------------------------------------

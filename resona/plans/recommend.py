@@ -63,12 +63,18 @@ def feature_rankings(
 # Long query lists -----------------------------------------------------------------------
 
 
+# From this many queries on, comparing a row costs far more than moving it once.
+_SPREAD_QUERIES = 64
+
+
 def _batch_inputs(catalogue: DataFrame, batch: QueryBatch, features: Sequence[Feature], id_col: str) -> DataFrame:
-    columns = [F.col(id_col).alias("id")]
-    for f in features:
-        source = D.levenshtein_column(f, batch.of(f)) if f.metric == "levenshtein" else F.col(f.column)
-        columns.append(source.alias(f.distance))
-    return catalogue.select(*columns)
+    rows = catalogue.select(F.col(id_col).alias("id"), *[F.col(f.column).alias(f.distance) for f in features])
+    if len(batch) < _SPREAD_QUERIES:
+        return rows
+    # a catalogue in fewer pieces than there are cores (counted without reading columns) is dealt out
+    cores = catalogue.sparkSession.sparkContext.defaultParallelism
+    pieces = rows.select(F.spark_partition_id().alias("piece")).distinct().count()
+    return rows.repartition(cores) if pieces < cores else rows
 
 
 # Cells (features x rows x queries) compared at a time in a task.
