@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from resona.functions import ids, vectors
 
@@ -26,9 +25,10 @@ def write_catalogue(df: DataFrame, path: str, mode: str = "overwrite", sort_by:
     (df.sortWithinPartitions(sort_by) if sort_by else df).write.mode(mode).parquet(path)
 
 
-def save_bucketed(df: DataFrame, table: str, buckets: int, id_col: str = "id") -> None:
+def save_bucketed(df: DataFrame, table: str, buckets: int, id_col: str = "id", path: str | None = None) -> None:
     """A table bucketed by id: joins of two such tables need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col).saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, id_col).sortBy(id_col)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
 def write_sharded(df: DataFrame, path: str, id_col: str = "id", mode: str = "overwrite") -> None:
@@ -139,9 +139,12 @@ PLAYLIST_SCHEMA = "playlists array<struct<tracks: array<struct<track_uri: string
 URI_PREFIX = 14
 
 
-def playlist_track_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct track ids of playlist slices, the URI without its prefix."""
-    slices = spark.read.schema(PLAYLIST_SCHEMA).option("multiLine", True).json(path)
+def playlist_track_ids(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Distinct track ids of playlist slices, the URI without its prefix.
+
+    A slice is one document over many lines, or (`multi_line=False`) one line.
+    """
+    slices = spark.read.schema(PLAYLIST_SCHEMA).option("multiLine", multi_line).json(path)
     uris = slices.select(F.explode("playlists").alias("p")).select(F.explode("p.tracks.track_uri").alias("uri"))
     return uris.select(F.substring("uri", F.lit(URI_PREFIX + 1), F.length("uri")).alias("id")).distinct()
 
@@ -165,10 +168,6 @@ def list_audio(spark: SparkSession, folder: str) -> DataFrame:
     return files.filter(ids.is_audio(F.col("path")))
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], T.StructType(df.schema.fields))
-
-
 def features_as_columns(df: DataFrame, column: str, width: int, prefix: str) -> DataFrame:
     """A vector as single columns, for tools that want a flat table."""
     source = vectors.doubles(F.col(column))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["retrieval", "evaluation", "construction", "cataloguing"]
+MODULES = ["retrieval", "evaluation", "construction", "cataloguing", "files"]
 
 _shipped: set[str] = set()
 
