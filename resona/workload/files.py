@@ -151,7 +151,7 @@ SQL["class_tables"] = "SELECT 'u' || user_id AS id, " + ", ".join(
 def playlist_tracks(spark, sf_dir):
     """Orders as playlists of parts; the distinct parts come back."""
     folder = _folder(spark)
-    uri = F.concat(F.lit("spotify:track:"), F.col("l_partkey"))
+    uri = F.concat(F.lit("service:track:"), F.col("l_partkey"))
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(uri.alias("track_uri")).alias("track"))
     playlists = line.groupBy("l_orderkey").agg(F.struct(F.collect_list("track").alias("tracks")).alias("p"))
     playlists.select(F.array("p").alias("playlists")).write.json(folder)
