@@ -40,13 +40,19 @@ def dimension_statistics(catalogue: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _statistics(catalogue: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Mean and deviation vectors; one row as wide as the vector comes to the driver."""
+    row = dimension_statistics(catalogue, column).first()
+    return row["mean"], row["stddev"]
+
+
 def standardise(catalogue: DataFrame, column: str, out: str) -> DataFrame:
     """z-scores by the catalogue's own statistics; a constant dimension becomes 0."""
-    one = dimension_statistics(catalogue, column).select(F.struct("mean", "stddev"))
-    with_stats = catalogue.withColumn("_s", one.scalar())
-    centred = F.zip_with(vectors.doubles(F.col(column)), F.col("_s.mean"), lambda v, m: v - m)
-    z = F.zip_with(centred, F.col("_s.stddev"), lambda v, s: F.when(s > 0, v / s).otherwise(0.0))
-    return with_stats.withColumn(out, z).drop("_s")
+    mean, stddev = _statistics(catalogue, column)
+    mean = vectors.constant_array(mean, "double")
+    inverse = vectors.constant_array([1 / s if s > 0 else 0.0 for s in stddev], "double")
+    centred = F.zip_with(vectors.doubles(F.col(column)), mean, lambda v, m: v - m)
+    return catalogue.withColumn(out, F.zip_with(centred, inverse, lambda v, i: v * i))
 
 
 def nearest(
@@ -70,9 +76,8 @@ def nearest(
     rows = catalogue.filter(F.col(column).isNotNull())
     source = vectors.doubles(F.col(column))
     if standardised:
-        stddev = dimension_statistics(catalogue, column).select("stddev")
-        rows = rows.withColumn("_stddev", stddev.scalar())
-        weights = F.transform("_stddev", lambda s: F.when(s > 0, 1 / (s * s)).otherwise(0.0))
+        stddev = _statistics(catalogue, column)[1]
+        weights = vectors.constant_array([1 / (s * s) if s > 0 else 0.0 for s in stddev], "double")
         found = F.transform(block, lambda q: vectors.weighted_euclidean(source, q, weights))
     else:
         found = F.transform(block, lambda q: vectors.euclidean(source, q))

@@ -38,7 +38,11 @@ def side_by_side(rankings: DataFrame, sets: Sequence[str], k: int) -> DataFrame:
 def overlap_at_k(rankings: DataFrame, k: int) -> DataFrame:
     """Shared tracks of every two feature sets per query, among the first k."""
     best = rankings.filter(F.col("rank") <= k)
-    left = best.select("query_id", "id", F.col("feature_set").alias("set_a"))
-    right = best.select("query_id", "id", F.col("feature_set").alias("set_b"))
-    both = left.join(right, ["query_id", "id"]).filter(F.col("set_a") < F.col("set_b"))
-    return both.groupBy("query_id", "set_a", "set_b").agg(F.count("*").alias("shared"))
+    found = best.groupBy("query_id", "id").agg(F.array_sort(F.collect_set("feature_set")).alias("s"))
+
+    def with_later(name: Column, place: Column) -> Column:
+        later = F.slice("s", place + 2, F.size("s"))
+        return F.transform(later, lambda other: F.struct(name.alias("set_a"), other.alias("set_b")))
+
+    pairs = found.select("query_id", F.inline(F.flatten(F.transform("s", with_later))))
+    return pairs.groupBy("query_id", "set_a", "set_b").agg(F.count("*").alias("shared"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.operators.distances import Feature, all_usable, usable
+from resona.operators.reuse import shared
 
 
 def distance_stats(rows: DataFrame, features: Sequence[Feature], by: Sequence[str] = ("query_id",)) -> DataFrame:
@@ -56,18 +57,6 @@ def present_score(features: Sequence[Feature]) -> Column:
     return F.try_divide(total, present)
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Shuffle the narrow rows once for two readers, so that the wide catalogue is scanned and
-    compared once.
-
-    All columns take part in the hash: then no reader prunes one, and both readers' shuffles
-    are the same. The source partition takes part as well: one id may repeat a lot.
-    """
-    names = rows.columns
-    pieces = rows.withColumn("_piece", F.spark_partition_id())
-    return pieces.repartition("_piece", *names).select(*names)
-
-
 def scale_rows(
     rows: DataFrame, features: Sequence[Feature], scale_mode: str = "after_join", missing: str = "drop"
 ) -> DataFrame:
@@ -82,7 +71,7 @@ def scale_rows(
     own = scale_mode == "before_join" or missing == "keep"
     if not own:
         rows = rows.filter(all_usable(features))
-    rows = _shared(rows)
+    rows = shared(rows)  # the wide catalogue is scanned and compared once
     ranges = min_max(rows, features, own)
     if own and missing == "drop":
         rows = rows.filter(all_usable(features))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.functions import kernels, loudness, vectors
+from resona.operators.reuse import shared
 from resona.operators.statistics import SEVEN, median_per_group, positions, seven_statistics
 
 # fixed values: segment and window length per sample rate, and the hearing threshold factor
@@ -284,13 +285,13 @@ def beat_segments(beats: DataFrame, width: int = 4096) -> DataFrame:
     )
 
 
-def frames_in_beats(frames: DataFrame, beats: DataFrame, width: int = 4096) -> DataFrame:
+def frames_in_beats(frames: DataFrame, segments_of_beats: DataFrame, width: int = 4096) -> DataFrame:
     """Frames with the beat they belong to.
 
     Beat spans are cut at multiples of `width`, so frames meet them on (id, range): an equal
     join in which each frame has one match and a long track is many keys.
     """
-    spans = beat_segments(beats, width).filter(F.col("high") > F.col("low"))
+    spans = segments_of_beats.filter(F.col("high") > F.col("low"))
     ranges = F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))
     spans = spans.withColumn("_range", F.explode(ranges))
     ranged = frames.withColumn("_range", F.floor(F.col("frame") / width))
@@ -300,7 +301,7 @@ def frames_in_beats(frames: DataFrame, beats: DataFrame, width: int = 4096) -> D
 
 def beat_means(frames: DataFrame, beats: DataFrame, d: int = 12, width: int = 4096) -> DataFrame:
     """(id, beat, vec): mean of the beat's frames, scaled to sum (of magnitudes) 1 unless zero."""
-    met = frames_in_beats(frames, beats, width)
+    met = frames_in_beats(frames, beat_segments(beats, width), width)
     means = met.groupBy("id", "beat").agg(F.array(*[F.avg(F.col("vec")[i]) for i in range(d)]).alias("m"))
     norm = vectors.total(F.transform("m", lambda v: F.abs(v)))
     unit = F.when(norm != 0, F.transform("m", lambda v: v / norm)).otherwise(F.col("m"))
@@ -322,12 +323,12 @@ def clear_frames(frames: DataFrame) -> DataFrame:
 def notes_of_beats(frames: DataFrame, beats: DataFrame, d: int = 12, width: int = 4096) -> DataFrame:
     """(id, beat, note): the pitch class with most energy of the beat's clear frames (the first
     of equals; 0 for a beat without any)."""
-    met = frames_in_beats(clear_frames(frames), beats, width)
+    spans = shared(beat_segments(beats, width))
+    met = frames_in_beats(clear_frames(frames), spans, width)
     sums = met.groupBy("id", "beat").agg(F.array(*[F.sum(F.col("vec")[i]) for i in range(d)]).alias("s"))
     note = (F.array_position("s", F.array_max("s")) - 1).cast("int")
     found = sums.select("id", "beat", note.alias("note"))
-    spans = beat_segments(beats, width).select("id", "beat")
-    return spans.join(found, ["id", "beat"], "left").na.fill(0, ["note"])
+    return spans.select("id", "beat").join(found, ["id", "beat"], "left").na.fill(0, ["note"])
 
 
 def beat_histogram(beats: DataFrame, bins: int = 250, rate: float = 1.0, width: int = 4096) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resona.operators.reuse import shared
+
 # fixed values: names of the seven statistics in their order
 SEVEN = ["mean", "var", "skew", "kurtosis", "median", "min", "max"]
 
@@ -24,7 +26,11 @@ def median_per_group(df: DataFrame, keys: Sequence[str], value: str, out: str =
     and the few inside are ranked. Where the sketch missed, all values of that group are.
     """
     keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = shared(df.filter(F.col(value).isNotNull()).select(*keys, value))
+    return _median(rows, keys, value, out)
+
+
+def _median(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     quantiles = F.percentile_approx(value, [0.5 - _MARGIN, 0.5 + _MARGIN], _ACCURACY)
     bracket = rows.groupBy(*keys).agg(F.count("*").alias("_n"), quantiles.alias("_q"))
@@ -70,8 +76,8 @@ def seven_statistics(df: DataFrame, keys: Sequence[str], value: str, bounded: bo
     if bounded:
         out = df.groupBy(*keys).agg(*aggregates, F.percentile(v, F.lit(0.5)).alias("median"))
     else:
-        plain = df.withColumn("_v", v)
-        out = df.groupBy(*keys).agg(*aggregates).join(median_per_group(plain, keys, "_v"), keys)
+        rows = shared(df.select(*keys, v.alias(value)).filter(F.col(value).isNotNull()))
+        out = rows.groupBy(*keys).agg(*aggregates).join(_median(rows, keys, value, "median"), keys)
     return out.select(*keys, *SEVEN)
 
 
@@ -103,7 +109,7 @@ def positions(df: DataFrame, key: str, order: str, width: int) -> DataFrame:
     Windows run within ranges of `width` along `order`; a table of the ranges, one row each,
     carries counts and last values across. A key with very many rows is spread over its ranges.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width)).repartition(key, "_range")
     inner = Window.partitionBy(key, "_range").orderBy(order)
     local = ranged.withColumn("_at", F.row_number().over(inner) - 1).withColumn(
         "_before", F.lag(order).over(inner)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from resona.operators import distances as D
 from resona.operators import ranking, scaling
 from resona.operators.distances import Feature
+from resona.operators.reuse import shared
 from resona.plans.recommend import MAX_ROW_QUERIES
 from resona.session import cut_lineage
 
@@ -71,14 +72,14 @@ def prefilter(
     rows = D.distance_rows(catalogue, batch, [first], id_col, keep)
     rows = scaling.scale_rows(rows, [first], "after_join").drop("aggregated")
     order = -F.col(first.distance) if first.similarity else F.col(first.distance)
-    best = ranking.top_k(rows, n, order).drop("rank")
+    best = cut_lineage(ranking.top_k(rows, n, order).drop("rank"))  # n rows per query, read three times
     survivors = catalogue.join(
         F.broadcast(best.select(F.col("id").alias(id_col)).distinct()),  # n per query of one batch
         id_col,
         "left_semi",
     )
     rest = D.distance_rows(survivors, batch, others, id_col)
-    both = best.join(rest, ["query_id", "id"])
+    both = shared(best.join(rest, ["query_id", "id"]))
     ranges = scaling.min_max(both, others, own=True)
     both = both.join(F.broadcast(ranges), "query_id").filter(D.all_usable(others))
     columns = [scaling.scaled(f).alias(f.scaled) for f in others]

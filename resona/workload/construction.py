@@ -17,7 +17,8 @@ SQL: dict[str, str] = {}
 # Waveforms: a user's events, one sample per hour, channels mixed by their mean -------------------
 
 SIZE, WINDOW, RATE, NOMINAL, GAIN, BINS = 128, 32, 8.0, 44100, 1000.0, 6
-_HOUR = "CAST(floor(unix_seconds(CAST(ts AS TIMESTAMP)) / 3600) AS BIGINT) - 473352"  # since 2024
+_START = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
+_HOUR = f"timestampdiff(HOUR, {_START}, ts)"
 
 
 def _samples(spark, sf_dir):
@@ -343,7 +344,7 @@ SQL["variance_of_frames"] = " UNION ALL ".join(
 
 # Beats: clicks are beats, all events are chroma frames ------------------------------------------------
 
-_SECOND = "unix_seconds(CAST(ts AS TIMESTAMP)) - 1704067200"
+_SECOND = f"timestampdiff(SECOND, {_START}, ts)"
 
 
 def _beats(spark, sf_dir):
