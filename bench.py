@@ -22,7 +22,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from resona.functions import symbols, vectors  # noqa: E402
-from resona.operators import catalogue as C  # noqa: E402
 from resona.operators.distances import PRESETS, features_of  # noqa: E402
 from resona.plans import evaluate, recommend, refine  # noqa: E402
 from resona.session import local_session  # noqa: E402
@@ -141,9 +140,8 @@ def main() -> None:
         seconds[f"rank_{TRACKS}_rh_bh_mfcc_256_queries"] = timed(
             lambda: drain(recommend.recommend_many(wide, many, fast, 100))
         )
-        for size in evaluate.sweep_sizes(TRACKS, max(1, TRACKS // 4)):
-            part = C.subset(wide, size)
-            seconds[f"sweep_{size}_rh_bh_mfcc"] = timed(lambda: drain(recommend.recommend(part, one, fast, 100)))
+        for size, ranked in evaluate.size_sweep(wide, one, fast, 100, TRACKS, max(1, TRACKS // 4)):
+            seconds[f"sweep_{size}_rh_bh_mfcc"] = timed(lambda: drain(ranked))
 
     headline = sum(seconds[n] for n in HEADLINE)
     print(

@@ -51,33 +51,54 @@ def _buckets(model, df: DataFrame, column: str, id_name: str, value: str) -> Dat
     ).select(id_name, value, "table", vector_to_array("_hash")[0].alias("bucket"))
 
 
-def candidate_distances(
-    model, catalogue: DataFrame, queries: DataFrame, column: str, max_queries: int = D.MAX_BATCH_QUERIES
-) -> DataFrame:
-    """Exact distances of all pairs (query, track) that share a bucket in some table.
+def _met(model, catalogue: DataFrame, batch: D.QueryBatch, column: str) -> DataFrame:
+    """(query_id, id, distance) for every table in which a pair shares its bucket.
 
-    The query list is checked to fit one batch and broadcast, so a crowded bucket of the
-    catalogue is met where its rows already are and grows by the queries in it alone.
+    The batch is bounded and broadcast, so a crowded bucket of the catalogue is met where its
+    rows already are and grows by the queries in it alone.
     """
-    batch = D.query_batch(queries, [column], "id", max_queries)
+    key = catalogue.schema["id"].dataType.simpleString()
     listed = catalogue.sparkSession.createDataFrame(
-        list(zip(batch.ids, batch.values[column])), f"id {catalogue.schema['id'].dataType.simpleString()}, {column} array<double>"
+        list(zip(batch.ids, batch.values[column])), f"id {key}, {column} array<double>"
     )
     ours = _buckets(model, catalogue, column, "id", "v")
     theirs = _buckets(model, listed, column, "query_id", "q")
     met = ours.join(F.broadcast(theirs), ["table", "bucket"])
-    pairs = met.select("query_id", "id", vectors.euclidean(F.col("v"), F.col("q")).alias("distance"))
+    return met.select("query_id", "id", vectors.euclidean(F.col("v"), F.col("q")).alias("distance"))
+
+
+def _once(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
 
+def candidate_distances(
+    model, catalogue: DataFrame, queries: DataFrame, column: str, max_queries: int = D.MAX_BATCH_QUERIES
+) -> DataFrame:
+    """Exact distances of all pairs (query, track) that share a bucket in some table."""
+    return _once(_met(model, catalogue, D.query_batch(queries, [column], "id", max_queries), column))
+
+
 def approximate_top_k(model, catalogue: DataFrame, queries: DataFrame, column: str, k: int) -> DataFrame:
     """Candidates by buckets, ranked exactly."""
     return ranking.top_k(candidate_distances(model, catalogue, queries, column), k, "distance")
 
 
-def within(model, catalogue: DataFrame, queries: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Candidate pairs no farther apart than the threshold."""
-    return candidate_distances(model, catalogue, queries, column).filter(F.col("distance") <= threshold)
+def similarity_join(
+    model, catalogue: DataFrame, queries: DataFrame, column: str, threshold: float, max_queries: int = 1024
+) -> DataFrame:
+    """Pairs (query, track) that share a bucket and are no farther apart than the threshold.
+
+    `queries` may be of any length, also the catalogue itself: it is taken batch by batch. Pairs
+    beyond the threshold are dropped in the task that meets them, before anything is shuffled.
+    """
+    joined = None
+    for batch in D.query_batches(queries, [column], "id", max_queries):
+        near = _once(_met(model, catalogue, batch, column).filter(F.col("distance") <= threshold))
+        joined = near if joined is None else joined.unionByName(near)
+    if joined is None:
+        key = catalogue.schema["id"].dataType.simpleString()
+        return catalogue.sparkSession.createDataFrame([], f"query_id {key}, id {key}, distance double")
+    return joined
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""One computation for several readers of the same rows."""
+"""One computation for several readers of the same rows, and counts on the way."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,9 @@ def shared(rows: DataFrame) -> DataFrame:
     names = rows.columns
     pieces = rows.withColumn("_piece", F.spark_partition_id())
     return pieces.repartition("_piece", *names).select(*names)
+
+
+def observed(df: DataFrame, *measures: Column) -> tuple[DataFrame, Observation]:
+    """Measures of a step (row count if none are named), filled when a job passes through it."""
+    watch = Observation()
+    return df.observe(watch, *(measures or [F.count(F.lit(1)).alias("rows")])), watch

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resona.functions import ids
 from resona.operators import ranking
+from resona.operators.catalogue import subset
 from resona.operators.distances import FEATURES, Feature, features_of
-from resona.plans.recommend import recommend_sets
+from resona.plans.recommend import recommend, recommend_sets
 
 # fixed values: feature sets compared on cover versions
 COVER_SETS = {
@@ -151,3 +152,11 @@ def correlation_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
 def sweep_sizes(total: int, step: int) -> list[int]:
     """Catalogue sizes of a sweep: all, then `step` rows fewer each time."""
     return list(range(total, 0, -step))
+
+
+def size_sweep(
+    catalogue: DataFrame, queries: DataFrame, features: Sequence[Feature], k: int, total: int, step: int = 10_000
+) -> Iterator[tuple[int, DataFrame]]:
+    """The same queries on ever smaller catalogues, for timing: (size, ranking)."""
+    for size in sweep_sizes(total, step):
+        yield size, recommend(subset(catalogue, size), queries, features, k)

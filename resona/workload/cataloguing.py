@@ -103,6 +103,26 @@ round(embedding[CASE WHEN i < 13 THEN i ELSE (i - 13) % 52 END + 1]::DOUBLE, 6)
 FROM embeddings, unnest(range(182)) AS u(i) WHERE label != 7"""
 
 
+def parse_mfcc_euclid(spark, sf_dir):
+    """Mean, variance and triangle of 4-wide frames: 4 + 4 + 10 numbers out of each track."""
+
+    def text(start, length):
+        return F.concat(F.lit("["), F.array_join(F.slice("rp", start, length).cast("array<string>"), ", "), F.lit("]"))
+
+    cat = B.tracks(spark, sf_dir)
+    name = F.concat(F.lit("audio/"), F.col("id"), F.lit(".mp3"))
+    # class 7 lacks a number of its triangle
+    triangle = F.when(F.col("label") == 7, text(9, 9)).otherwise(text(9, 10))
+    lines = cat.select(F.concat_ws("; ", name, text(1, 4), text(5, 4), triangle).alias("value"), F.lit("out0.mfcc").alias("path"))
+    rows = T.good(T.parse(lines, "mfcc", 4))
+    return rounded(rows.select("id", F.posexplode("mfcc_euclid").alias("cell", "value")), "value")
+
+
+QUERIES["parse_mfcc_euclid_lines"] = parse_mfcc_euclid
+SQL["parse_mfcc_euclid_lines"] = """SELECT vec_id::VARCHAR AS id, i::INT AS cell, round(embedding[i + 1]::DOUBLE, 6) AS value
+FROM embeddings, unnest(range(18)) AS u(i) WHERE label != 7"""
+
+
 def quarantine(spark, sf_dir):
     lines = _lines(_text_tracks(spark, sf_dir), "notes", lambda v: F.regexp_replace(v, r"\[", "[12, "))
     aside = T.quarantined(T.parse(lines, "notes"))

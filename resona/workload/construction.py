@@ -169,12 +169,12 @@ def _descriptor(spark, sf_dir):
         F.col("l_suppkey").alias("id"),
         F.year("l_shipdate").cast("bigint").alias("segment"),
         F.col("l_linenumber").alias("band"),
-        F.sqrt("l_extendedprice").alias("value"),
+        (F.sqrt("l_extendedprice") / 100).alias("value"),
     )
 
 
 _BAND = """rows_ AS (SELECT l_suppkey AS id, year(l_shipdate)::BIGINT AS segment,
-l_linenumber AS band, sqrt(l_extendedprice) AS value FROM lineitem)"""
+l_linenumber AS band, sqrt(l_extendedprice) / 100 AS value FROM lineitem)"""
 
 
 def seven_statistics(spark, sf_dir):

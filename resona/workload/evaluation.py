@@ -179,10 +179,11 @@ def lsh_nearest_single(spark, sf_dir):
 
 
 def lsh_similarity_join(spark, sf_dir):
-    """Pairs below a distance, from shared buckets: every track against the query list."""
+    """Pairs of tracks below a distance, from shared buckets: every track against every track."""
     cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
     model = ann.projection_model(cat, "rp", BUCKET, 6)
-    return rounded(ann.within(model, cat, B.query_list(cat), "rp", 1.3), "distance")
+    pairs = ann.similarity_join(model, cat, cat, "rp", 1.1).filter(F.col("query_id") < F.col("id"))
+    return rounded(pairs, "distance")
 
 
 def lsh_recall(spark, sf_dir):

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from resona.operators import ann, distances, neighbours, scaling
 from resona.operators.distances import FEATURES, Feature, features_of
-from resona.plans import recommend, refine
+from resona.operators.reuse import observed
+from resona.plans import evaluate, recommend, refine
 from resona.workload import tables
 
 RNG = np.random.default_rng(5)
@@ -166,8 +167,11 @@ def test_approximate_results_are_exact_where_they_exist(spark, sf):
     top = neighbours.nearest(cat, queries, "rp", 10, standardised=False)
     recall = ann.recall_at_k(found, top).agg(F.avg("recall")).collect()[0][0]
     assert recall > 0.5
-    near = ann.within(model, cat, queries, "rp", 1.2)
-    assert near.filter("distance > 1.2").count() == 0
+    near = ann.similarity_join(model, cat, cat, "rp", 1.0, max_queries=100)
+    whole = ann.similarity_join(model, cat, cat, "rp", 1.0)
+    pairs = {(r["query_id"], r["id"]) for r in near.collect()}
+    assert pairs == {(r["query_id"], r["id"]) for r in whole.collect()} and len(pairs) >= cat.count()
+    assert all((b, a) in pairs for a, b in pairs) and near.filter("distance > 1.0").count() == 0
 
 
 def test_dimension_statistics_and_constant_dimension(spark):
@@ -183,3 +187,15 @@ def test_extended_statistics(spark):
     got = scaling.distance_stats(rows, features_of(["rh"])).collect()[0]
     assert (got["n"], got["min_rh"], got["max_rh"], got["mean_rh"]) == (2, 1.0, 3.0, 2.0)
     assert got["stddev_rh"] == pytest.approx(2**0.5)
+
+
+def test_observed_counts(spark):
+    df, watch = observed(spark.range(7).filter("id > 1"))
+    df.collect()
+    assert watch.get == {"rows": 5}
+
+
+def test_size_sweep(spark):
+    _, df = small(spark)
+    sizes = [(size, out.count()) for size, out in evaluate.size_sweep(df, df.filter("id = 't001'"), E, 100, 60, 25)]
+    assert sizes == [(60, 60), (35, 35), (10, 10)]
