@@ -64,7 +64,8 @@ def bark_band_of(frequency: Column) -> Column:
 
 def mask(bands: Column, count: int = len(BARK)) -> Column:
     """Energy spread into the neighbouring bands."""
-    return F.transform(vectors.matrix_literal(spreading(count).tolist()), lambda row: vectors.dot(row, bands))
+    matrix = vectors.matrix_literal(spreading(count).tolist())
+    return vectors.bound(bands, lambda b: F.transform(matrix, lambda row: vectors.dot(row, b)))
 
 
 def decibel(bands: Column) -> Column:
@@ -72,17 +73,21 @@ def decibel(bands: Column) -> Column:
 
 
 def phon(bands: Column, count: int = len(BARK)) -> Column:
-    """Decibels to phon: linear between the two curves around the value, 3 below the lowest."""
-    levels = vectors.constant_array([float(p) for p in PHON], "double")
-    table = vectors.matrix_literal(band_loudness(count).tolist())
-
-    def one(db: Column, curve: Column) -> Column:
-        passed = F.size(F.filter(F.slice(curve, 1, len(PHON) - 1), lambda edge: db > edge))
-        low, high = F.get(curve, passed - 1), F.get(curve, passed)
-        start, end = F.get(levels, passed - 1), F.get(levels, passed)
-        return F.when(passed == 0, F.lit(float(PHON[0]))).otherwise(
-            start + (db - low) / (high - low) * (end - start)
-        )
+    """Decibels to phon: linear between the curves, 3 below the lowest, on and on above the last.
+
+    Written as the sum of the way through each gap between two curves.
+    """
+    curves = band_loudness(count)
+    gaps = len(PHON) - 1
+    starts_and_slopes = np.concatenate([curves[:, :-1], np.diff(PHON) / np.diff(curves, axis=1)], axis=1)
+    table = vectors.matrix_literal(starts_and_slopes.tolist())
+
+    def one(db: Column, row: Column) -> Column:
+        out = F.lit(float(PHON[0]))
+        for gap, rise in enumerate(np.diff(PHON)):
+            way = F.greatest((db - F.get(row, F.lit(gap))) * F.get(row, F.lit(gaps + gap)), F.lit(0.0))
+            out = out + (F.least(way, F.lit(float(rise))) if gap < gaps - 1 else way)
+        return out
 
     return F.zip_with(bands, table, one)
 

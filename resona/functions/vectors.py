@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def constant_array(values: Sequence, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{kind}>")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, however often and wherever `use` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 

@@ -12,14 +12,26 @@ from pyspark.sql import functions as F
 from resona.functions import ids
 
 
-def assemble(features: Sequence[DataFrame], id_col: str = "id", how: str = "inner") -> DataFrame:
+def first_per_id(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Per id its smallest row."""
+    rest = [c for c in df.columns if c != id_col]
+    return df.groupBy(id_col).agg(F.min(F.struct(*rest)).alias("_row")).select(id_col, "_row.*")
+
+
+def assemble(
+    features: Sequence[DataFrame], id_col: str = "id", how: str = "inner", repeated: str = "all"
+) -> DataFrame:
     """One wide row per track out of one DataFrame per feature.
 
     Equal lines are dropped before the joins, where they are cheap; distinct inputs then have
     distinct join results. how="left" keeps the tracks of the first feature without the others.
+    An id with several different rows in several features yields all their combinations;
+    repeated="first" takes one row per id and feature instead.
     """
-    distinct = [f.dropDuplicates() for f in features]
-    return reduce(lambda a, b: a.join(b, id_col, how), distinct)
+    if repeated not in ("all", "first"):
+        raise ValueError(repeated)
+    single = (lambda f: f.dropDuplicates()) if repeated == "all" else (lambda f: first_per_id(f, id_col))
+    return reduce(lambda a, b: a.join(b, id_col, how), [single(f) for f in features])
 
 
 def union_catalogues(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from resona.sources import feature_text
 KINDS = ("chroma", "mfcckl", "notes", "rp", "rh", "bh")
 
 
-def ingest(spark: SparkSession, folder: str, kinds: Sequence[str] = KINDS, how: str = "inner") -> DataFrame:
+def ingest(
+    spark: SparkSession, folder: str, kinds: Sequence[str] = KINDS, how: str = "inner", repeated: str = "all"
+) -> DataFrame:
     """All shards `out*.<kind>` below the folder as one wide row per track."""
     parts = [feature_text.read_features(spark, f"{folder}/out*.{kind}", kind) for kind in kinds]
-    return C.assemble(parts, how=how)
+    return C.assemble(parts, how=how, repeated=repeated)
 
 
 def build(

@@ -47,103 +47,121 @@ def _reason(*checks: tuple[Column, str]) -> Column:
     return reason.alias("reason")
 
 
-def _has_id(pattern: str) -> tuple[Column, str]:
-    return F.length(ids.clean_id(_field(pattern, 1))) > 0, "no id"
+def _extracted(lines: DataFrame, **fields: Column) -> DataFrame:
+    """Fields as columns beside the line and its file. A generator keeps the optimizer from repeating the parsing in
+    every check and filter that looks at a field."""
+    row = F.struct(*[c.alias(name) for name, c in fields.items()])
+    return lines.select("value", "path", F.inline(F.array(row)))
 
 
-def _rhythm(lines: DataFrame, name: str, width: int | None) -> DataFrame:
+def _numbers(name: str) -> tuple[Column, str]:
+    return vectors.all_numbers(F.col(name)), "not a number"
+
+
+def _checked(rows: DataFrame, columns: list[Column | str], *checks: tuple[Column, str]) -> DataFrame:
+    has_id = (F.length("id") > 0, "no id")
+    return rows.select("id", *columns, _reason(has_id, *checks), "value", "path")
+
+
+def _parse_rhythm(lines: DataFrame, name: str, width: int | None) -> DataFrame:
     fields = F.split(F.regexp_replace("value", r"b'|['\"]", ""), ",")
     # the id is the first field; with a known width, all that stands before the last numbers
-    head = F.size(fields) - width if width else F.lit(1)
-    raw_id = F.array_join(F.slice(fields, F.lit(1), F.greatest(head, F.lit(0))), "")
-    tail = F.slice(fields, F.greatest(head, F.lit(0)) + 1, F.size(fields))
-    values = F.transform(tail, lambda v: F.trim(v).try_cast("double"))
-    checks = [(F.length(raw_id) > 0, "no id"), (vectors.all_numbers(values), "not a number")]
-    if width:
-        checks.append((F.size(values) == width, "wrong length"))
-    return lines.select(ids.clean_id(raw_id).alias("id"), values.alias(name), _reason(*checks), "value", "path")
+    head = F.greatest(F.size("fields") - width, F.lit(0)) if width else F.lit(1)
+    tail = F.slice("fields", head + 1, F.size("fields"))
+    rows = _extracted(
+        _extracted(lines, fields=fields),
+        id=ids.clean_id(F.array_join(F.slice("fields", F.lit(1), head), "")),
+        v=F.transform(tail, lambda v: F.trim(v).try_cast("double")),
+    )
+    checks = [_numbers("v")] + ([(F.size("v") == width, "wrong length")] if width else [])
+    return _checked(rows, [F.col("v").alias(name)], *checks)
+
+
+def _parse_beat_histogram(lines: DataFrame, width: int | None) -> DataFrame:
+    pattern = _fields(2)
+    rows = _extracted(
+        lines,
+        id=ids.clean_id(_field(pattern, 1)),
+        bpm=F.trim(_field(pattern, 2)).try_cast("double"),
+        bh=vectors.parse_numbers(_field(pattern, 3)),
+    )
+    checks = [(F.col("bpm").isNotNull(), "no bpm"), _numbers("bh")]
+    checks += [(F.size("bh") == width, "wrong length")] if width else []
+    return _checked(rows, ["bpm", "bh"], *checks)
+
+
+def _parse_notes(lines: DataFrame) -> DataFrame:
+    pattern = _fields(3)
+    rows = _extracted(
+        lines,
+        id=ids.clean_id(_field(pattern, 1)),
+        key=F.trim(_field(pattern, 2)),
+        scale=F.trim(_field(pattern, 3)),
+        n=F.from_json(_field(pattern, 4), "array<int>"),
+    )
+    in_octave = F.forall("n", lambda n: n.isNotNull() & n.between(0, 11))
+    known = (F.col("n").isNotNull() & in_octave, "not a note list")
+    return _checked(rows, ["key", "scale", symbols.letter_code(F.col("n")).alias("notes")], known)
+
+
+def _parse_chroma(lines: DataFrame) -> DataFrame:
+    pattern = r"^(.*);\s*(\[.*\])\s*$"
+    matrix = F.regexp_replace(_field(pattern, 2), r"\s", "")
+    rows = _extracted(
+        lines,
+        id=ids.clean_id(_field(pattern, 1)),
+        starts=matrix.rlike(r"^\[\[[01]\."),
+        pitches=F.size(F.split(matrix, r"\],\[")),
+        chroma=vectors.parse_numbers(matrix),
+    )
+    whole = (F.col("pitches") == PITCHES) & (F.size("chroma") % PITCHES == 0)
+    return _checked(
+        rows, ["chroma"], (F.col("starts"), "empty or not a chroma matrix"), _numbers("chroma"), (whole, "not twelve rows")
+    )
+
+
+def _parse_gaussian(lines: DataFrame, d: int) -> DataFrame:
+    pattern = _fields(2)
+    rows = _extracted(
+        lines,
+        id=ids.clean_id(_field(pattern, 1)),
+        mean=vectors.parse_numbers(_field(pattern, 2)),
+        cov=vectors.parse_numbers(_field(pattern, 3)),
+    )
+    sized = ((F.size("mean") == d) & (F.size("cov") == d * d), "wrong length")
+    return _checked(rows, [F.concat("mean", "cov").alias("mfcc")], _numbers("mean"), _numbers("cov"), sized)
+
+
+def _parse_euclid(lines: DataFrame, d: int) -> DataFrame:
+    pattern = _fields(3)
+    rows = _extracted(
+        lines,
+        id=ids.clean_id(_field(pattern, 1)),
+        mean=vectors.parse_numbers(_field(pattern, 2)),
+        var=vectors.parse_numbers(_field(pattern, 3)),
+        cov=vectors.parse_numbers(_field(pattern, 4)),
+    )
+    # older files leave the diagonal out of the triangle
+    triangle = F.size("cov").isin(d * (d + 1) // 2, d * (d - 1) // 2)
+    sized = ((F.size("mean") == d) & (F.size("var") == d) & triangle, "wrong length")
+    numbers = [_numbers(c) for c in ("mean", "var", "cov")]
+    return _checked(rows, [F.concat("mean", "var", "cov").alias("mfcc_euclid")], *numbers, sized)
 
 
 def parse(lines: DataFrame, kind: str, width: int | None = None) -> DataFrame:
     """Lines of one kind to typed columns, `reason`, the line and its file."""
     if kind in ("rp", "rh"):
-        return _rhythm(lines, kind, width)
+        return _parse_rhythm(lines, kind, width)
     if kind == "bh":
-        pattern = _fields(2)
-        bpm = F.trim(_field(pattern, 2)).try_cast("double")
-        values = vectors.parse_numbers(_field(pattern, 3))
-        checks = [_has_id(pattern), (bpm.isNotNull(), "no bpm"), (vectors.all_numbers(values), "not a number")]
-        if width:
-            checks.append((F.size(values) == width, "wrong length"))
-        return lines.select(
-            ids.clean_id(_field(pattern, 1)).alias("id"), bpm.alias("bpm"), values.alias("bh"), _reason(*checks), "value", "path"
-        )
+        return _parse_beat_histogram(lines, width)
     if kind == "notes":
-        pattern = _fields(3)
-        notes = F.from_json(_field(pattern, 4), "array<int>")
-        in_octave = F.forall(notes, lambda n: n.isNotNull() & n.between(0, 11))
-        return lines.select(
-            ids.clean_id(_field(pattern, 1)).alias("id"),
-            F.trim(_field(pattern, 2)).alias("key"),
-            F.trim(_field(pattern, 3)).alias("scale"),
-            symbols.letter_code(notes).alias("notes"),
-            _reason(_has_id(pattern), (notes.isNotNull() & in_octave, "not a note list")),
-            "value",
-            "path",
-        )
+        return _parse_notes(lines)
     if kind == "chroma":
-        pattern = r"^(.*);\s*(\[.*\])\s*$"
-        matrix = F.regexp_replace(_field(pattern, 2), r"\s", "")
-        starts_well = matrix.rlike(r"^\[\[[01]\.")
-        values = vectors.parse_numbers(matrix)
-        rows = F.size(F.split(matrix, r"\],\["))
-        whole = (rows == PITCHES) & (F.size(values) % PITCHES == 0)
-        return lines.select(
-            ids.clean_id(_field(pattern, 1)).alias("id"),
-            values.alias("chroma"),
-            _reason(
-                _has_id(pattern),
-                (starts_well, "empty or not a chroma matrix"),
-                (vectors.all_numbers(values), "not a number"),
-                (whole, "not twelve rows"),
-            ),
-            "value",
-            "path",
-        )
+        return _parse_chroma(lines)
     if kind == "mfcckl":
-        pattern = _fields(2)
-        d = width or MFCC_WIDTH
-        mean, cov = (vectors.parse_numbers(_field(pattern, i)) for i in (2, 3))
-        values = F.concat(mean, cov)
-        return lines.select(
-            ids.clean_id(_field(pattern, 1)).alias("id"),
-            values.alias("mfcc"),
-            _reason(
-                _has_id(pattern),
-                (vectors.all_numbers(values), "not a number"),
-                ((F.size(mean) == d) & (F.size(cov) == d * d), "wrong length"),
-            ),
-            "value",
-            "path",
-        )
+        return _parse_gaussian(lines, width or MFCC_WIDTH)
     if kind == "mfcc":
-        pattern = _fields(3)
-        d = width or MFCC_WIDTH
-        mean, var, cov = (vectors.parse_numbers(_field(pattern, i)) for i in (2, 3, 4))
-        values = F.concat(mean, var, cov)
-        # older files leave the diagonal out of the triangle
-        triangle = F.size(cov).isin(d * (d + 1) // 2, d * (d - 1) // 2)
-        return lines.select(
-            ids.clean_id(_field(pattern, 1)).alias("id"),
-            values.alias("mfcc_euclid"),
-            _reason(
-                _has_id(pattern),
-                (vectors.all_numbers(values), "not a number"),
-                ((F.size(mean) == d) & (F.size(var) == d) & triangle, "wrong length"),
-            ),
-            "value",
-            "path",
-        )
+        return _parse_euclid(lines, width or MFCC_WIDTH)
     raise ValueError(kind)
 
 

@@ -178,14 +178,14 @@ l_linenumber AS band, sqrt(l_extendedprice) / 100 AS value FROM lineitem)"""
 
 
 def seven_statistics(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_extendedprice").alias("value"))
-    return rounded(ST.seven_statistics(li, ["id"], "value"), *SEVEN, digits=2)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), (F.sqrt("l_extendedprice") / 100).alias("value"))
+    return rounded(ST.seven_statistics(li, ["id"], "value"), *SEVEN)
 
 
 QUERIES["seven_statistics"] = seven_statistics
-SQL["seven_statistics"] = "WITH src AS (SELECT l_suppkey AS id, l_extendedprice AS value FROM lineitem), " + _seven_cte(
+SQL["seven_statistics"] = "WITH src AS (SELECT l_suppkey AS id, sqrt(l_extendedprice) / 100 AS value FROM lineitem), " + _seven_cte(
     "s", "id", "src", "value"
-) + f" SELECT id, {_round_seven(digits=2)} FROM s"
+) + f" SELECT id, {_round_seven(digits=6)} FROM s"
 
 QUERIES["spectrum_descriptor_segments"] = lambda spark, sf_dir: rounded(
     S.spectrum_descriptor_segments(_descriptor(spark, sf_dir)), *SEVEN, digits=4

@@ -181,7 +181,7 @@ def lsh_nearest_single(spark, sf_dir):
 def lsh_similarity_join(spark, sf_dir):
     """Pairs of tracks below a distance, from shared buckets: every track against every track."""
     cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
-    model = ann.projection_model(cat, "rp", BUCKET, 6)
+    model = ann.projection_model(cat, "rp", BUCKET / 4, 3)
     pairs = ann.similarity_join(model, cat, cat, "rp", 1.1).filter(F.col("query_id") < F.col("id"))
     return rounded(pairs, "distance")
 

@@ -24,6 +24,15 @@ def test_repair_keeps_ids_seen_once(spark):
     assert pairs == [("a", 2, 1, 1), ("a", 2, 2, 1), ("c", 2, 1, 1), ("c", 2, 1, 1)]
 
 
+def test_assemble_repeated_ids(spark):
+    a = spark.createDataFrame([("x", 1), ("x", 2), ("x", 2), ("y", 5)], "id string, a int")
+    b = spark.createDataFrame([("x", 7), ("x", 8)], "id string, b int")
+    assert sorted(tuple(r) for r in C.assemble([a, b]).collect()) == [("x", 1, 7), ("x", 1, 8), ("x", 2, 7), ("x", 2, 8)]
+    assert [tuple(r) for r in C.assemble([a, b], repeated="first").collect()] == [("x", 1, 7)]
+    left = C.assemble([a, b], how="left", repeated="first").collect()
+    assert sorted(tuple(r) for r in left) == [("x", 1, 7), ("y", 5, None)]
+
+
 def test_keep_last(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "id string, t int, v string")
     assert sorted(tuple(r) for r in C.keep_last(df, ["id"], ["t"]).collect()) == [("a", 3, "y"), ("b", 2, "z")]

@@ -76,6 +76,8 @@ def test_a_very_frequent_id_changes_nothing(spark):
     out = recommend.recommend(df.unionByName(hot), df.filter("id = 't001'"), E)
     assert out.count() == 560
     best = {i: s for s, i in plain_scores(rows, "t001")}
+    many = recommend.recommend_many(df.unionByName(hot), df.filter("id = 't001'"), E, 600).collect()
+    assert len(many) == 560 and sum(r["id"] == "t007" for r in many) == 501
     assert all(abs(best[r["id"]] - r["aggregated"]) < 1e-12 for r in out.collect())
 
 
