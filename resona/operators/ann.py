@@ -59,7 +59,7 @@ def _met(model, catalogue: DataFrame, batch: D.QueryBatch, column: str) -> DataF
     """
     key = catalogue.schema["id"].dataType.simpleString()
     listed = catalogue.sparkSession.createDataFrame(
-        list(zip(batch.ids, batch.values[column])), f"id {key}, {column} array<double>"
+        [(i, v.tolist()) for i, v in zip(batch.ids, batch.values[column])], f"id {key}, {column} array<double>"
     )
     ours = _buckets(model, catalogue, column, "id", "v")
     theirs = _buckets(model, listed, column, "query_id", "q")

@@ -95,17 +95,25 @@ class QueryBatch:
     """A checked, driver-side copy of query rows."""
 
     ids: list
-    values: dict[str, list]
+    values: dict[str, Sequence]
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def of(self, feature: Feature) -> list:
+    def of(self, feature: Feature) -> Sequence:
         return self.values[feature.column]
 
 
+def _values(column: pa.ChunkedArray) -> Sequence:
+    """Texts as a list, vectors as arrays (one matrix where their lengths agree)."""
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    rows = [np.array(v, dtype=np.float64) for v in column.to_pylist()]
+    return np.stack(rows) if rows and len({len(r) for r in rows}) == 1 else rows
+
+
 def _to_batch(table: pa.Table, id_col: str, columns: Sequence[str]) -> QueryBatch:
-    return QueryBatch(table[id_col].to_pylist(), {c: table[c].to_pylist() for c in columns})
+    return QueryBatch(table[id_col].to_pylist(), {c: _values(table[c]) for c in columns})
 
 
 def _usable(columns: Sequence[str]) -> Column:
@@ -129,7 +137,9 @@ def query_batch(
     wanted = first_per_id(queries.filter(_usable(columns)), id_col, columns)
     table = wanted.orderBy(id_col).limit(max_queries + 1).toArrow()
     if table.num_rows > max_queries or table.nbytes > MAX_BATCH_BYTES:
-        raise ValueError(f"more than {max_queries} queries or {MAX_BATCH_BYTES} bytes: use query_batches")
+        raise ValueError(
+            f"more than {max_queries} queries or {MAX_BATCH_BYTES} bytes: take recommend_many or query_batches"
+        )
     return _to_batch(table, id_col, columns)
 
 

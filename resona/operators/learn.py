@@ -90,7 +90,7 @@ def svm_pipeline(labels: Sequence[str], iterations: int = 20) -> Pipeline:
     """Standardise, then one linear SVM per class against the rest."""
     indexer = StringIndexer(inputCol="class", outputCol="label", stringOrderType="alphabetAsc")
     scaler, svm = _stages("label", iterations)
-    rest = OneVsRest(classifier=svm, featuresCol="_scaled", labelCol="label", predictionCol="prediction")
+    rest = OneVsRest(classifier=svm, featuresCol="_scaled", labelCol="label", predictionCol="prediction", parallelism=4)
     names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=list(labels))
     return Pipeline(stages=[indexer, scaler, rest, names])
 

@@ -463,6 +463,16 @@ def svm_classify(spark, sf_dir):
 QUERIES["svm_classify"] = svm_classify
 QUERIES["svm_accuracy"] = lambda spark, sf_dir: learn.accuracy(svm_classify(spark, sf_dir))
 
+
+def svm_cross_validation(spark, sf_dir):
+    """Mean and deviation of the accuracy over three folds."""
+    model = learn.cross_validate(_labelled(spark, sf_dir), "rp", folds=3, iterations=5)
+    numbers = [(3, float(model.avgMetrics[0]), float(model.stdMetrics[0]))]
+    return spark.createDataFrame(numbers, "folds int, accuracy double, deviation double")
+
+
+QUERIES["svm_cross_validation"] = svm_cross_validation
+
 # Streams ---------------------------------------------------------------------------------------------
 
 

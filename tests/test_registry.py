@@ -14,6 +14,7 @@ ROWS_ONLY = {
     "subset_of_size",
     "svm_classify",
     "svm_accuracy",
+    "svm_cross_validation",
 }
 
 

@@ -134,6 +134,15 @@ def test_wide_catalogue_is_scanned_once(spark, sf):
     assert final.count("Scan parquet") == 1
 
 
+def test_only_the_needed_columns_are_read(spark, sf, tmp_path):
+    tables.tracks(spark, sf).write.parquet(f"{tmp_path}/c")
+    cat = spark.read.parquet(f"{tmp_path}/c")
+    out = recommend.recommend(cat, cat.filter("id = 3"), features_of(["rh", "notes"]), 5)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,rh:array<double>,notes:string>" in plan
+    assert "chroma" not in plan and "mfcc" not in plan
+
+
 def test_lookup_reaches_the_scan(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     plan = recommend.find_queries(df, "vec_id", 3)._jdf.queryExecution().executedPlan().toString()
