@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +15,7 @@ def local_session(cpus: int | str = 8, app: str = "resona", **conf: str) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -28,10 +27,10 @@ def local_session(cpus: int | str = 8, app: str = "resona", **conf: str) -> Spar
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the session names.
+    """The checkpoint folder the session names in `spark.checkpoint.dir`.
 
-    Only a local session without the setting gets a temporary folder; on a cluster the
-    folder has to be one that every executor sees, so a missing setting is an error.
+    Where nothing is named, `_checkpoints` in the warehouse is set, which every executor that
+    can read the session's tables sees as well.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -39,9 +38,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
         return current
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="resona-checkpoint-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     context.setCheckpointDir(folder)
     return folder
 
