@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from resona.llm import decontamination, mixing
+from resona.llm import decontamination, mixing, quality_rules, token_counts, url_filter
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -14,6 +13,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _model(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(_read(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(_read(spark, sf_dir, "documents"))
     return mixing.in_order(mix).select(
@@ -21,12 +30,26 @@ def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_read(spark, sf_dir, "pages"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), _model("piece_bpe_32k.model"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontamination.contamination(docs, benchmark).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op3_curriculum_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules,
+    op3_curriculum_mixing,
+    op7_url_filter,
+    op8_token_counts,
+    op10_decontamination,
+)}
 
 
 def queries() -> dict:
