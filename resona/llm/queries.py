@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from resona.llm import decontamination, mixing, quality_rules, token_counts, url_filter
+from resona.llm import decontamination, mixing, ordinal_quality, quality_rules, token_counts, toxicity, url_filter
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -30,6 +31,14 @@ def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    scored = toxicity.scored(docs, labels, fold != 2)
+    held_out = F.coalesce(fold == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
@@ -38,6 +47,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _model("piece_bpe_32k.model"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    graded = ordinal_quality.graded(docs.select("doc_id", "text"), labels)
+    return graded.select("doc_id", "tail_1", "tail_2", "expected_grade", F.col("accepted").alias("kept"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
     return decontamination.contamination(docs, benchmark).drop("text_key")
@@ -46,8 +61,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op3_curriculum_mixing,
+    op5_toxicity,
     op7_url_filter,
     op8_token_counts,
+    op9_ordinal_quality,
     op10_decontamination,
 )}
 
