@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import decontamination, mixing, ordinal_quality, quality_rules, token_counts, toxicity, url_filter
+from resona.llm import decontamination, mixing, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_read(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return suffix_tree.scores(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)
+
+
 def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mixture(_read(spark, sf_dir, "documents"))
     return mixing.in_order(mix).select(
@@ -60,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
+    op2_suffix_tree,
     op3_curriculum_mixing,
     op5_toxicity,
     op7_url_filter,
