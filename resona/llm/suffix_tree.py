@@ -46,7 +46,7 @@ _END_WORD = np.uint64(0)
 
 
 def sequence(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts, the place of every word's first symbol, and of every text's end."""
+    """Symbols of all texts, how many of its text stand before each, and the place of every text's end."""
     low = piece.lower
     starts, ends, doc = low.spans
     size = ends - starts
@@ -58,15 +58,23 @@ def sequence(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inner = np.arange(int(size.sum())) - np.repeat(np.concatenate(([0], np.cumsum(size)))[:-1], size)
         out[np.repeat(at, size) + inner] = low.data[np.repeat(starts, size) + inner]
     out[stops] = _END
-    return out, at, stops
+    first = np.concatenate(([0], stops + 1)).astype(np.int64)
+    return out, np.arange(len(out)) - np.repeat(first[:-1], np.diff(first)), stops
 
 
-def grams(symbols: np.ndarray, size: int) -> np.ndarray:
-    """The last `size` symbols at every place as one number; an end stands before the first text."""
-    padded = np.concatenate((np.full(size - 1, _END, np.uint8), symbols)).astype(np.int64)
+def preceding(symbols: np.ndarray, before: np.ndarray, back: int) -> np.ndarray:
+    """The symbol `back` places earlier in the same text; ends stand before a text."""
+    out = np.full(len(symbols), _END, np.uint8)
+    out[back:] = symbols[: len(symbols) - back]
+    out[before < back] = _END
+    return out
+
+
+def grams(symbols: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
+    """The last `size` symbols at every place as one number."""
     out = np.zeros(len(symbols), np.int64)
-    for j in range(size):
-        out = out << 8 | padded[j : j + len(symbols)]
+    for back in range(size - 1, -1, -1):
+        out = out << 8 | preceding(symbols, before, back)
     return out
 
 
@@ -80,21 +88,15 @@ class Tree:
     log10: np.ndarray
     tokens: int
 
-    def predictions(self, symbols: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    def predictions(self, symbols: np.ndarray, before: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         """log10 probability of every symbol after what precedes it in its text."""
-        code = self.codes[symbols]
-        padded = np.concatenate((np.full(depth, self.codes[_END]), code))
-        n = len(symbols)
-        state = np.zeros(n, np.int32)
-        at = np.arange(n)
-        for k in range(1, depth + 1):
-            step = self.child[state[at], padded[at + depth - k]]
-            going = step > 0
-            at = at[going]
-            if not len(at):
-                break
-            state[at] = step[going]
-        return self.log10[state, code]
+        state = np.zeros(len(symbols), np.int32)
+        at = np.arange(len(symbols))  # places where a longer context may still be a state
+        for back in range(1, depth + 1):
+            step = self.child[state[at], self.codes[preceding(symbols, before, back)[at]]]
+            at = at[step > 0]
+            state[at] = step[step > 0]
+        return self.log10[state, self.codes[symbols]]
 
 
 def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -114,8 +116,8 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch.column(0)):
-                symbols, _, _ = sequence(piece)
-                waiting.append(np.unique(grams(symbols, depth + 1), return_counts=True))
+                symbols, before, _ = sequence(piece)
+                waiting.append(np.unique(grams(symbols, before, depth + 1), return_counts=True))
                 if sum(len(k) for k, _ in waiting) > 4_000_000:
                     keys, counts = merged()
                     waiting = []
@@ -240,8 +242,8 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             low = piece.lower
             doc, h = low.spans[2], low.hashes
             c = total[np.searchsorted(keys, h)] if len(h) else np.empty(0, np.int64)
-            symbols, _, stops = sequence(piece)
-            each = tree.predictions(symbols).astype(float)
+            symbols, place, stops = sequence(piece)
+            each = tree.predictions(symbols, place).astype(float)
             before = np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], stops + 1))]
             n = len(piece)
             columns[0].append(np.bincount(doc, minlength=n) + 1)
