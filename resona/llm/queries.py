@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import decontamination, mixing, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
+from resona.llm import decontamination, mixing, ngram_join, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -44,6 +44,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.near_duplicates(_read(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_read(spark, sf_dir, "pages"))
 
@@ -68,6 +73,7 @@ QUERIES = {f.__name__: f for f in (
     op2_suffix_tree,
     op3_curriculum_mixing,
     op5_toxicity,
+    op6_ngram_join,
     op7_url_filter,
     op8_token_counts,
     op9_ordinal_quality,

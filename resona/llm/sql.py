@@ -2,6 +2,7 @@
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
+_SPACE_WORD = "[^\\x20\\x09-\\x0D]+"
 _ALNUM = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL = {
@@ -58,5 +59,21 @@ items AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op6_ngram_join": f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_SPACE_WORD}') AS w FROM documents),
+grams AS (
+  SELECT DISTINCT r, array_to_string(list_slice(w, s, s + 4), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s FROM words WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM grams GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.r < b.r GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.r = a JOIN sizes y ON y.r = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(r, q) AS (SELECT r, r FROM words UNION SELECT reach.r, edges.b FROM reach JOIN edges ON edges.a = reach.q)
+SELECT words.doc_id, any_value(coalesce(sizes.n, 0))::BIGINT AS n_shingles, min(other.doc_id) AS component_id
+FROM words JOIN reach USING (r) JOIN words other ON other.r = reach.q LEFT JOIN sizes ON sizes.r = words.r
+GROUP BY words.r, words.doc_id
 """,
 }

@@ -136,28 +136,31 @@ def grow(counts: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, dive
     """The tree of the counted grams. Only grams of frequent contexts reach the driver."""
     counts = cut_lineage(counts)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    sizes = F.explode(F.array(*(F.lit(k) for k in range(depth + 1)))).alias("size")
-    short = counts.select(sizes, "gram", "n")
+    lengths = F.explode(F.array(*(F.lit(k) for k in range(depth + 1)))).alias("size")
+    short = counts.select(lengths, "gram", "n")
     mask = F.expr("shiftleft(1L, (size + 1) * 8) - 1")
     short = short.select("size", F.col("gram").bitwiseAND(mask).alias("gram"), "n")
     short = short.groupBy("size", "gram").agg(F.sum("n").alias("n"))
     of_context = W.partitionBy("size", F.shiftright("gram", 8))
     often = short.withColumn("all", F.sum("n").over(of_context)).where(F.col("all") >= share * total)
-    table = often.select("size", "gram", "n").toPandas().sort_values(["size", "gram"])
-    symbols = np.unique(table.gram[table["size"] == 0].to_numpy(np.int64)) if len(table) else np.empty(0, np.int64)
+    table = often.select("size", "gram", "n").toArrow()
+    sizes, every, amounts = (table.column(c).to_numpy() for c in ("size", "gram", "n"))
+    del table
+    order = np.lexsort((every, sizes))
+    sizes, every, amounts = sizes[order], every[order], amounts[order]
+    edges = np.searchsorted(sizes, np.arange(depth + 2))
+    symbols, often_used = every[: edges[1]], amounts[: edges[1]]
     codes = np.full(256, len(symbols), np.int64)
     codes[symbols] = np.arange(len(symbols))
     width = len(symbols) + 1  # the last code stands for each byte that training texts lack
 
     root = np.full(width, 0.5)
-    first = table[table["size"] == 0]
-    root[codes[first.gram.to_numpy(np.int64)]] += first.n.to_numpy(float)
+    root[codes[symbols]] += often_used
     rows = [root / (total + 0.5 * 256)]
     places: list[dict[int, int]] = [{0: 0}]  # by depth: context -> row
     parent, weight = [0], [np.inf]
     for size in range(1, depth + 1):
-        level = table[table["size"] == size]
-        gram, n = level.gram.to_numpy(np.int64), level.n.to_numpy(float)
+        gram, n = (x[edges[size] : edges[size + 1]] for x in (every, amounts))
         context, start = np.unique(gram >> 8, return_index=True)
         places.append({})
         for c, lo, hi in zip(context.tolist(), start, np.append(start[1:], len(gram)), strict=True):
@@ -185,7 +188,7 @@ def grow(counts: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, dive
     if child.nbytes * 2 > TREE_BYTES:
         return grow(counts, depth, 2 * share, divergence)
     log10 = np.log10(np.asarray(rows)[keep]).astype(np.float32)
-    tokens = int(first.n[first.gram.isin([_GAP, _END])].sum())
+    tokens = int(often_used[np.isin(symbols, [_GAP, _END])].sum())
     return Tree(codes, child, log10, tokens)
 
 
