@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import decontamination, mixing, ngram_join, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
+from resona.llm import decontamination, line_dedup, mixing, ngram_join, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -36,6 +36,11 @@ def op3_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(_read(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -72,6 +77,7 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_suffix_tree,
     op3_curriculum_mixing,
+    op4_line_dedup,
     op5_toxicity,
     op6_ngram_join,
     op7_url_filter,

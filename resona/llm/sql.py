@@ -75,5 +75,30 @@ reach(r, q) AS (SELECT r, r FROM words UNION SELECT reach.r, edges.b FROM reach
 SELECT words.doc_id, any_value(coalesce(sizes.n, 0))::BIGINT AS n_shingles, min(other.doc_id) AS component_id
 FROM words JOIN reach USING (r) JOIN words other ON other.r = reach.q LEFT JOIN sizes ON sizes.r = words.r
 GROUP BY words.r, words.doc_id
+""",
+    "op4_line_dedup": """
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS line, unnest(parts) AS content
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)),
+numbered AS (
+  SELECT doc_id, line, content, dense_rank() OVER (ORDER BY content) AS id, count(*) OVER (PARTITION BY content) AS uses,
+         len(regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+')) AS words FROM lines),
+stretches AS (
+  SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS stretch FROM numbered WHERE uses > 1),
+listed AS (
+  SELECT doc_id, min(line) AS base, list(id ORDER BY line) AS ids, list(words ORDER BY line) AS words
+  FROM stretches GROUP BY doc_id, stretch),
+starts AS (SELECT *, unnest(range(1, len(ids) + 1)) AS s FROM listed),
+runs AS (SELECT *, unnest(range(s, len(ids) + 1)) AS e FROM starts),
+passages AS (
+  SELECT doc_id, base + s - 1 AS first_line, base + e - 1 AS last_line, list_slice(ids, s, e) AS run
+  FROM runs WHERE list_sum(list_slice(words, s, e)) >= 50),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first_line) AS copy FROM passages),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first_line, last_line + 1)) AS line FROM ordered WHERE copy > 1),
+kept AS (
+  SELECT doc_id, string_agg(content, chr(10) ORDER BY line) FILTER (gone.line IS NULL) AS text,
+         count(*) AS n_lines, count(gone.line) AS n_deleted
+  FROM lines LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_deleted::BIGINT AS n_deleted, md5(coalesce(text, '')) AS text_md5 FROM kept
 """,
 }
