@@ -31,8 +31,8 @@ from resona.llm.quality_rules import _CAPITAL, _MARK, _SMALL, _SYMBOL, adjacent_
 from resona.llm.text import Piece, mixed, pieces, span_hashes
 
 #: Labelled documents in the fit, about.
-TRAIN_ROWS = 6000
-WIDTH = 1 << 16
+TRAIN_ROWS = 2500
+WIDTH = 1 << 15
 GRADES = 3
 
 _SHAPE = np.arange(256, dtype=np.uint8)
@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     if len(np.unique(grades)) < 2:
         return None
     slots, values = (table.column(c).combine_chunks() for c in ("slot", "value"))
-    row = np.repeat(np.arange(len(grades)), np.diff(slots.offsets.to_numpy()))
-    return fit(row, slots.flatten().to_numpy(), values.flatten().to_numpy().astype(float), grades)
+    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+    return fit(row, slots.flatten().to_numpy(), values.flatten().to_numpy(), grades)
 
 
 def graded(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = 0.5) -> DataFrame:
