@@ -219,6 +219,42 @@ def can_reach(size_a: Column, place_a: Column, size_b: Column, place_b: Column,
     return length & ((100 + share) * most.cast("long") >= share * both.cast("long"))
 
 
+def reachable(common: Column, both: Column, larger: Column, share: int = SHARE) -> Column:
+    """Whether `common` n-grams of the prefixes are enough: all others lie behind the prefix of one set."""
+    behind = F.floor((share * larger + 99) / 100) - 1
+    return (100 + share) * (common + behind) >= share * both
+
+
+def star_pairs(stars: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b) of members and centres that can have the similarity. N-grams with another centre are
+    not counted as common here; a pair that lacks them is left to the last step."""
+    near = can_reach(F.col("size"), F.col("place"), F.col("centre_size"), F.col("centre_place"), share)
+    pairs = stars.groupBy(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).agg(
+        F.count("*").alias("common"), F.bool_or(near).alias("near"),
+        F.max(F.col("size") + F.col("centre_size")).alias("both"), F.max(F.greatest("size", "centre_size")).alias("larger"),
+    )
+    return pairs.where(F.col("near") & reachable(F.col("common"), F.col("both"), F.col("larger"), share)).select("a", "b")
+
+
+def open_pairs(lists: DataFrame, share: int = SHARE) -> DataFrame:
+    """(a, b) of different components that can have the similarity, from (token, key, size, place, label).
+
+    Pairs are met at n-grams that pass the bounds at their places; only then the prefixes of the
+    two are compared whole, as arrays, for the number of n-grams they have in common.
+    """
+    a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "place", "label"))) for s in "ab")
+    near = can_reach(F.col("size_a"), F.col("place_a"), F.col("size_b"), F.col("place_b"), share)
+    met = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & near)
+    met = met.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(
+        F.max(F.col("size_a") + F.col("size_b")).alias("both"), F.max(F.greatest("size_a", "size_b")).alias("larger")
+    )
+    whole = lists.groupBy("key").agg(F.collect_set("token").alias("tokens"))
+    for side in "ab":
+        met = met.join(whole.select(F.col("key").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return met.where(reachable(common, F.col("both"), F.col("larger"), share)).select("a", "b")
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, known: DataFrame, classes: np.ndarray, cuts: np.ndarray) -> DataFrame:
     """(a, b, common) for pairs of set keys; `known` has (key, who): the document to read a set from."""
     pairs = pairs.join(known.select(F.col("key").alias("a"), F.col("who").alias("who_a")), "a")
@@ -288,9 +324,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     known = cut_lineage(known.select("key", "n", "least", "who"))
 
     stars = cut_lineage(star_rows(prefix_rows(docs, classes, share)))
-    bound = can_reach(F.col("size"), F.col("place"), F.col("centre_size"), F.col("centre_place"), share)
-    first = stars.where(bound).select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
-    first = cut_lineage(first.distinct())
+    first = cut_lineage(star_pairs(stars, share))
     links = cut_lineage(similar(overlaps(docs, first, known, classes, cuts), known, share))
     labels = components(links)
 
@@ -302,10 +336,7 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     lists = lists.withColumn("label", F.coalesce("label", "key"))
     mixed_ = lists.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi")
     lists = cut_lineage(lists.join(mixed_.select("token"), "token"))
-    a, b = (lists.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "size", "place", "label"))) for s in "ab")
-    bound = can_reach(F.col("size_a"), F.col("place_a"), F.col("size_b"), F.col("place_b"), share)
-    rest = a.join(b, "token").where((F.col("key_a") < F.col("key_b")) & (F.col("label_a") != F.col("label_b")) & bound)
-    rest = rest.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    rest = open_pairs(lists, share)
     rest = cut_lineage(rest.join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = similar(overlaps(docs, rest, known, classes, cuts), known, share)
