@@ -163,7 +163,7 @@ def grow(counts: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, dive
         gram, n = (x[edges[size] : edges[size + 1]] for x in (every, amounts))
         context, start = np.unique(gram >> 8, return_index=True)
         places.append({})
-        for c, lo, hi in zip(context.tolist(), start, np.append(start[1:], len(gram)), strict=True):
+        for c, lo, hi in zip(context.tolist(), start, np.append(start, len(gram))[1:], strict=True):
             # the suffix is as frequent at least, so it is there
             shorter = places[size - 1][c & (1 << 8 * (size - 1)) - 1]
             seen, code = n[lo:hi], codes[gram[lo:hi] & 255]
