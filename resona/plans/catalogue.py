@@ -31,4 +31,4 @@ def build(
     clean = C.unique_rows(merged, [id_col])
     if metadata is not None:
         clean = C.enrich(clean, metadata, id_col)
-    return C.subset(clean, size, id_col) if size else clean
+    return C.subset(clean, size, id_col) if size is not None else clean
