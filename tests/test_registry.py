@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from resona.workload import registry
 
 # no SQL counterpart: projections and hashes of Spark, classifiers
 ROWS_ONLY = {
@@ -19,7 +20,8 @@ ROWS_ONLY = {
 
 
 def test_every_query_has_sql_but_the_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(registry.queries()) - set(registry.oracle_sql()) == ROWS_ONLY
+    assert set(registry.queries()) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
