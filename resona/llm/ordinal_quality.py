@@ -31,8 +31,8 @@ from resona.llm.quality_rules import _CAPITAL, _MARK, _SMALL, _SYMBOL, adjacent_
 from resona.llm.text import Piece, mixed, pieces, span_hashes
 
 #: Labelled documents in the fit, about.
-TRAIN_ROWS = 2500
-WIDTH = 1 << 15
+TRAIN_ROWS = 6000
+WIDTH = 1 << 16
 GRADES = 3
 
 _SHAPE = np.arange(256, dtype=np.uint8)
