@@ -10,7 +10,7 @@ family: byte trigrams, collapsed word shapes (`Aa`, `a,`, `A!`), pairs of neighb
 binned shares of the document (capitals, symbols, marks, repeated neighbours, repeated windows).
 
 The fit uses about `TRAIN_ROWS` labelled documents, chosen by hash of doc_id: a table of fixed size,
-fitted by full-batch Adam. All documents are scored, whole texts.
+fitted by full-batch Adam in one task. All documents are scored, whole texts.
 
 Defined cases: null and empty texts have only their bins; without labelled rows of both kinds every
 document is kept at expected grade 2; equal texts get equal grades; an empty table gives an empty
@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column(0)):
+            for piece in pieces(batch.column(1)):
                 doc, slot, value = _rows(piece)
                 order = np.argsort(doc, kind="stable")
                 edges = pa.array(np.searchsorted(doc[order], np.arange(len(piece) + 1)).astype(np.int32))
@@ -144,16 +144,30 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
                     pa.ListArray.from_arrays(edges, pa.array(x[order].astype(kind)))
                     for x, kind in ((slot, np.int32), (value, np.float32))
                 )
-                labels = batch.column(1).slice(piece.rows.start, len(piece))
-                yield pa.RecordBatch.from_arrays([labels.cast(pa.int32()), *lists], ["grade", "slot", "value"])
-
-    table = chosen.select("text", "label").mapInArrow(features, "grade int, slot array<int>, value array<float>").toArrow()
-    grades = table.column("grade").to_numpy()
-    if len(np.unique(grades)) < 2:
+                place, labels = (batch.column(c).slice(piece.rows.start, len(piece)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([place, labels.cast(pa.int32()), *lists], ["place", "grade", "slot", "value"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, features_schema)
+        grades = rows.column("grade").to_numpy()
+        if len(np.unique(grades)) > 1:
+            slots, values = (rows.column(c).combine_chunks() for c in ("slot", "value"))
+            row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
+            parts = fit(row, slots.flatten().to_numpy(), values.flatten().to_numpy(), grades)
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in parts], ["weights", "thresholds"])
+
+    features_schema = pa.schema(
+        {"place": pa.int64(), "grade": pa.int32(), "slot": pa.list_(pa.int32()), "value": pa.list_(pa.float32())}
+    )
+    # one task fits the bounded sample, in a fixed order; the driver gets the weights
+    rows = chosen.select(F.xxhash64("doc_id", "text").alias("place"), "text", "label").mapInArrow(
+        features, "place long, grade int, slot array<int>, value array<float>"
+    )
+    rows = rows.repartition(1).sortWithinPartitions("place")
+    model = rows.mapInArrow(fitted, "weights array<double>, thresholds array<double>").toArrow()
+    if not model.num_rows:
         return None
-    slots, values = (table.column(c).combine_chunks() for c in ("slot", "value"))
-    row = np.repeat(np.arange(len(grades), dtype=np.int32), np.diff(slots.offsets.to_numpy()))
-    return fit(row, slots.flatten().to_numpy(), values.flatten().to_numpy(), grades)
+    return tuple(model.column(c)[0].values.to_numpy() for c in ("weights", "thresholds"))
 
 
 def graded(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: float = 0.5) -> DataFrame:
