@@ -20,8 +20,8 @@ PITCHES = 12
 _FFT_CELLS = 4_000_000  # cells transformed at a time
 
 
-def dense(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """List column to (n, width) plus the mask of rows that have this shape and only numbers."""
+def dense(column: pa.Array, width: int, finite: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """List column to (n, width) plus the mask of rows that have this shape and only (finite) numbers."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
@@ -31,9 +31,10 @@ def dense(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         picked = column.filter(pa.array(good))
         values = picked.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         out[good] = values.reshape(-1, width)
-        finite = np.isfinite(out).all(axis=1)
-        out[~finite] = 0.0
-        good = good & finite
+        if finite:
+            clean = np.isfinite(out).all(axis=1)
+            out[~clean] = 0.0
+            good = good & clean
     return out, good
 
 
@@ -49,89 +50,28 @@ def ragged(column: pa.Array) -> list[np.ndarray | None]:
     return [values[e - n : e] if ok else None for e, n, ok in zip(ends, lengths, good)]
 
 
-# Below this share of the summed squared norms the product form loses digits.
-_CLOSE = 0.01
+_DIFFERENCE_CELLS = 1 << 17
 
 
 def euclidean_block(column: pa.Array, queries: Sequence[Sequence[float]]) -> np.ndarray:
-    """|c|^2 + |q|^2 - 2cq as one matrix product; close pairs again by their differences."""
+    """L2 by differences, query by query, so a distance does not depend on the queries beside it.
+
+    Rows are taken in pieces that stay in the cache.
+    """
     q = np.asarray(queries, dtype=np.float64)
     c, good = dense(column, q.shape[1])
-    norms = np.einsum("ij,ij->i", c, c)[:, None] + np.einsum("ij,ij->i", q, q)[None, :]
-    squares = norms - 2.0 * (c @ q.T)
-    rows, cols = np.nonzero(squares < _CLOSE * norms)
-    for at in range(0, len(rows), 4096):
-        i, j = rows[at : at + 4096], cols[at : at + 4096]
-        diff = c[i] - q[j]
-        squares[i, j] = np.einsum("ij,ij->i", diff, diff)
-    out = np.sqrt(np.maximum(squares, 0.0))
+    out = np.empty((len(c), len(q)))
+    step = max(1, _DIFFERENCE_CELLS // max(1, q.shape[1]))
+    for at in range(0, len(c), step):
+        part = c[at : at + step]
+        for j, query in enumerate(q):
+            diff = part - query
+            out[at : at + step, j] = np.einsum("ij,ij->i", diff, diff)
+    out = np.sqrt(out)
     out[~good] = np.inf
     return out
 
 
-# Edit distance -------------------------------------------------------------------------
-
-_EDIT_CELLS = 1 << 16
-
-
-def _codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points, one padded column per text, and the lengths."""
-    lengths = np.array([len(t) for t in texts])
-    width = max(1, int(lengths.max()))
-    points = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
-    small = points.astype(np.uint16) if points.max() < 1 << 16 else points
-    return np.ascontiguousarray(small.T), lengths
-
-
-def _edit_distances(texts: Sequence[str], query: str) -> np.ndarray:
-    """Levenshtein distances of many texts to one query, by diagonals of the usual table.
-
-    Cells of one diagonal do not depend on each other, so a diagonal of all texts is one step.
-    """
-    points, lengths = _codes(texts)
-    goal = np.array([ord(c) for c in query]).astype(points.dtype)[:, None]
-    m, longest, n = len(query), points.shape[0], len(texts)
-    if m == 0:
-        return lengths.astype(np.float64)
-    kind = np.int16 if m + longest < 1 << 15 else np.int32
-    out = np.zeros(n)
-    out[lengths == 0] = m
-    older = np.zeros((m + 1, n), kind)
-    last = np.zeros((m + 1, n), kind)
-    last[:2] = 1
-    now = np.empty_like(last)
-    for k in range(2, m + longest + 1):
-        low, high = max(1, k - longest), min(m, k - 1)
-        rows = slice(low, high + 1)
-        before = slice(low - 1, high)
-        letters = points[k - high - 1 : k - low][::-1]
-        np.minimum(last[rows], last[before], out=now[rows])
-        now[rows] += 1
-        swap = older[before] + (letters != goal[before])
-        np.minimum(now[rows], swap, out=now[rows])
-        now[0] = k
-        if k <= m:
-            now[k] = k
-        done = lengths == k - m
-        if done.any():
-            out[done] = now[m, done]
-        older, last, now = last, now, older
-    return out
-
-
-def levenshtein_block(column: pa.Array, queries: Sequence[str]) -> np.ndarray:
-    texts = column.to_pylist()
-    out = np.full((len(texts), len(queries)), np.inf)
-    index = np.array([i for i, t in enumerate(texts) if t is not None], dtype=int)
-    index = index[np.argsort([len(texts[i]) for i in index], kind="stable")]
-    for j, query in enumerate(queries):
-        step = max(16, _EDIT_CELLS // (len(query) + 1))
-        for at in range(0, len(index), step):
-            part = index[at : at + step]
-            out[part, j] = _edit_distances([texts[i] for i in part], query)
-    return out
-
-
 # Gaussians -----------------------------------------------------------------------------
 
 
@@ -368,7 +308,6 @@ def chroma_pitch_row_block(column: pa.Array, queries) -> np.ndarray:
 
 BLOCKS = {
     "euclidean": euclidean_block,
-    "levenshtein": levenshtein_block,
     "js": jensen_shannon_block,
     "skl": symmetric_kl_block,
     "chroma": chroma_same_block,

@@ -7,7 +7,7 @@ or repeated: each row yields one vector of distances per feature.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,11 +22,8 @@ from resona.functions import kernels, vectors
 MAX_BATCH_QUERIES = 4096
 MAX_BATCH_BYTES = 64 << 20
 
-# Vectors and texts up to these lengths, and few queries, are compared by JVM expressions; the
-# rest by NumPy blocks, which pay for the way to Python.
-MAX_EXPRESSION_WIDTH = 128
-MAX_EXPRESSION_TEXT = 16
-MAX_EXPRESSION_QUERIES = 4
+# Rows of |queries| x |tracks| doubles come out of a batch in the row form; longer lists take more batches.
+ROW_QUERIES = 32
 
 SIMILARITIES = {"chroma", "chroma_2d", "chroma_full", "chroma_row"}
 GAUSSIAN = {"js", "skl"}
@@ -95,31 +92,32 @@ class QueryBatch:
     """A checked, driver-side copy of query rows."""
 
     ids: list
-    values: dict[str, Sequence]
+    values: dict[str, list]
 
     def __len__(self) -> int:
         return len(self.ids)
 
-    def of(self, feature: Feature) -> Sequence:
+    def of(self, feature: Feature) -> list:
+        """One vector or text per query, None where the query lacks the feature."""
         return self.values[feature.column]
 
 
-def _values(column: pa.ChunkedArray) -> Sequence:
-    """Texts as a list, vectors as arrays (one matrix where their lengths agree)."""
+def _values(column: pa.ChunkedArray) -> list:
     if not pa.types.is_list(column.type):
         return column.to_pylist()
-    rows = [np.array(v, dtype=np.float64) for v in column.to_pylist()]
-    return np.stack(rows) if rows and len({len(r) for r in rows}) == 1 else rows
+    return [None if v is None else np.array(v, dtype=np.float64) for v in column.to_pylist()]
 
 
 def _to_batch(table: pa.Table, id_col: str, columns: Sequence[str]) -> QueryBatch:
     return QueryBatch(table[id_col].to_pylist(), {c: _values(table[c]) for c in columns})
 
 
-def _usable(columns: Sequence[str]) -> Column:
-    keep = F.lit(True)
-    for c in columns:
-        keep = keep & F.col(c).isNotNull()
+def _usable(columns: Sequence[str], missing: str) -> Column:
+    """Query rows to answer: those with every feature, with missing="keep" those with any."""
+    found = [F.col(c).isNotNull() for c in columns]
+    keep = found[0]
+    for f in found[1:]:
+        keep = (keep | f) if missing == "keep" else (keep & f)
     return keep
 
 
@@ -129,12 +127,19 @@ def first_per_id(queries: DataFrame, id_col: str, columns: Sequence[str]) -> Dat
     return queries.groupBy(id_col).agg(packed).select(id_col, "row.*")
 
 
+def unanswered(queries: DataFrame, features: Sequence[Feature], id_col: str = "id") -> DataFrame:
+    """(query_id, missing features) of the queries that the drop modes leave out."""
+    names = [F.when(F.col(f.column).isNull(), F.lit(f.name)) for f in features]
+    lacking = F.array_compact(F.array(*names))
+    return queries.select(F.col(id_col).alias("query_id"), lacking.alias("missing")).where(F.size("missing") > 0)
+
+
 def query_batch(
     queries: DataFrame, columns: Sequence[str], id_col: str = "id", max_queries: int = MAX_BATCH_QUERIES
 ) -> QueryBatch:
     """Fetch a query list that has to fit one batch; a longer one is an error, not a cut."""
     columns = list(dict.fromkeys(columns))
-    wanted = first_per_id(queries.filter(_usable(columns)), id_col, columns)
+    wanted = first_per_id(queries.filter(_usable(columns, "drop")), id_col, columns)
     table = wanted.orderBy(id_col).limit(max_queries + 1).toArrow()
     if table.num_rows > max_queries or table.nbytes > MAX_BATCH_BYTES:
         raise ValueError(
@@ -144,7 +149,11 @@ def query_batch(
 
 
 def query_batches(
-    queries: DataFrame, columns: Sequence[str], id_col: str = "id", max_queries: int = MAX_BATCH_QUERIES
+    queries: DataFrame,
+    columns: Sequence[str],
+    id_col: str = "id",
+    max_queries: int = MAX_BATCH_QUERIES,
+    missing: str = "drop",
 ) -> Iterator[QueryBatch]:
     """Cut a query list of any length into batches by ranges of the id hash, one fetch each.
 
@@ -152,7 +161,7 @@ def query_batches(
     halved, so every query is served however the hash falls.
     """
     columns = list(dict.fromkeys(columns))
-    wanted = first_per_id(queries.filter(_usable(columns)), id_col, columns)
+    wanted = first_per_id(queries.filter(_usable(columns, missing)), id_col, columns)
     slots = 1 << 20
     placed = wanted.withColumn("_slot", F.pmod(F.xxhash64(id_col), F.lit(slots)))
     expected = wanted.select(id_col).distinct().count()
@@ -172,8 +181,41 @@ def query_batches(
             yield _to_batch(table, id_col, columns)
 
 
+def answer_batches(
+    queries: DataFrame,
+    columns: Sequence[str],
+    id_col: str,
+    answer: Callable[[QueryBatch], DataFrame],
+    max_queries: int = ROW_QUERIES,
+    missing: str = "drop",
+) -> DataFrame:
+    """One answer for a query list of any length; an empty list gives no rows of the same schema."""
+    found = None
+    for batch in query_batches(queries, columns, id_col, max_queries, missing):
+        part = answer(batch)
+        found = part if found is None else found.unionByName(part)
+    return answer(QueryBatch([], {c: [] for c in columns})) if found is None else found
+
+
 def block_distances(feature: Feature, column: pa.Array, queries: Sequence) -> np.ndarray:
-    """(n, m) distances of one Arrow column to the batch, by the feature's kernel."""
+    """(n, m) distances of one Arrow column to the batch, by the feature's kernel.
+
+    Queries are compared in groups of equal length; one without the feature is +inf to all. Edit
+    distances arrive ready, as vectors of `levenshtein_column`.
+    """
+    if feature.metric == "levenshtein":
+        return kernels.dense(column, len(queries), finite=False)[0]
+    groups = {}
+    for j, q in enumerate(queries):
+        if q is not None:
+            groups.setdefault(len(q), []).append(j)
+    out = np.full((len(column), len(queries)), np.inf)
+    for places in groups.values():
+        out[:, places] = _equal_block(feature, column, [queries[j] for j in places])
+    return out
+
+
+def _equal_block(feature: Feature, column: pa.Array, queries: Sequence) -> np.ndarray:
     if feature.metric == "mfcc_euclidean":
         q = np.asarray(queries, dtype=np.float64)
         d = kernels.gaussian_width(q.shape[1])
@@ -190,7 +232,7 @@ def _kernel_column(feature: Feature, queries: Sequence) -> Column:
     @F.arrow_udf("array<double>")
     def distances(column: pa.Array) -> pa.Array:
         block = block_distances(feature, column, queries)
-        offsets = pa.array(np.arange(0, block.size + 1, block.shape[1], dtype=np.int32))
+        offsets = pa.array(np.arange(len(column) + 1, dtype=np.int32) * block.shape[1])
         return pa.ListArray.from_arrays(offsets, pa.array(block.ravel()))
 
     return distances(F.col(feature.column))
@@ -208,15 +250,14 @@ def levenshtein_column(feature: Feature, queries: Sequence[str]) -> Column:
 
 
 def distance_vector(feature: Feature, batch: QueryBatch) -> Column:
-    """`array<double>` with the distance to every query of the batch, in its order."""
+    """`array<double>` with the distance to every query of the batch, in its order.
+
+    One formula per metric, whatever the number of queries: edit distances by the built-in
+    expression, everything else by the feature's kernel.
+    """
     queries = batch.of(feature)
-    few = len(queries) <= MAX_EXPRESSION_QUERIES
-    if few and feature.metric == "levenshtein" and max(map(len, queries)) <= MAX_EXPRESSION_TEXT:
+    if feature.metric == "levenshtein":
         return levenshtein_column(feature, queries)
-    if few and feature.metric == "euclidean" and len(queries[0]) <= MAX_EXPRESSION_WIDTH:
-        source = vectors.doubles(F.col(feature.column))
-        block = vectors.matrix_literal(queries)
-        return F.transform(block, lambda q: _or_infinite(vectors.euclidean(source, q)))
     return _kernel_column(feature, queries)
 
 
@@ -288,6 +329,8 @@ def divergence_status(feature: Feature, batch: QueryBatch) -> Column:
 
     @F.arrow_udf("array<string>")
     def status(column: pa.Array) -> pa.Array:
+        if not queries:
+            return pa.array([[]] * len(column), pa.list_(pa.string()))
         q = kernels.Gaussians(np.asarray(queries, dtype=np.float64))
         flat, good = kernels.dense(column, len(queries[0]))
         c = kernels.Gaussians(flat, good)
@@ -303,7 +346,7 @@ def divergence_status(feature: Feature, batch: QueryBatch) -> Column:
 
 def divergence_diagnostics(catalogue: DataFrame, batch: QueryBatch, feature: Feature) -> DataFrame:
     """How many comparisons of each kind a metric met, per query (accumulators as an aggregate)."""
-    kind = "string" if isinstance(batch.ids[0], str) else "bigint"
+    kind = "string" if batch.ids and isinstance(batch.ids[0], str) else "bigint"
     ids = vectors.constant_array(batch.ids, kind).alias("query_id")
     states = catalogue.select(divergence_status(feature, batch).alias("status"))
     pairs = states.select(F.inline(F.arrays_zip(ids, F.col("status"))))

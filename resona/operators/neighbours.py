@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from resona.functions import vectors
 from resona.operators import distances as D
 from resona.operators import ranking
-from resona.plans.recommend import MAX_ROW_QUERIES
 
 
 def concatenated(*columns: str) -> Column:
@@ -69,15 +68,21 @@ def nearest(
     Centring cancels in a difference, so standardising is a weight of 1/variance per dimension,
     taken from the catalogue alone; queries may come from elsewhere.
     """
-    batch = D.query_batch(queries, [column], id_col, MAX_ROW_QUERIES)
-    block = vectors.matrix_literal(batch.values[column])
-    kind = "string" if isinstance(batch.ids[0], str) else "bigint"
-    ids = vectors.constant_array(batch.ids, kind).alias("query_id")
-    rows = catalogue.filter(F.col(column).isNotNull())
-    source = vectors.doubles(F.col(column))
+    weights = None
     if standardised:
         stddev = _statistics(catalogue, column)[1]
         weights = vectors.constant_array([1 / (s * s) if s > 0 else 0.0 for s in stddev], "double")
+    return D.answer_batches(
+        queries, [column], id_col, lambda batch: _nearest(catalogue, batch, column, k, weights, skip_query, id_col)
+    )
+
+
+def _nearest(catalogue, batch, column, k, weights, skip_query, id_col) -> DataFrame:
+    block = vectors.matrix_literal(batch.values[column])
+    ids = vectors.constant_array(batch.ids, catalogue.schema[id_col].dataType.simpleString()).alias("query_id")
+    rows = catalogue.filter(F.col(column).isNotNull())
+    source = vectors.doubles(F.col(column))
+    if weights is not None:
         found = F.transform(block, lambda q: vectors.weighted_euclidean(source, q, weights))
     else:
         found = F.transform(block, lambda q: vectors.euclidean(source, q))

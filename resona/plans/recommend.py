@@ -13,9 +13,6 @@ from resona.operators import distances as D
 from resona.operators import ranking, scaling
 from resona.operators.distances import Feature, QueryBatch
 
-# Above this many queries the distances of a track are compared and ranked inside the task.
-MAX_ROW_QUERIES = 32
-
 
 def find_queries(catalogue: DataFrame, id_col: str, *ids) -> DataFrame:
     """Query rows by id; the filter reaches the scan."""
@@ -34,30 +31,38 @@ def recommend(
 ) -> DataFrame:
     """Rank the catalogue for each query: distances, scaling, weighted mean, order.
 
-    With k, the best k per query and their `rank`; without, all tracks in order.
+    With k, the best k per query and their `rank`; without, all tracks in order. With
+    missing="keep" a query is answered by the features it has; else `distances.unanswered` lists
+    the queries left out. Lists of any length are answered, some queries per scan; recommend_many
+    takes more queries per scan.
     """
     columns = [f.column for f in features]
-    batch = D.query_batch(queries, columns, id_col, MAX_ROW_QUERIES)
-    rows = D.distance_rows(catalogue, batch, features, id_col, keep)
-    scored = scaling.scale_rows(rows, features, scale_mode, missing)
-    if k is None:
-        return ranking.ranked(scored, "aggregated")
-    return ranking.top_k(scored, k, "aggregated")
+
+    def answer(batch: QueryBatch) -> DataFrame:
+        rows = D.distance_rows(catalogue, batch, features, id_col, keep)
+        scored = scaling.scale_rows(rows, features, scale_mode, missing)
+        return scored if k is None else ranking.top_k(scored, k, "aggregated")
+
+    found = D.answer_batches(queries, columns, id_col, answer, missing=missing)
+    return ranking.ranked(found, "aggregated") if k is None else found
 
 
 def feature_rankings(
     catalogue: DataFrame, queries: DataFrame, features: Sequence[Feature], k: int, id_col: str = "id"
 ) -> DataFrame:
     """Raw ranking per single feature, no scaling: (query_id, feature, rank, id, distance)."""
-    batch = D.query_batch(queries, [f.column for f in features], id_col, MAX_ROW_QUERIES)
-    rows = D.distance_rows(catalogue, batch, features, id_col)
     entries = []
     for f in features:
         d = F.when(D.usable(f), F.col(f.distance))
         order = -d if f.similarity else d
         entries.append(F.struct(F.lit(f.name).alias("feature"), d.alias("distance"), order.alias("_order")))
-    long = rows.select("query_id", "id", F.inline(F.array(*entries))).filter(F.col("distance").isNotNull())
-    return ranking.top_k(long, k, "_order", per=("query_id", "feature")).drop("_order")
+
+    def answer(batch: QueryBatch) -> DataFrame:
+        rows = D.distance_rows(catalogue, batch, features, id_col)
+        long = rows.select("query_id", "id", F.inline(F.array(*entries))).filter(F.col("distance").isNotNull())
+        return ranking.top_k(long, k, "_order", per=("query_id", "feature")).drop("_order")
+
+    return D.answer_batches(queries, [f.column for f in features], id_col, answer)
 
 
 # Long query lists -----------------------------------------------------------------------
@@ -68,7 +73,9 @@ _SPREAD_QUERIES = 64
 
 
 def _batch_inputs(catalogue: DataFrame, batch: QueryBatch, features: Sequence[Feature], id_col: str) -> DataFrame:
-    rows = catalogue.select(F.col(id_col).alias("id"), *[F.col(f.column).alias(f.distance) for f in features])
+    # edit distances by the built-in expression, the rest is compared as blocks
+    inputs = [D.levenshtein_column(f, batch.of(f)) if f.metric == "levenshtein" else F.col(f.column) for f in features]
+    rows = catalogue.select(F.col(id_col).alias("id"), *[c.alias(f.distance) for c, f in zip(inputs, features)])
     if len(batch) < _SPREAD_QUERIES:
         return rows
     # a catalogue in fewer pieces than there are cores (counted without reading columns) is dealt out

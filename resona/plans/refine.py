@@ -11,7 +11,6 @@ from resona.operators import distances as D
 from resona.operators import ranking, scaling
 from resona.operators.distances import Feature
 from resona.operators.reuse import shared
-from resona.plans.recommend import MAX_ROW_QUERIES
 from resona.session import cut_lineage
 
 
@@ -27,29 +26,33 @@ def filter_refine(
 
     Each feature is scaled by min and max before its own filter. The order of the features
     matters. All distances come from one scan and are written once as narrow rows; each stage
-    reads those, and only its few numbers per query pass the driver.
+    reads those, and its limits, one row per query, are a broadcast join.
     """
     features = [f for s in stages for f in ([s] if isinstance(s, Feature) else s)]
-    batch = D.query_batch(queries, [f.column for f in features], id_col, MAX_ROW_QUERIES)
+    columns = [f.column for f in features]
+    scored = D.answer_batches(
+        queries, columns, id_col, lambda batch: _refined(catalogue, batch, features, id_col, keep)
+    )
+    if k is None:
+        return ranking.ranked(scored, "aggregated")
+    return ranking.top_k(scored, k, "aggregated")
+
+
+def _refined(catalogue, batch, features, id_col, keep) -> DataFrame:
     rows = cut_lineage(D.distance_rows(catalogue, batch, features, id_col, keep))
-    spark = catalogue.sparkSession
     for f in features:
         rows = rows.filter(D.usable(f))
         d = F.col(f.distance)
         limits = rows.groupBy("query_id").agg(
             F.min(d).alias(f"min_{f.name}"), F.max(d).alias(f"max_{f.name}"), F.avg(d).alias(f"mean_{f.name}")
         )
-        numbers = spark.createDataFrame(limits.toArrow(), schema=limits.schema)  # one row per query
         columns = [c for c in rows.columns if c != f.distance]
         rows = (
-            rows.join(F.broadcast(numbers), "query_id")
+            rows.join(F.broadcast(limits), "query_id")  # one row per query of a bounded batch
             .filter(scaling.by_mean([f]))
             .select(*columns, scaling.scaled(f).alias(f.scaled))
         )
-    scored = rows.withColumn("aggregated", scaling.mean_score(features))
-    if k is None:
-        return ranking.ranked(scored, "aggregated")
-    return ranking.top_k(scored, k, "aggregated")
+    return rows.withColumn("aggregated", scaling.mean_score(features))
 
 
 def prefilter(
@@ -66,9 +69,16 @@ def prefilter(
 
     The first metric is scaled over the catalogue, the others over the n survivors.
     """
-    batch = D.query_batch(
-        queries, [first.column, *[f.column for f in others]], id_col, MAX_ROW_QUERIES
+    columns = [first.column, *[f.column for f in others]]
+    scored = D.answer_batches(
+        queries, columns, id_col, lambda batch: _prefiltered(catalogue, batch, first, others, n, id_col, keep)
     )
+    if k is None:
+        return ranking.ranked(scored, "aggregated")
+    return ranking.top_k(scored, k, "aggregated")
+
+
+def _prefiltered(catalogue, batch, first, others, n, id_col, keep) -> DataFrame:
     rows = D.distance_rows(catalogue, batch, [first], id_col, keep)
     rows = scaling.scale_rows(rows, [first], "after_join").drop("aggregated")
     order = -F.col(first.distance) if first.similarity else F.col(first.distance)
@@ -84,9 +94,6 @@ def prefilter(
     both = both.join(F.broadcast(ranges), "query_id").filter(D.all_usable(others))
     columns = [scaling.scaled(f).alias(f.scaled) for f in others]
     features = [first, *others]
-    scored = both.select(*[c for c in best.columns], *columns).withColumn(
+    return both.select(*[c for c in best.columns], *columns).withColumn(
         "aggregated", scaling.mean_score(features)
     )
-    if k is None:
-        return ranking.ranked(scored, "aggregated")
-    return ranking.top_k(scored, k, "aggregated")

@@ -274,6 +274,7 @@ SQL["build_catalogue"] = _TRACKS + """ z AS (SELECT 1) SELECT id, notes, key, la
 JOIN (SELECT doc_id AS id, lang, source FROM documents) USING (id) WHERE label != 2"""
 
 QUERIES["subset_of_size"] = lambda spark, sf_dir: C.subset(_docs(spark, sf_dir).select("doc_id", "lang"), 150, "doc_id")
+SQL["subset_of_size"] = "SELECT doc_id, lang FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 150"
 QUERIES["subset_count"] = lambda spark, sf_dir: C.subset(_docs(spark, sf_dir), 150, "doc_id").agg(
     F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")
 )

@@ -245,9 +245,11 @@ def _gaps(missing, scale_mode):
 
 _GAP_HEAD = (
     distances_sql(["rp", "rh", "notes"])
-    .replace("list_distance(c.rp, q.rp)", "CASE WHEN c.label != 5 THEN list_distance(c.rp, q.rp) END")
-    .replace("levenshtein(c.notes, q.notes)::DOUBLE", "CASE WHEN c.label != 3 THEN levenshtein(c.notes, q.notes)::DOUBLE END")
-    .replace("FROM tracks c, queries q)", "FROM tracks c, queries q WHERE q.label NOT IN (3, 5))")
+    .replace("list_distance(c.rp, q.rp)", "CASE WHEN c.label != 5 AND q.label != 5 THEN list_distance(c.rp, q.rp) END")
+    .replace(
+        "levenshtein(c.notes, q.notes)::DOUBLE",
+        "CASE WHEN c.label != 3 AND q.label != 3 THEN levenshtein(c.notes, q.notes)::DOUBLE END",
+    )
 )
 _GAP_SCALES = ", ".join(
     f"(d_{n} - lo_{n}) / (hi_{n} - lo_{n}) AS s_{n}" for n in ["rp", "rh", "notes"]

@@ -3,8 +3,6 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from resona.functions import kernels as K
 
@@ -153,28 +151,3 @@ def test_chroma_many_lengths_at_once():
     for i, r in enumerate(rows):
         for j, q in enumerate(queries):
             assert out[i + 1, j] == pytest.approx(chroma_plain(r, q), abs=1e-9)
-
-
-def edit_plain(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ABKL€𝄞", max_size=14), min_size=1, max_size=8), st.text("ABKL€𝄞", max_size=14))
-def test_levenshtein(texts, query):
-    out = K.levenshtein_block(pa.array([*texts, None]), [query])
-    assert out[:-1, 0].tolist() == [edit_plain(t, query) for t in texts]
-    assert np.isinf(out[-1, 0])
-
-
-def test_levenshtein_long():
-    letters = np.array(list("ABCDEFGHIJKL"))
-    texts = ["".join(RNG.choice(letters, n)) for n in RNG.integers(0, 300, 40)]
-    out = K.levenshtein_block(pa.array(texts), texts[:3])
-    assert out.tolist() == [[edit_plain(t, q) for q in texts[:3]] for t in texts]

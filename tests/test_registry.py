@@ -6,13 +6,12 @@ import pytest
 import __spark_entry__ as entry
 from resona.workload import registry
 
-# no SQL counterpart: projections and hashes of Spark, classifiers
+# no SQL counterpart: projections, classifiers
 ROWS_ONLY = {
     "lsh_top_k",
     "lsh_nearest_single",
     "lsh_similarity_join",
     "lsh_recall",
-    "subset_of_size",
     "svm_classify",
     "svm_accuracy",
     "svm_cross_validation",
@@ -31,7 +30,7 @@ def test_entry(spark):
     assert df.columns[:4] == ["query_id", "rank", "id", "label"]
 
 
-@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "cover_evaluation", "build_catalogue", "beat_notes"])
+@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "recommend_left_outer", "subset_of_size", "cover_evaluation", "build_catalogue", "beat_notes"])
 def test_some_match_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "documents", "lineitem"):

@@ -57,10 +57,65 @@ def test_query_batches_serve_every_query(spark):
     assert whole == cut and len(whole) == 270
 
 
-def test_too_many_queries_is_an_error(spark):
+def test_a_distance_does_not_depend_on_the_queries_beside_it(spark):
+    _, df = small(spark, 90)
+    scores = []
+    for n in (1, 5, 33, 90):
+        list_of = df.filter(F.col("id") < f"t{n:03d}")
+        assert list_of.count() == n
+        found = recommend.recommend(df, list_of, E).filter("query_id = 't000'")
+        scores.append({r["id"]: r["aggregated"] for r in found.collect()})
+        assert recommend.feature_rankings(df, list_of, E, 2).count() == n * 4
+        assert neighbours.nearest(df, list_of, "rh", 2).count() == n * 2
+    assert all(s == scores[0] for s in scores)
+
+
+def test_empty_query_list_gives_no_rows(spark):
     _, df = small(spark)
-    with pytest.raises(ValueError):
-        recommend.recommend(df, df, E, 3)
+    none = df.filter("id = 'nobody'")
+    some = df.filter("id = 't000'")
+    for ask in (
+        lambda q: recommend.recommend(df, q, E, 3),
+        lambda q: recommend.feature_rankings(df, q, E, 3),
+        lambda q: neighbours.nearest(df, q, "rh", 3),
+        lambda q: refine.filter_refine(df, q, E, 3),
+        lambda q: refine.prefilter(df, q, E[0], E[1:], 5, 3),
+        lambda q: recommend.recommend_many(df, q, E, 3),
+    ):
+        assert ask(none).count() == 0 and ask(none).columns == ask(some).columns
+
+
+def test_query_without_a_feature_is_answered_by_the_rest(spark):
+    rows = [("a", [0.0], None), ("b", [1.0], [3.0]), ("c", [4.0], [1.0]), ("d", None, None), ("e", [2.0, 2.0], [0.0])]
+    df = spark.createDataFrame(rows, "id string, rh array<double>, bh array<double>")
+    out = recommend.recommend(df, df.filter("id in ('a', 'c', 'd', 'e')"), E, 10, missing="keep")
+    found = {(r["query_id"], r["id"]): r["aggregated"] for r in out.filter("aggregated is not null").collect()}
+    assert found["a", "b"] == 0.25 and found["a", "c"] == 1.0 and ("a", "d") not in found
+    assert {q for q, _ in found} == {"a", "c", "e"}
+    left = {r["query_id"]: r["missing"] for r in distances.unanswered(df, E).collect()}
+    assert left == {"a": ["bh"], "d": ["rh", "bh"]}
+
+
+def test_edit_distance_against_plain(spark):
+    notes = ["", "A", "ABKL", "€𝄞A", "ABCDEFGHIJKL" * 12, "BCDEFGHIJKLA" * 11, None]
+    df = spark.createDataFrame(list(enumerate(notes)), "id long, notes string")
+    batch = distances.query_batch(df, ["notes"])
+    rows = distances.distance_rows(df, batch, features_of(["notes"])).collect()
+    assert len(rows) == 42
+    for r in rows:
+        text = notes[r["id"]]
+        plain = float("inf") if text is None else edit_plain(text, notes[r["query_id"]])
+        assert r["d_notes"] == plain
+
+
+def edit_plain(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
 
 
 def test_repeated_query_id_has_one_comparator(spark):
