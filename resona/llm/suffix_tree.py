@@ -1,18 +1,20 @@
 """Language-model scores from a probabilistic suffix tree.
 
 A text is read as its lower-cased words, each closed by a space, and one end. The tree's symbols
-are the bytes of that sequence. A context of up to `DEPTH` symbols is a candidate if training texts
-have it in at least `LEAST_SHARE` of their places, so the number of contexts is bounded whatever the
-input's size; should the tree still exceed `TREE_BYTES`, the share is doubled until it can be
-broadcast. A candidate is retained if its next-symbol
+are the bytes of that sequence. Every context of up to `DEPTH` symbols that training texts have is a
+candidate, however rare, so the tree grows with the input. A candidate is retained if its next-symbol
 distribution departs from that of its suffix: count times Kullback-Leibler divergence reaches
 `DIVERGENCE` nats (or a longer retained context ends with it). Distributions are smoothed towards
 the suffix's. Each symbol is predicted by the longest suffix of what precedes it that is a state.
 
+The tree is never in one place: a gram is a context and the symbol after it, a row with its count.
+Depth by depth, grams are joined to the gram shorter by the oldest symbol. No key of these joins
+has more than 256 rows. Each block of documents gets the predictions of its distinct grams.
+
 A text's score is the sum over its symbols, so it is the probability of its token sequence. Beside it
 stands a base score from the counts of whole words. Words are counted block-wise: documents are dealt by hash into blocks of some megabytes, each block
 sends every distinct word once with its count, totals go back to the blocks that have the word. No
-word, however frequent, has more rows than there are blocks, and no row stands for a single token.
+word or gram, however frequent, has more rows than there are blocks, and no row stands for a single token.
 
 Words are compared by 64-bit hash. Defined cases: null and empty texts have the end as their only
 token; rows without doc_id are training rows; repeated rows count each; without training rows known
@@ -22,10 +24,11 @@ words are none and N is 0; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,11 +37,9 @@ from resona.llm.text import Piece, pieces
 from resona.session import cut_lineage
 
 DEPTH = 5
-LEAST_SHARE = 5e-6
 DIVERGENCE = 20.0
 #: Weight of the suffix's distribution, in observations.
 SMOOTHING = 4.0
-TREE_BYTES = 128 << 20
 BLOCK_BYTES = 8 << 20
 _END, _GAP = 10, 32
 #: Stands for the end among word hashes.
@@ -65,7 +66,7 @@ def sequence(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def preceding(symbols: np.ndarray, before: np.ndarray, back: int) -> np.ndarray:
     """The symbol `back` places earlier in the same text; ends stand before a text."""
     out = np.full(len(symbols), _END, np.uint8)
-    out[back:] = symbols[: len(symbols) - back]
+    out[back:] = symbols[: max(len(symbols) - back, 0)]
     out[before < back] = _END
     return out
 
@@ -78,29 +79,8 @@ def grams(symbols: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Tree:
-    """`child[state, code]` is the state of the context longer by that symbol to the left, 0 for none;
-    `log10[state, code]` the smoothed prediction."""
-
-    codes: np.ndarray
-    child: np.ndarray
-    log10: np.ndarray
-    tokens: int
-
-    def predictions(self, symbols: np.ndarray, before: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """log10 probability of every symbol after what precedes it in its text."""
-        state = np.zeros(len(symbols), np.int32)
-        at = np.arange(len(symbols))  # places where a longer context may still be a state
-        for back in range(1, depth + 1):
-            step = self.child[state[at], self.codes[preceding(symbols, before, back)[at]]]
-            at = at[step > 0]
-            state[at] = step[step > 0]
-        return self.log10[state, self.codes[symbols]]
-
-
-def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): how often each sequence of depth + 1 symbols stands in the texts."""
+def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, n): each sequence of depth + 1 symbols and how often it stands in texts that are not held out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -115,9 +95,14 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             return every[first], np.add.reduceat(amount, first)
 
         for batch in batches:
+            train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for piece in pieces(batch.column(0)):
-                symbols, before, _ = sequence(piece)
-                waiting.append(np.unique(grams(symbols, before, depth + 1), return_counts=True))
+                symbols, before, stops = sequence(piece)
+                taught = np.repeat(train[piece.rows], np.diff(np.concatenate(([0], stops + 1))))
+                every = grams(symbols, before, depth + 1)
+                waiting.append(np.unique(every[taught], return_counts=True))
+                held = np.unique(every[~taught])
+                waiting.append((held, np.zeros(len(held), np.int64)))
                 if sum(len(k) for k, _ in waiting) > 4_000_000:
                     keys, counts = merged()
                     waiting = []
@@ -128,68 +113,52 @@ def gram_counts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
                 [pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["gram", "n"]
             )
 
-    counted = texts.select(F.col("text").cast("string")).mapInArrow(count, "gram long, n long")
+    counted = rows.select(F.col("text").cast("string"), "held_out").mapInArrow(count, "gram long, n long")
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def grow(counts: DataFrame, depth: int = DEPTH, share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """The tree of the counted grams. Only grams of frequent contexts reach the driver."""
-    counts = cut_lineage(counts)
+def _last(size: int) -> Column:
+    """The last `size` symbols of a gram."""
+    return F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+
+
+def grow(counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> tuple[list[DataFrame], DataFrame]:
+    """(gram, p) of each context size from 0 on, and the states (size, context) except the root.
+
+    p is smoothed: (n + SMOOTHING * p of the gram without its oldest symbol) / (count of the context + SMOOTHING).
+    """
     total = counts.agg(F.sum("n")).first()[0] or 0
-    lengths = F.explode(F.array(*(F.lit(k) for k in range(depth + 1)))).alias("size")
-    short = counts.select(lengths, "gram", "n")
-    mask = F.expr("shiftleft(1L, (size + 1) * 8) - 1")
-    short = short.select("size", F.col("gram").bitwiseAND(mask).alias("gram"), "n")
-    short = short.groupBy("size", "gram").agg(F.sum("n").alias("n"))
-    of_context = W.partitionBy("size", F.shiftright("gram", 8))
-    often = short.withColumn("all", F.sum("n").over(of_context)).where(F.col("all") >= share * total)
-    table = often.select("size", "gram", "n").toArrow()
-    sizes, every, amounts = (table.column(c).to_numpy() for c in ("size", "gram", "n"))
-    del table
-    order = np.lexsort((every, sizes))
-    sizes, every, amounts = sizes[order], every[order], amounts[order]
-    edges = np.searchsorted(sizes, np.arange(depth + 2))
-    symbols, often_used = every[: edges[1]], amounts[: edges[1]]
-    codes = np.full(256, len(symbols), np.int64)
-    codes[symbols] = np.arange(len(symbols))
-    width = len(symbols) + 1  # the last code stands for each byte that training texts lack
-
-    root = np.full(width, 0.5)
-    root[codes[symbols]] += often_used
-    rows = [root / (total + 0.5 * 256)]
-    places: list[dict[int, int]] = [{0: 0}]  # by depth: context -> row
-    parent, weight = [0], [np.inf]
-    for size in range(1, depth + 1):
-        gram, n = (x[edges[size] : edges[size + 1]] for x in (every, amounts))
-        context, start = np.unique(gram >> 8, return_index=True)
-        places.append({})
-        for c, lo, hi in zip(context.tolist(), start, np.append(start, len(gram))[1:], strict=True):
-            # the suffix is as frequent at least, so it is there
-            shorter = places[size - 1][c & (1 << 8 * (size - 1)) - 1]
-            seen, code = n[lo:hi], codes[gram[lo:hi] & 255]
-            smooth = SMOOTHING * rows[shorter]
-            smooth[code] += seen
-            smooth /= seen.sum() + SMOOTHING
-            own = seen / seen.sum()
-            gain = float((seen * np.log(own / rows[shorter][code])).sum())
-            places[size][c] = len(rows)
-            rows.append(smooth)
-            parent.append(shorter)
-            weight.append(gain)
-    keep = np.asarray(weight) >= divergence
-    for row in range(len(rows) - 1, 0, -1):  # suffixes of what is retained
-        keep[parent[row]] |= keep[row]
-    state = np.cumsum(keep) - 1
-    child = np.zeros((int(keep.sum()), width), np.int32)
-    for size in range(1, depth + 1):
-        for context, row in places[size].items():
-            if keep[row]:
-                child[state[parent[row]], codes[context >> 8 * (size - 1)]] = state[row]
-    if child.nbytes * 2 > TREE_BYTES:
-        return grow(counts, depth, 2 * share, divergence)
-    log10 = np.log10(np.asarray(rows)[keep]).astype(np.float32)
-    tokens = int(often_used[np.isin(symbols, [_GAP, _END])].sum())
-    return Tree(codes, child, log10, tokens)
+    levels, chosen = [], []
+    for size in range(depth + 1):
+        level = counts.groupBy(_last(size + 1).alias("gram")).agg(F.sum("n").alias("n")) if size < depth else counts
+        if not size:
+            levels.append(cut_lineage(level.select("gram", ((F.col("n") + 0.5) / (total + 0.5 * 256)).alias("p"))))
+            continue
+        level = level.select(F.shiftright("gram", 8).alias("context"), "gram", "n", _last(size).alias("shorter"))
+        level = level.withColumn("all", F.sum("n").over(W.partitionBy("context")))
+        level = level.join(levels[-1].select(F.col("gram").alias("shorter"), F.col("p").alias("base")), "shorter")
+        p = (F.col("n") + SMOOTHING * F.col("base")) / (F.col("all") + SMOOTHING)
+        gain = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("all") / F.col("base"))).otherwise(0.0)
+        level = cut_lineage(level.select("gram", "context", p.alias("p"), gain.alias("gain")))
+        levels.append(level.select("gram", "p"))
+        passed = level.groupBy("context").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= divergence)
+        chosen.append(passed.select(F.lit(size).alias("size"), "context"))
+    own = reduce(DataFrame.unionByName, chosen)
+    # suffixes of what is retained
+    shorter = own.select(F.explode(F.sequence(F.lit(1), "size")).alias("size"), "context")
+    suffix = F.col("context").bitwiseAND(F.expr("shiftleft(1L, size * 8) - 1"))
+    return levels, cut_lineage(shorter.select("size", suffix.alias("context")).distinct())
+
+
+def predictions(levels: list[DataFrame], states: DataFrame) -> DataFrame:
+    """(gram, log10): each gram's last symbol as predicted by the longest state before it."""
+    found = levels[0].select("gram", F.log10("p").alias("log10"))
+    for size, level in enumerate(levels[1:], 1):
+        kept = states.where(F.col("size") == size).select("context", F.lit(True).alias("kept"))
+        level = level.select("gram", "p", F.shiftright("gram", 8).alias("context"), _last(size).alias("shorter"))
+        level = level.join(kept, "context", "left").join(found.withColumnRenamed("gram", "shorter"), "shorter")
+        found = level.select("gram", F.when(F.col("kept"), F.log10("p")).otherwise(F.col("log10")).alias("log10"))
+    return found
 
 
 def _word_rows(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -215,8 +184,10 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     Rows where `held_out` (a condition on doc_id) is true are scored, not learned from.
     """
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    tree = grow(gram_counts(rows.where("not held_out")))
-    send = docs.sparkSession.sparkContext.broadcast(tree)
+    counts = cut_lineage(gram_counts(rows))
+    predicted = predictions(*grow(counts))
+    ends = F.col("gram").bitwiseAND(F.lit(255)).isin(_GAP, _END)
+    taught = counts.agg(F.sum(F.when(ends, F.col("n")))).first()[0] or 0
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(64, -(-bytes_ // BLOCK_BYTES))
     dealt = rows.select(
@@ -229,14 +200,31 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         block = np.full(len(keys), left.column("block")[0].as_py(), np.int64)
         return pa.table({"block": block, "word": keys.view(np.int64), "n": n})
 
+    def send_grams(left: pa.Table) -> pa.Table:
+        found = [np.empty(0, np.int64)]
+        for piece in pieces(left.column("text")):
+            found.append(np.unique(grams(*sequence(piece)[:2], DEPTH + 1)))
+        keys = np.unique(np.concatenate(found))
+        return pa.table({"block": np.full(len(keys), left.column("block")[0].as_py(), np.int64), "gram": keys})
+
     words = dealt.groupBy("block").applyInArrow(send_words, "block long, word long, n long")
     same = W.partitionBy("word")
     owner = F.min(F.when(F.col("n") > 0, F.col("block"))).over(same) == F.col("block")
-    totals = words.select("block", "word", F.sum("n").over(same).alias("total"), F.coalesce(owner, F.lit(False)).alias("owner"))
+    totals = words.select(
+        "block", F.col("word").alias("key"), F.sum("n").over(same).alias("total"),
+        F.coalesce(owner, F.lit(False)).alias("owner"), F.lit(None).cast("double").alias("log10"),
+    )
+    needed = dealt.groupBy("block").applyInArrow(send_grams, "block long, gram long").join(predicted, "gram")
+    totals = totals.unionByName(
+        needed.select("block", F.col("gram").alias("key"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("owner"), "log10")
+    )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = send.value
-        keys = right.column("word").to_numpy().view(np.uint64)
+        of_gram = pc.is_valid(right.column("log10"))
+        predicted = right.filter(of_gram).sort_by("key")
+        known, log10 = predicted.column("key").to_numpy(), predicted.column("log10").to_numpy()
+        right = right.filter(pc.invert(of_gram))
+        keys = right.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         keys, total = keys[order], right.column("total").to_numpy()[order]
         end_total = total[0] if len(keys) and keys[0] == _END_WORD else 0
@@ -246,20 +234,20 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             doc, h = low.spans[2], low.hashes
             c = total[np.searchsorted(keys, h)] if len(h) else np.empty(0, np.int64)
             symbols, place, stops = sequence(piece)
-            each = tree.predictions(symbols, place).astype(float)
+            each = log10[np.searchsorted(known, grams(symbols, place, DEPTH + 1))]
             before = np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], stops + 1))]
             n = len(piece)
             columns[0].append(np.bincount(doc, minlength=n) + 1)
             columns[1].append(np.bincount(doc, c > 0, n).astype(np.int64) + (end_total > 0))
             columns[2].append(np.bincount(doc, np.log10(c + 0.5), n) + np.log10(end_total + 0.5))
             columns[3].append(np.diff(before))
-        tokens, known, base, model = (np.concatenate(x) if x else np.empty(0) for x in columns)
+        tokens, seen, base, model = (np.concatenate(x) if x else np.empty(0) for x in columns)
         kinds = np.zeros(left.num_rows, np.int64)
         if left.num_rows:
             kinds[0] = right.column("owner").to_numpy().sum()
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens.astype(np.int64),
-            "n_known": known.astype(np.int64), "known_sum": base.astype(float), "score": model.astype(float), "kinds": kinds,
+            "n_known": seen.astype(np.int64), "known_sum": base.astype(float), "score": model.astype(float), "kinds": kinds,
         })
 
     schema = dealt.select("doc_id", "held_out").schema
@@ -267,8 +255,8 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
         schema = schema.add(name, kind)
     found = cut_lineage(dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema))
     kinds = found.agg(F.sum("kinds")).first()[0] or 0
-    norm = float(np.log10(tree.tokens + 0.5 * (kinds + 1)))
+    norm = float(np.log10(taught + 0.5 * (kinds + 1)))
     return found.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(taught).cast("long").alias("train_tokens"),
         (F.col("known_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
     )

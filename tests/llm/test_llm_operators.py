@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,47 @@ def test_suffix_tree_base_is_exact_and_scores_repeat(docs):
     assert sorted(round(r.score, 3) for r in got) == sorted(round(r.score, 3) for r in again)
 
 
+def test_suffix_tree_scores_equal_brute_force(docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in suffix_tree.scores(docs, held).collect())
+    depth, after = suffix_tree.DEPTH, {}
+    symbols = [(i, b"\n" * depth + b"".join(w + b" " for w in lower(t).encode().split()) + b"\n") for i, t in texts()]
+    for i, s in symbols:
+        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+            for at in range(depth, len(s)):
+                for size in range(depth + 1):
+                    after.setdefault(s[at - size : at], Counter())[s[at]] += 1
+
+    def p(context, symbol):
+        n = after.get(context, Counter())
+        if not context:
+            return (n[symbol] + 0.5) / (n.total() + 128)
+        return (n[symbol] + suffix_tree.SMOOTHING * p(context[1:], symbol)) / (n.total() + suffix_tree.SMOOTHING)
+
+    states = {b""}
+    for context, n in after.items():
+        if context and sum(k * math.log(k / n.total() / p(context[1:], x)) for x, k in n.items()) >= suffix_tree.DIVERGENCE:
+            states |= {context[at:] for at in range(len(context))}
+
+    def predicted(s, at):
+        return math.log10(p(next(s[k:at] for k in range(at - depth, at + 1) if s[k:at] in states), s[at]))
+
+    assert len(states) > 100
+    assert got == sorted((str(i), round(sum(predicted(s, at) for at in range(depth, len(s))), 4)) for i, s in symbols)
+
+
+def test_suffix_tree_grows_with_the_corpus(spark):
+    # 15 places of 4 million: seen often enough for the divergence test, but a tiny share
+    rows = [(k, "x" * 400_000) for k in range(10)] + [(k, "qzjk vw") for k in range(10, 25)] + [(99, "qzjk vw")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    by = {r.doc_id: r.score for r in suffix_tree.scores(table, F.col("doc_id") == 99).collect()}
+    assert by[99] > -5
+
+
+def test_suffix_tree_reads_pieces_shorter_than_a_context():
+    assert suffix_tree.preceding(np.array([120, 32, 10], np.uint8), np.arange(3), 5).tolist() == [10, 10, 10]
+
+
 def test_quality_rules(docs):
     by = {(r.doc_id, r.n_words): r for r in quality_rules.judged(docs).collect()}
     assert by[(4, 0)].base_failed and by[(13, 60)].n_dup_lines == 29 and by[(13, 60)].n_repeat_words == 60
