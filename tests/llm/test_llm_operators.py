@@ -166,6 +166,17 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     assert by[99] > -5
 
 
+def test_suffix_tree_keeps_its_states_at_any_size(spark):
+    # 120,000 contexts over all bytes: a dense table of their children would have some 100 MiB or more
+    context = F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))
+    gram = F.shiftleft(context, 8).bitwiseOR(F.pmod(F.hash("id"), F.lit(256)).cast("long"))
+    counts = spark.range(120_000).select(gram.alias("gram"), F.lit(40).cast("long").alias("n")).localCheckpoint()
+    states = suffix_tree.grow(counts)[1]
+    assert states.count() > 87_000
+    longest = states.where("size = 3").select(F.col("context").bitwiseAND(F.lit(0xFFFF)).alias("context")).distinct()
+    assert longest.join(states.where("size = 2"), "context", "left_anti").count() == 0
+
+
 def test_suffix_tree_reads_pieces_shorter_than_a_context():
     assert suffix_tree.preceding(np.array([120, 32, 10], np.uint8), np.arange(3), 5).tolist() == [10, 10, 10]
 
