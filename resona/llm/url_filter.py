@@ -1,7 +1,7 @@
 """URL filter: explicit rules first, then naive Bayes over words of host and path.
 
-Hosts are often words run together. The parts of a distinct host (runs of a-z) are cut into words
-by the unigram Viterbi path: every substring up to `LONGEST` characters meets the word counts of
+Hosts are often words run together. The parts of a distinct host (runs of letters of any script) are cut into words
+by the unigram Viterbi path: every substring up to the length of the corpus's longest word meets the word counts of
 the corpus in a join, and the cheapest cover of the part is taken (cost of a word: minus log of its
 share; of a character that no word covers: that of a word seen half a time, and 3 more). Word
 counts come from the visible text of all pages.
@@ -31,7 +31,7 @@ from resona.llm.text import UPPER
 from resona.session import cut_lineage
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-LONGEST = 20
+LETTERS = r"\p{L}\p{M}"
 
 
 def _small(text: Column) -> Column:
@@ -46,25 +46,23 @@ def parts(url: Column) -> tuple[Column, Column]:
     return _small(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def word_counts(pages: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """How often the visible text of all pages uses each word of a-z."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """How often the visible text of all pages uses each word, a run of letters."""
     bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(_small(bare), "[^a-z]+")).alias("word"))
-    words = words.where(F.length("word").between(2, longest))
+    words = pages.select(F.explode(F.split(F.lower(bare), f"[^{LETTERS}]+")).alias("word")).where("word != ''")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
-def segmented(labels: DataFrame, counts: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """(part, words) for distinct parts of a-z, by the unigram Viterbi path."""
-    total = F.sum("n").alias("total")
+def segmented(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """(part, words) for distinct parts, by the unigram Viterbi path."""
+    # two numbers
+    sums = counts.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).collect()[0]
+    all_words, longest = sums.total or 1, sums.longest or 1
     from_to = F.posexplode(F.sequence(F.lit(1), F.length("part"))).alias("skip", "start")
-    places = labels.select("part", from_to).select(
-        "part", "start", F.explode(F.sequence(F.lit(2), F.lit(longest))).alias("length")
-    )
-    places = places.where(F.col("start") + F.col("length") - 1 <= F.length("part"))
+    rest = F.least(F.lit(longest), F.length("part") - F.col("start") + 1)
+    places = labels.select("part", from_to).select("part", "start", F.explode(F.sequence(F.lit(1), rest)).alias("length"))
     pieces = places.select("part", "start", "length", F.substr("part", F.col("start"), F.col("length")).alias("word"))
     known = pieces.join(counts, "word").groupBy("part").agg(F.collect_list(F.struct("start", "length", "n")).alias("known"))
-    all_words = counts.agg(F.coalesce(total, F.lit(0)).alias("total")).collect()[0].total or 1  # one number
     known = labels.join(known, "part", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,8 +91,8 @@ def segmented(labels: DataFrame, counts: DataFrame, longest: int = LONGEST) -> D
 
 
 def _path_words(path: Column) -> Column:
-    numbered = F.regexp_replace(_small(path), "[0-9]+", "0")
-    return F.transform(F.array_remove(F.split(numbered, "[^a-z0-9]+"), ""), lambda w: F.concat(F.lit("/"), w))
+    numbered = F.regexp_replace(F.lower(path), "[0-9]+", "0")
+    return F.transform(F.array_remove(F.split(numbered, f"[^{LETTERS}0-9]+"), ""), lambda w: F.concat(F.lit("/"), w))
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -114,9 +112,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     fits = hosts.select("host", F.explode(ends).alias("rule_host")).join(book, "rule_host")
     fits = fits.groupBy("host").agg(F.collect_list(F.struct("rule_path", "rule", "decision")).alias("rules"))
-    named = hosts.select("host", F.posexplode(F.split(F.regexp_replace("host", "[0-9]+", "0"), "[^a-z]+")).alias("at", "part"))
-    named = named.where("part != ''")
-    words = segmented(named.select("part").distinct(), word_counts(pages))
+    runs = F.regexp_extract_all(F.regexp_replace(F.lower("host"), "[0-9]+", "0"), F.lit(f"0|[{LETTERS}]+"), F.lit(0))
+    named = hosts.select("host", F.posexplode(runs).alias("at", "part"))
+    words = segmented(named.select("part").distinct(), cut_lineage(word_counts(pages)))
     words = named.join(words, "part").groupBy("host").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"])).alias("words")
     )

@@ -199,6 +199,19 @@ def test_urls(spark):
     assert [r[1:4] for r in got if r[0] == 6] == [("x.net", "", None)]
 
 
+def test_host_words_of_any_length_digits_and_letters(spark):
+    text = "<p>donaudampfschifffahrtsgesellschaft grünwald shop i phone i phone</p>"
+    hosts = ["donaudampfschifffahrtsgesellschaftshop.net", "grünwaldshop24.net", "iphone.net"]
+    rows = [(k, f"http://{host}/straße/7", text) for k, host in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.host_words.split(" ")[:-1] for r in url_filter.judged(pages).collect()}
+    # "net" is no word of the text, so it falls into letters
+    assert got[0][:2] == ["donaudampfschifffahrtsgesellschaft", "shop"] and got[1][:3] == ["grünwald", "shop", "0"]
+    assert got[2][:2] == ["i", "phone"]
+    listed = url_filter._path_words(F.lit("/straße/7"))
+    assert spark.range(1).select(listed.alias("w")).first().w == ["/straße", "/0"]
+
+
 def test_classifiers_without_labels_have_a_defined_result(spark, docs):
     none = spark.createDataFrame([], LABELS)
     assert all(r.accepted for r in ordinal_quality.graded(docs, none).collect())
