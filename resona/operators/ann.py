@@ -74,8 +74,13 @@ def _once(pairs: DataFrame) -> DataFrame:
 def candidate_distances(
     model, catalogue: DataFrame, queries: DataFrame, column: str, max_queries: int = D.MAX_BATCH_QUERIES
 ) -> DataFrame:
-    """Exact distances of all pairs (query, track) that share a bucket in some table."""
-    return _once(_met(model, catalogue, D.query_batch(queries, [column], "id", max_queries), column))
+    """Exact distances of all pairs (query, track) that share a bucket in some table.
+
+    A query list of any length goes batch by batch; queries without the feature have no distances.
+    """
+    return D.answer_batches(
+        queries, [column], "id", lambda batch: _once(_met(model, catalogue, batch, column)), max_queries
+    )
 
 
 def approximate_top_k(model, catalogue: DataFrame, queries: DataFrame, column: str, k: int) -> DataFrame:

@@ -240,6 +240,16 @@ def test_approximate_results_are_exact_where_they_exist(spark, sf):
     assert all((b, a) in pairs for a, b in pairs) and near.filter("distance > 1.0").count() == 0
 
 
+def test_approximate_search_takes_lists_of_any_length(spark):
+    rows = [(k, RNG.normal(size=3).tolist()) for k in range(12)] + [(12, None)]
+    cat = spark.createDataFrame(rows, "id long, rp array<double>")
+    model = ann.projection_model(cat, "rp", 0.8, 3)
+    whole = {tuple(r) for r in ann.candidate_distances(model, cat, cat, "rp").collect()}
+    cut = {tuple(r) for r in ann.candidate_distances(model, cat, cat, "rp", max_queries=5).collect()}
+    assert cut == whole and {r[0] for r in cut} == set(range(12))
+    assert ann.approximate_top_k(model, cat, cat.limit(0), "rp", 3).count() == 0
+
+
 def test_dimension_statistics_and_constant_dimension(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id long, v array<double>")
     stats = neighbours.dimension_statistics(df, "v").collect()[0]
