@@ -56,6 +56,12 @@ def encode(labels: DataFrame) -> DataFrame:
     return indexer.fit(names).transform(names)
 
 
+def listed_classes(labels: DataFrame, known: Sequence = ()) -> list:
+    """The known classes, then all others that the column `class` has. Rows without class have none."""
+    found = {r[0] for r in labels.select("class").distinct().collect()} - {None}
+    return [*known, *sorted(found - set(known))]
+
+
 def to_table(labels: DataFrame, classes: Sequence) -> DataFrame:
     """(id, class) to one 0/1 column per class; an id may have several classes."""
     marks = [F.max((F.col("class") == c).cast("int")).alias(str(c)) for c in classes]

@@ -367,13 +367,23 @@ def _events_classes(spark, sf_dir):
 
 
 _KINDS = ["click", "error", "purchase", "signup", "view"]
-QUERIES["multi_label_table"] = lambda spark, sf_dir: learn.to_table(_events_classes(spark, sf_dir), _KINDS)
+
+
+def multi_label_table(spark, sf_dir):
+    events = _events_classes(spark, sf_dir)
+    return learn.to_table(events, learn.listed_classes(events, _KINDS))
+
+
+def multi_label_list(spark, sf_dir):
+    rows = multi_label_table(spark, sf_dir)
+    return learn.from_table(rows, rows.columns[1:])
+
+
+QUERIES["multi_label_table"] = multi_label_table
 SQL["multi_label_table"] = "SELECT user_id AS id, " + ", ".join(
     f"max((event_type = '{k}')::INT) AS {k}" for k in _KINDS
 ) + " FROM events GROUP BY user_id"
-QUERIES["multi_label_list"] = lambda spark, sf_dir: learn.from_table(
-    learn.to_table(_events_classes(spark, sf_dir), _KINDS), _KINDS
-)
+QUERIES["multi_label_list"] = multi_label_list
 SQL["multi_label_list"] = "SELECT DISTINCT user_id AS id, event_type AS class FROM events"
 
 

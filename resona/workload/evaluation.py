@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resona.operators import ann, neighbours
+from resona.operators import ann, learn, neighbours
 from resona.operators import distances as D
 from resona.operators.distances import FEATURES, features_of
 from resona.plans import evaluate as E
@@ -264,7 +264,14 @@ def _small_sql():
 
 QUERIES["classes_per_query"] = lambda spark, sf_dir: E.detected_per_query(_labelled(spark, sf_dir))
 SQL["classes_per_query"] = _small_sql() + " SELECT feature_set, query_id, original, detected, count(*) AS n FROM found GROUP BY ALL"
-QUERIES["confusion_table"] = lambda spark, sf_dir: E.confusion_table(_labelled(spark, sf_dir), range(10))
+
+
+def confusion_table(spark, sf_dir):
+    classes = learn.listed_classes(_classes(B.tracks(spark, sf_dir)), range(10))
+    return E.confusion_table(_labelled(spark, sf_dir), classes)
+
+
+QUERIES["confusion_table"] = confusion_table
 SQL["confusion_table"] = _small_sql() + " SELECT feature_set, original, " + ", ".join(
     f'count(*) FILTER (detected = {c}) AS "{c}"' for c in range(10)
 ) + " FROM found GROUP BY feature_set, original"

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from resona.operators import learn
 from resona.operators.distances import features_of
 from resona.plans import catalogue as build
 from resona.plans import recommend as R
@@ -136,8 +137,8 @@ _KINDS = ["click", "error", "purchase", "signup", "view"]
 def class_tables(spark, sf_dir):
     """A table of marks per user and event type, written and read."""
     folder = _folder(spark)
-    marks = [F.max((F.col("event_type") == k).cast("int")).alias(k) for k in _KINDS]
-    rows = table(spark, sf_dir, "events").groupBy(F.concat(F.lit("u"), F.col("user_id")).alias("id")).agg(*marks)
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id")).alias("id"), F.col("event_type").alias("class"))
+    rows = learn.to_table(events, learn.listed_classes(events, _KINDS))
     tabular.write_class_table(rows, folder)
     return tabular.read_class_table(spark, folder)
 

@@ -8,7 +8,7 @@ from resona.operators import ann, distances, neighbours, scaling
 from resona.operators.distances import FEATURES, Feature, features_of
 from resona.operators.reuse import observed
 from resona.plans import evaluate, recommend, refine
-from resona.workload import tables
+from resona.workload import cataloguing, evaluation, files, tables
 
 RNG = np.random.default_rng(5)
 E = features_of(["rh", "bh"])
@@ -250,6 +250,20 @@ def test_approximate_search_takes_lists_of_any_length(spark):
     assert ann.approximate_top_k(model, cat, cat.limit(0), "rp", 3).count() == 0
 
 
+def test_tables_by_class_hold_classes_beyond_the_known(spark, sf, tmp_path):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(60)
+    vectors.withColumn("label", F.col("label") + F.lit(5).cast("int")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet").limit(40)
+    events.withColumn("event_type", F.lit("skip")).write.parquet(f"{tmp_path}/events.parquet")
+    wide = [r.asDict() for r in evaluation.confusion_table(spark, str(tmp_path)).collect()]
+    retrieved = evaluation._labelled(spark, str(tmp_path)).count()
+    assert sum(n for r in wide for c, n in r.items() if c not in ("feature_set", "original")) == retrieved
+    users = events.select("user_id").distinct().count()
+    for query in (cataloguing.multi_label_table, files.class_tables):
+        assert query(spark, str(tmp_path)).where("skip = 1").count() == users
+    assert {r["class"] for r in cataloguing.multi_label_list(spark, str(tmp_path)).collect()} == {"skip"}
+
+
 def test_dimension_statistics_and_constant_dimension(spark):
     df = spark.createDataFrame([(1, [1.0, 5.0]), (2, [3.0, 5.0])], "id long, v array<double>")
     stats = neighbours.dimension_statistics(df, "v").collect()[0]
