@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resona.llm import decontamination, line_dedup, mixing, ngram_join, ordinal_quality, quality_rules, suffix_tree, token_counts, toxicity, url_filter
+from resona.llm import (
+    collocations, decontamination, hard_negatives, line_dedup, mixing, ngram_join, ordinal_quality, quality_rules, secret_scan,
+    suffix_tree, token_counts, toxicity, url_filter,
+)
 from resona.llm.sql import SQL
 from resona.workload.registry import ship
 
@@ -73,6 +76,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(docs, benchmark).drop("text_key")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = rows.where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
+    rows = rows.select("vec_id", label.alias("label"), whole.alias("vector"))
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scanned(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_suffix_tree,
@@ -84,6 +106,9 @@ QUERIES = {f.__name__: f for f in (
     op8_token_counts,
     op9_ordinal_quality,
     op10_decontamination,
+    op11_hard_negatives,
+    op12_collocations,
+    op13_secret_scan,
 )}
 
 

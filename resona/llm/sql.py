@@ -100,5 +100,51 @@ kept AS (
          count(*) AS n_lines, count(gone.line) AS n_deleted
   FROM lines LEFT JOIN gone USING (doc_id, line) GROUP BY doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_deleted::BIGINT AS n_deleted, md5(coalesce(text, '')) AS text_md5 FROM kept
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+WHERE rank <= 3
+""",
+    "op12_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+listed AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, m, array_to_string(list_slice(w, s, s + m - 1), ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM listed, range(1, 5) AS sizes(m) WHERE len(w) >= m) GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM phrases WHERE m = 1 GROUP BY lang),
+frequent AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS w FROM phrases WHERE f >= 30),
+inner_ AS (
+  SELECT lang, phrase, max(f) AS longest FROM (
+    SELECT lang, f, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+    FROM (SELECT lang, f, w, k, unnest(range(1, m - k + 2)) AS s FROM frequent, range(2, 4) AS sizes(k) WHERE m > k)) GROUP BY ALL),
+kept AS (
+  SELECT lang, phrase, m, f AS a, w FROM frequent LEFT JOIN inner_ USING (lang, phrase)
+  WHERE m > 1 AND (longest IS NULL OR 100 * longest::HUGEINT < 80 * f::HUGEINT)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, m), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, 2000000 * a::HUGEINT // (x.f::HUGEINT + y.f::HUGEINT) AS score
+  FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = c.head JOIN frequent y ON y.lang = c.lang AND y.phrase = c.tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest JOIN totals USING (lang))
+WHERE rank <= 2000
 """,
 }
