@@ -1,10 +1,10 @@
 """Phrases that stand together more often than their parts, counted in HAT-tries.
 
 Texts are cut into pieces at punctuation and line ends, pieces into words at spaces and tabs. A task
-counts phrases in a trie over the ids it gives to words (`HatTrie`): children of the shallow upper nodes
-are reached by word id, everything below lies in hash containers of packed suffixes, and a container with more than
-`BURST` suffixes becomes a node with smaller ones. Beyond `HELD` entries the largest subtrees are spilled whole, as
-runs sorted by phrase; the rest is spilled at the end. Spark deals the runs out by prefix partition and merges
+counts phrases in a trie over the ids it gives to words (`HatTrie`): the shallow upper nodes lead by word id, everything
+below lies in hash containers of packed suffixes. Words with few phrases share hybrid containers; one with more than
+`BURST` entries bursts, its crowded words get containers of their own, and these become nodes when they are too full. Beyond
+`HELD` entries the largest subtrees are spilled whole, as runs sorted by phrase; the rest is spilled at the end. Spark deals the runs out by prefix partition and merges
 them: a phrase's partition is its first word and one of `SLOTS` slots of what follows, so a prefix that
 starts a third of all phrases is merged in `SLOTS` places, and each task sends a phrase once per run.
 
@@ -39,9 +39,10 @@ from resona.session import cut_lineage
 LONGEST = 4
 SLOTS = 64
 
-#: Suffixes in a container before it bursts, and entries a task holds before it spills.
-BURST = 8192
-HELD = 600_000
+#: Entries of a container before it bursts, words of a hybrid container's range (in bits), and entries a task holds
+#: before it spills.
+BURST, RANGE_BITS = 16384, 12
+HELD = 1_000_000
 #: Bytes of text counted at once.
 PIECE = 1 << 20
 #: Bits of a packed word id. A task that has met so many words spills all and starts its ids anew.
@@ -91,56 +92,108 @@ def _unpacked(keys: Keys, size: int) -> list[np.ndarray]:
 
 
 class HatTrie:
-    """Counts of phrases of one length: nodes by word id, hash containers of packed suffixes below."""
+    """Counts of phrases of one length.
+
+    The root leads by first word: `own` has the containers of words with many phrases, `shared` hybrid containers, each
+    for a range of words. A hybrid container that bursts gives its crowded words containers of their own.
+    """
 
     def __init__(self, size: int):
         self.size = size
-        self.root: dict[int, Container | Node] = {}
+        self.shift = ID_BITS * (size - 1)
+        # a hybrid container's keys still have to fit 63 bits
+        self.range_bits = min(RANGE_BITS, 63 - self.shift)
+        self.own: dict[int, Container | Node] = {}
+        self.shared: dict[int, Container] = {}
         self.held = 0
 
-    def add(self, keys: list[np.ndarray]) -> None:
+    def add(self, words: list[np.ndarray]) -> None:
         """Count phrases given as arrays of their first to last word ids."""
-        if not len(keys[0]):
+        if not len(words[0]):
             return
-        suffix = np.zeros(len(keys[0]), np.int64)
-        for part in keys[1:]:
+        suffix = np.zeros(len(words[0]), np.int64)
+        for part in words[1:]:
             suffix = suffix << ID_BITS | part
-        order = np.lexsort((suffix, keys[0]))
-        first, suffix = keys[0][order], suffix[order]
-        fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (suffix[1:] != suffix[:-1])))
-        at = np.flatnonzero(fresh)
-        counts = np.diff(np.append(at, len(first)))
-        first, suffix = first[at], suffix[at]
-        edges = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1], [True])))
-        heads, keys, counts = first[edges[:-1]].tolist(), suffix.tolist(), counts.tolist()
-        for head, lo, hi in zip(heads, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            below = self.root.get(head)
+        heads, suffix, counts = _tallied(words[0], suffix, self.shift)
+        if self.own:
+            apart = np.isin(heads, np.fromiter(self.own, np.int64, len(self.own)))
+            for lo, hi in _runs(heads[apart]):
+                head = int(heads[apart][lo])
+                self.held += self.own[head].add(suffix[apart][lo:hi].tolist(), counts[apart][lo:hi].tolist())
+                self.own[head] = _small(self.own[head])
+            heads, suffix, counts = heads[~apart], suffix[~apart], counts[~apart]
+        ranges = heads >> self.range_bits
+        keys = ((heads & ((1 << self.range_bits) - 1)) << self.shift) | suffix
+        for lo, hi in _runs(ranges):
+            number = int(ranges[lo])
+            below = self.shared.get(number)
             if below is None:
-                below = self.root[head] = Container(self.size - 1)
-            self.held += below.add(keys[lo:hi], counts[lo:hi])
-            if isinstance(below, Container) and len(below) > BURST and below.size > 1:
-                self.root[head] = below.burst()
+                below = self.shared[number] = Container(self.size)
+            self.held += below.add(keys[lo:hi].tolist(), counts[lo:hi].tolist())
+            if len(below) > below.limit:
+                self.burst(number, below)
+
+    def burst(self, number: int, below: Container) -> None:
+        """Words with an eighth of a full hybrid container move out of it; what stays may fill it up again."""
+        keys, counts = below.rows()
+        heads = keys >> self.shift
+        words, sizes = np.unique(heads, return_counts=True)
+        for word in words[sizes >= BURST // 8].tolist():
+            out = heads == word
+            own = self.own[number << self.range_bits | word] = Container(self.size - 1)
+            own.add((keys[out] & ((1 << self.shift) - 1)).tolist(), counts[out].tolist())
+        stay = np.isin(heads, words[sizes < BURST // 8])
+        rest = self.shared[number] = Container(self.size)
+        rest.add(keys[stay].tolist(), counts[stay].tolist())
+        rest.limit = BURST + len(rest)
 
     def spilled(self, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Takes out the largest subtrees until `keep` entries are left: first words, packed suffixes, counts."""
-        heads, found = [], []
-        for head in sorted(self.root, key=lambda x: -len(self.root[x])):
+        heads, suffixes, counts = [], [], []
+        subtrees = [(len(x), self.own, n) for n, x in self.own.items()] + [(len(x), self.shared, n) for n, x in self.shared.items()]
+        for size, level, number in sorted(subtrees, key=itemgetter(0), reverse=True):
             if self.held <= keep:
                 break
-            below = self.root.pop(head)
-            self.held -= len(below)
-            found.append(below.rows())
-            heads.append(np.full(len(found[-1][0]), head, np.int64))
-        if not found:
+            keys, n = level.pop(number).rows()
+            self.held -= size
+            if level is self.own:
+                heads.append(np.full(len(keys), number, np.int64))
+            else:
+                heads.append(number << self.range_bits | keys >> self.shift)
+            suffixes.append(keys & ((1 << self.shift) - 1))
+            counts.append(n)
+        if not heads:
             return (np.empty(0, np.int64),) * 3
-        return np.concatenate(heads), np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+        return np.concatenate(heads), np.concatenate(suffixes), np.concatenate(counts)
+
+
+def _tallied(heads: np.ndarray, suffix: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct phrases in order with their counts."""
+    if shift + ID_BITS <= 63:
+        keys = np.sort(heads << shift | suffix)
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+        at = np.flatnonzero(fresh)
+        return keys[at] >> shift, keys[at] & ((1 << shift) - 1), np.diff(np.append(at, len(keys)))
+    order = np.lexsort((suffix, heads))
+    heads, suffix = heads[order], suffix[order]
+    at = np.flatnonzero(np.concatenate(([True], (heads[1:] != heads[:-1]) | (suffix[1:] != suffix[:-1]))))
+    return heads[at], suffix[at], np.diff(np.append(at, len(heads)))
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of every run of equal values."""
+    if len(values):
+        edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))).tolist()
+        yield from zip(edges[:-1], edges[1:], strict=True)
 
 
 class Container(dict):
-    """A hash table of packed suffixes of `size` words."""
+    """A hash table of packed suffixes of `size` words (of a hybrid one, with the words of its range before them)."""
+
+    __slots__ = ("size", "limit")
 
     def __init__(self, size: int):
-        self.size = size
+        self.size, self.limit = size, BURST
 
     def add(self, keys: list[int], counts: list[int]) -> int:
         before = len(self)
@@ -152,11 +205,6 @@ class Container(dict):
             self.update(zip(keys, counts, strict=True))
         return len(self) - before
 
-    def burst(self) -> Node:
-        node = Node(self.size)
-        node.add(list(self), list(self.values()))
-        return node
-
     def rows(self) -> tuple[np.ndarray, np.ndarray]:
         return np.fromiter(self, np.int64, len(self)), np.fromiter(self.values(), np.int64, len(self))
 
@@ -186,8 +234,7 @@ class Node:
             if below is None:
                 below = self.below[word] = Container(self.size - 1)
             new += below.add(*group)
-            if isinstance(below, Container) and len(below) > BURST and below.size > 1:
-                self.below[word] = below.burst()
+            self.below[word] = _small(below)
         self.held += new
         return new
 
@@ -197,6 +244,15 @@ class Node:
         return np.concatenate([(word << shift) | keys for word, keys, _ in found]), np.concatenate([x[2] for x in found])
 
 
+def _small(below: Container | Node) -> Container | Node:
+    """A container that is too full as a node; last words are not divided."""
+    if isinstance(below, Node) or len(below) <= BURST or below.size < 2:
+        return below
+    node = Node(below.size)
+    node.add(list(below), list(below.values()))
+    return node
+
+
 def _pair_bits(words: Words, lang: np.uint64, ids: np.ndarray, size: int) -> np.ndarray:
     """Places in the bit map of the pairs that start at each id but the last."""
     h = words.hashes[ids]

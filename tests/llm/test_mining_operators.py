@@ -137,7 +137,8 @@ def test_collocations_equal_brute_force(spark):
 
 
 def test_tries_burst_and_spill_without_losing_a_count(monkeypatch):
-    monkeypatch.setattr(collocations, "BURST", 5)
+    monkeypatch.setattr(collocations, "BURST", 8)
+    monkeypatch.setattr(collocations, "RANGE_BITS", 3)
     monkeypatch.setattr(collocations, "HELD", 40)
     monkeypatch.setattr(collocations, "PIECE", 300)  # texts are cut at spaces, phrases across the cut count
     rnd = random.Random(2)
