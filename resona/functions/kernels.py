@@ -145,16 +145,16 @@ def jensen_shannon_raw(c: Gaussians, q: Gaussians) -> np.ndarray:
 def symmetric_kl_raw(c: Gaussians, q: Gaussians) -> np.ndarray:
     n, m, d = len(c.mean), len(q.mean), c.mean.shape[1]
     c_inv, q_inv = c.inverse(), q.inverse()
-    flip = lambda x: np.transpose(x, (0, 2, 1)).reshape(len(x), -1)
     c_cov = np.where(c.definite[:, None, None], c.cov, 0.0)
     q_cov = np.where(q.definite[:, None, None], q.cov, 0.0)
-    traces = c_cov.reshape(n, -1) @ flip(q_inv).T + (q_cov.reshape(m, -1) @ flip(c_inv).T).T
     out = np.full((n, m), np.inf)
     for j in range(m):
         if q.definite[j]:
+            # query by query, so that the last digit does not depend on the queries beside it
+            traces = np.einsum("nik,ki->n", c_cov, q_inv[j]) + np.einsum("nik,ki->n", c_inv, q_cov[j])
             delta = c.mean - q.mean[j]
             quad = np.einsum("ni,nij,nj->n", delta, c_inv + q_inv[j], delta)
-            out[:, j] = np.where(c.definite, 0.25 * (traces[:, j] + quad - 2 * d), np.inf)
+            out[:, j] = np.where(c.definite, 0.25 * (traces + quad - 2 * d), np.inf)
     return out
 
 
@@ -277,11 +277,10 @@ def _chroma_block(column: pa.Array, queries, kind: str, beats_first: bool) -> np
     # candidates of like length share a transform of one size
     index = index[np.argsort([len(rows[i]) for i in index], kind="stable")]
     matrices = [_as_matrix(np.asarray(q, dtype=np.float64), beats_first) for q in queries]
-    widest = max((m.shape[1] for m in matrices), default=1)
     at = 0
     while at < len(index):
         longest = len(rows[index[min(len(index), at + 512) - 1]]) // PITCHES
-        cells = 4 * PITCHES * (longest + widest) * (1 if kind in ("same", "pitch_row") else 2)
+        cells = 8 * PITCHES * longest * (1 if kind in ("same", "pitch_row") else 2)
         part = index[at : at + max(1, min(512, _FFT_CELLS // cells))]
         candidates = _Candidates([_as_matrix(rows[i], beats_first) for i in part])
         for j, query in enumerate(matrices):

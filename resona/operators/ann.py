@@ -1,109 +1,99 @@
-"""Approximate neighbours: bucketed random projections pick candidates, exact distances rank them."""
+"""Approximate neighbours: buckets of random projections pick candidates, exact distances rank them.
+
+The index is a narrow table of ids: every vector is projected once on `tables` seeded directions, a bucket is the whole part
+of the projection over the bucket length. Tracks and queries that share a bucket in some table are candidates. Only ids
+meet in that join; a bucket with more than `CROWDED` tracks is cut into parts, each with a copy of the bucket's queries, so
+no task gets a whole crowded bucket. Vectors come to the distinct pairs afterwards.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resona.functions import vectors
-from resona.operators import distances as D
 from resona.operators import ranking
 
-_VECTOR = "_vector"
-
+#: Tracks of a bucket that are joined in one place.
+CROWDED = 2048
 
-def _with_vector(df: DataFrame, column: str) -> DataFrame:
-    return df.filter(F.col(column).isNotNull()).withColumn(
-        _VECTOR, array_to_vector(vectors.doubles(F.col(column)))
-    )
 
+@dataclass(frozen=True)
+class Projections:
+    """Unit directions, one per table, and the width of a bucket."""
 
-def projection_model(
-    catalogue: DataFrame, column: str, bucket_length: float = 1.0, tables: int = 4, seed: int = 12345
-) -> BucketedRandomProjectionLSHModel:
-    """Random projections for the vector width; fitting looks at one row."""
-    lsh = BucketedRandomProjectionLSH(
-        inputCol=_VECTOR, outputCol="_hashes", seed=seed, bucketLength=bucket_length, numHashTables=tables
-    )
-    return lsh.fit(_with_vector(catalogue, column).select(_VECTOR))
+    directions: tuple[tuple[float, ...], ...]
+    length: float
 
+    def buckets(self, column: str) -> Column:
+        """`array<bigint>`, a bucket per table, as one JVM expression."""
+        value = vectors.doubles(F.col(column))
+        lines = vectors.matrix_literal(self.directions)
+        return F.transform(lines, lambda line: F.floor(vectors.dot(value, line) / self.length))
 
-def approximate_nearest(model, catalogue: DataFrame, column: str, key: Sequence[float], k: int) -> DataFrame:
-    """About the k nearest of one query vector, by the model's own search."""
-    found = model.approxNearestNeighbors(
-        _with_vector(catalogue, column), Vectors.dense([float(v) for v in key]), k, distCol="distance"
-    )
-    return found.drop(_VECTOR, "_hashes")
 
+def projections(width: int, bucket_length: float = 1.0, tables: int = 4, seed: int = 12345) -> Projections:
+    """Random directions for vectors of `width` numbers, the same for a seed wherever they are drawn."""
+    drawn = np.random.RandomState(seed).standard_normal((tables, width))
+    unit = drawn / np.linalg.norm(drawn, axis=1, keepdims=True)
+    # short decimals, so that they can be written out as text without loss
+    return Projections(tuple(tuple(round(float(v), 9) for v in line) for line in unit), bucket_length)
 
-def _buckets(model, df: DataFrame, column: str, id_name: str, value: str) -> DataFrame:
-    """(id, vector, table, bucket), one row per hash table; vectors stay in the task."""
-    hashed = model.transform(_with_vector(df, column))
-    return hashed.select(
-        F.col("id").alias(id_name),
-        vectors.doubles(F.col(column)).alias(value),
-        F.posexplode("_hashes").alias("table", "_hash"),
-    ).select(id_name, value, "table", vector_to_array("_hash")[0].alias("bucket"))
 
+def index(model: Projections, catalogue: DataFrame, column: str, id_col: str = "id") -> DataFrame:
+    """(id, table, bucket), a row per track and table: what a stored index holds."""
+    good = catalogue.filter(vectors.all_numbers(F.col(column)) & (F.size(column) == len(model.directions[0])))
+    return good.select(F.col(id_col).alias("id"), F.posexplode(model.buckets(column)).alias("table", "bucket"))
 
-def _met(model, catalogue: DataFrame, batch: D.QueryBatch, column: str) -> DataFrame:
-    """(query_id, id, distance) for every table in which a pair shares its bucket.
-
-    The batch is bounded and broadcast, so a crowded bucket of the catalogue is met where its
-    rows already are and grows by the queries in it alone.
-    """
-    key = catalogue.schema["id"].dataType.simpleString()
-    listed = catalogue.sparkSession.createDataFrame(
-        [(i, v.tolist()) for i, v in zip(batch.ids, batch.values[column])], f"id {key}, {column} array<double>"
-    )
-    ours = _buckets(model, catalogue, column, "id", "v")
-    theirs = _buckets(model, listed, column, "query_id", "q")
-    met = ours.join(F.broadcast(theirs), ["table", "bucket"])
-    return met.select("query_id", "id", vectors.euclidean(F.col("v"), F.col("q")).alias("distance"))
 
+def candidates(tracks: DataFrame, queries: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Distinct pairs (query_id, id) of two indexes that share a bucket in some table."""
+    sizes = tracks.groupBy("table", "bucket").agg(F.count("*").alias("n"))
+    parts = sizes.select("table", "bucket", F.ceil(F.col("n") / crowded).cast("int").alias("parts"))
+    asked = queries.withColumnRenamed("id", "query_id").join(parts, ["table", "bucket"])
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    large = parts.filter("parts > 1")
+    held = tracks.join(large, ["table", "bucket"], "left")
+    held = held.withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), "parts").cast("int")).otherwise(0))
+    met = held.select("id", "table", "bucket", "part").join(asked.drop("parts"), ["table", "bucket", "part"])
+    return met.select("query_id", "id").distinct()
 
-def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
-
-def candidate_distances(
-    model, catalogue: DataFrame, queries: DataFrame, column: str, max_queries: int = D.MAX_BATCH_QUERIES
-) -> DataFrame:
+def candidate_distances(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str) -> DataFrame:
     """Exact distances of all pairs (query, track) that share a bucket in some table.
 
-    A query list of any length goes batch by batch; queries without the feature have no distances.
+    Queries without the feature, or with one of another width, have none; a list of any length is one plan.
     """
-    return D.answer_batches(
-        queries, [column], "id", lambda batch: _once(_met(model, catalogue, batch, column)), max_queries
-    )
+    pairs = candidates(index(model, catalogue, column), index(model, queries, column))
+    ours = catalogue.select("id", vectors.doubles(F.col(column)).alias("_track"))
+    theirs = queries.select(F.col("id").alias("query_id"), vectors.doubles(F.col(column)).alias("_query"))
+    both = pairs.join(ours, "id").join(theirs, "query_id")
+    far = both.select("query_id", "id", vectors.euclidean(F.col("_track"), F.col("_query")).alias("distance"))
+    return far.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
 
-def approximate_top_k(model, catalogue: DataFrame, queries: DataFrame, column: str, k: int) -> DataFrame:
+def approximate_top_k(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, k: int) -> DataFrame:
     """Candidates by buckets, ranked exactly."""
     return ranking.top_k(candidate_distances(model, catalogue, queries, column), k, "distance")
 
 
-def similarity_join(
-    model, catalogue: DataFrame, queries: DataFrame, column: str, threshold: float, max_queries: int = 1024
-) -> DataFrame:
+def approximate_nearest(model: Projections, catalogue: DataFrame, column: str, key: Sequence[float], k: int) -> DataFrame:
+    """About the k nearest of one vector: (rank, id, distance)."""
+    kind = catalogue.schema["id"].dataType
+    one = catalogue.sparkSession.range(1).select(F.lit(0).cast(kind).alias("id"), vectors.constant_array([float(v) for v in key], "double").alias(column))
+    return approximate_top_k(model, catalogue, one, column, k).drop("query_id")
+
+
+def similarity_join(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, threshold: float) -> DataFrame:
     """Pairs (query, track) that share a bucket and are no farther apart than the threshold.
 
-    `queries` may be of any length, also the catalogue itself: it is taken batch by batch. Pairs
-    beyond the threshold are dropped in the task that meets them, before anything is shuffled.
+    `queries` may be of any length, also the catalogue itself.
     """
-    joined = None
-    for batch in D.query_batches(queries, [column], "id", max_queries):
-        near = _once(_met(model, catalogue, batch, column).filter(F.col("distance") <= threshold))
-        joined = near if joined is None else joined.unionByName(near)
-    if joined is None:
-        key = catalogue.schema["id"].dataType.simpleString()
-        return catalogue.sparkSession.createDataFrame([], f"query_id {key}, id {key}, distance double")
-    return joined
+    return candidate_distances(model, catalogue, queries, column).filter(F.col("distance") <= threshold)
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ or repeated: each row yields one vector of distances per feature.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,9 +22,6 @@ from resona.functions import kernels, vectors
 MAX_BATCH_QUERIES = 4096
 MAX_BATCH_BYTES = 64 << 20
 
-# Rows of |queries| x |tracks| doubles come out of a batch in the row form; longer lists take more batches.
-ROW_QUERIES = 32
-
 SIMILARITIES = {"chroma", "chroma_2d", "chroma_full", "chroma_row"}
 GAUSSIAN = {"js", "skl"}
 
@@ -143,60 +140,11 @@ def query_batch(
     table = wanted.orderBy(id_col).limit(max_queries + 1).toArrow()
     if table.num_rows > max_queries or table.nbytes > MAX_BATCH_BYTES:
         raise ValueError(
-            f"more than {max_queries} queries or {MAX_BATCH_BYTES} bytes: take recommend_many or query_batches"
+            f"more than {max_queries} queries or {MAX_BATCH_BYTES} bytes: take resona.operators.blocks"
         )
     return _to_batch(table, id_col, columns)
 
 
-def query_batches(
-    queries: DataFrame,
-    columns: Sequence[str],
-    id_col: str = "id",
-    max_queries: int = MAX_BATCH_QUERIES,
-    missing: str = "drop",
-) -> Iterator[QueryBatch]:
-    """Cut a query list of any length into batches by ranges of the id hash, one fetch each.
-
-    The ranges come from the number of distinct ids; a range that still holds too much is
-    halved, so every query is served however the hash falls.
-    """
-    columns = list(dict.fromkeys(columns))
-    wanted = first_per_id(queries.filter(_usable(columns, missing)), id_col, columns)
-    slots = 1 << 20
-    placed = wanted.withColumn("_slot", F.pmod(F.xxhash64(id_col), F.lit(slots)))
-    expected = wanted.select(id_col).distinct().count()
-    parts = max(1, -(-expected * 5 // (max_queries * 4))) if expected > max_queries else 1
-    edges = [round(slots * i / parts) for i in range(parts + 1)]
-    pending = list(zip(edges[:-1], edges[1:]))[::-1]
-    while pending:
-        low, high = pending.pop()
-        part = placed.filter((F.col("_slot") >= low) & (F.col("_slot") < high)).drop("_slot")
-        table = part.orderBy(id_col).limit(max_queries + 1).toArrow()
-        if table.num_rows > max_queries or table.nbytes > MAX_BATCH_BYTES:
-            if high - low < 2:
-                raise ValueError("queries too large to send one slot at a time")
-            middle = (low + high) // 2
-            pending += [(middle, high), (low, middle)]
-        elif table.num_rows:
-            yield _to_batch(table, id_col, columns)
-
-
-def answer_batches(
-    queries: DataFrame,
-    columns: Sequence[str],
-    id_col: str,
-    answer: Callable[[QueryBatch], DataFrame],
-    max_queries: int = ROW_QUERIES,
-    missing: str = "drop",
-) -> DataFrame:
-    """One answer for a query list of any length; an empty list gives no rows of the same schema."""
-    found = None
-    for batch in query_batches(queries, columns, id_col, max_queries, missing):
-        part = answer(batch)
-        found = part if found is None else found.unionByName(part)
-    return answer(QueryBatch([], {c: [] for c in columns})) if found is None else found
-
-
 def block_distances(feature: Feature, column: pa.Array, queries: Sequence) -> np.ndarray:
     """(n, m) distances of one Arrow column to the batch, by the feature's kernel.
 

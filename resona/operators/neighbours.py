@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from resona.functions import vectors
-from resona.operators import distances as D
-from resona.operators import ranking
+from resona.functions import kernels, vectors
+from resona.operators import blocks, ranking
 
 
 def concatenated(*columns: str) -> Column:
@@ -66,29 +67,39 @@ def nearest(
     """k nearest tracks by L2: (query_id, rank, id, distance).
 
     Centring cancels in a difference, so standardising is a weight of 1/variance per dimension,
-    taken from the catalogue alone; queries may come from elsewhere.
+    taken from the catalogue alone; queries may come from elsewhere. The weights are one row that joins the
+    queries; tasks send on their k best per query.
     """
-    weights = None
+    blocks.checked_id(catalogue, id_col)
+    id_type = catalogue.schema[id_col].dataType
+    asked = blocks.wanted(queries, [column], id_col)
     if standardised:
-        stddev = _statistics(catalogue, column)[1]
-        weights = vectors.constant_array([1 / (s * s) if s > 0 else 0.0 for s in stddev], "double")
-    return D.answer_batches(
-        queries, [column], id_col, lambda batch: _nearest(catalogue, batch, column, k, weights, skip_query, id_col)
-    )
-
-
-def _nearest(catalogue, batch, column, k, weights, skip_query, id_col) -> DataFrame:
-    block = vectors.matrix_literal(batch.values[column])
-    ids = vectors.constant_array(batch.ids, catalogue.schema[id_col].dataType.simpleString()).alias("query_id")
-    rows = catalogue.filter(F.col(column).isNotNull())
-    source = vectors.doubles(F.col(column))
-    if weights is not None:
-        found = F.transform(block, lambda q: vectors.weighted_euclidean(source, q, weights))
-    else:
-        found = F.transform(block, lambda q: vectors.euclidean(source, q))
-    rows = rows.select(F.col(id_col).alias("id"), found.alias("distance"))
-    pairs = rows.select("id", F.inline(F.arrays_zip(ids, F.col("distance"))))
-    pairs = pairs.filter(F.col("distance").isNotNull())
-    if skip_query:
-        pairs = pairs.filter(F.col("id") != F.col("query_id"))
-    return ranking.top_k(pairs, k, "distance").select("query_id", "rank", "id", "distance")
+        weight = F.transform("stddev", lambda s: F.when(s > 0, 1 / (s * s)).otherwise(0.0))
+        # one row as wide as the vector
+        asked = asked.crossJoin(F.broadcast(dimension_statistics(catalogue, column).select(weight.alias("_weights"))))
+    tracks = catalogue.filter(F.col(column).isNotNull()).select(F.col(id_col).alias("id"), column)
+
+    def score(pair: blocks.Pair) -> Iterator[tuple[str, np.ndarray, int]]:
+        weights = None
+        if standardised and len(pair.queries):
+            weights = pair.queries.column("_weights")[0].values.to_numpy(zero_copy_only=False)
+        out = np.full((pair.tracks.num_rows, len(pair.batch)), np.inf)
+        ids = pair.tracks.column("id").to_numpy(zero_copy_only=False)
+        dense = {}
+        for j, query in enumerate(pair.batch.values[column]):
+            if len(query) not in dense:
+                dense[len(query)] = kernels.dense(pair.tracks.column(column), len(query))
+            rows, good = dense[len(query)]
+            difference = rows - query
+            if weights is None or len(weights) != len(query):
+                squares = np.einsum("ij,ij->i", difference, difference)
+            else:
+                squares = np.einsum("ij,ij,j->i", difference, difference, weights)
+            out[:, j] = np.where(good, np.sqrt(squares), np.inf)
+            if skip_query:
+                out[ids == pair.batch.ids[j], j] = np.inf
+        yield "nearest", out, 0
+
+    schema = T.StructType([T.StructField("_list", T.StringType()), T.StructField("query_id", id_type), T.StructField("id", id_type)])
+    partial = blocks.best_of(blocks.met(tracks, asked), [column], [], ["nearest"], k, schema.add("distance", "double"), score)
+    return ranking.top_k(partial, k, "distance").select("query_id", "rank", "id", "distance")

@@ -75,7 +75,7 @@ def scale_rows(
     ranges = min_max(rows, features, own)
     if own and missing == "drop":
         rows = rows.filter(all_usable(features))
-    joined = rows.join(F.broadcast(ranges), "query_id")  # one row per query of a bounded batch
+    joined = rows.join(ranges, "query_id")  # one row per query: Spark broadcasts it up to its size limit
     if own and missing == "keep":
         columns = [F.when(usable(f), scaled(f)).alias(f.scaled) for f in features]
         return joined.select(*rows.columns, *columns).withColumn("aggregated", present_score(features))

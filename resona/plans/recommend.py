@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from resona.operators import blocks, ranking, scaling
 from resona.operators import distances as D
-from resona.operators import ranking, scaling
-from resona.operators.distances import Feature, QueryBatch
+from resona.operators.distances import Feature
 
 
 def find_queries(catalogue: DataFrame, id_col: str, *ids) -> DataFrame:
@@ -33,18 +34,12 @@ def recommend(
 
     With k, the best k per query and their `rank`; without, all tracks in order. With
     missing="keep" a query is answered by the features it has; else `distances.unanswered` lists
-    the queries left out. Lists of any length are answered, some queries per scan; recommend_many
-    takes more queries per scan.
+    the queries left out. A row goes on for every query and track, with all its distances; for long
+    lists recommend_many sends on the best alone.
     """
-    columns = [f.column for f in features]
-
-    def answer(batch: QueryBatch) -> DataFrame:
-        rows = D.distance_rows(catalogue, batch, features, id_col, keep)
-        scored = scaling.scale_rows(rows, features, scale_mode, missing)
-        return scored if k is None else ranking.top_k(scored, k, "aggregated")
-
-    found = D.answer_batches(queries, columns, id_col, answer, missing=missing)
-    return ranking.ranked(found, "aggregated") if k is None else found
+    rows = blocks.distance_rows(catalogue, queries, features, id_col, keep, missing)
+    scored = scaling.scale_rows(rows, features, scale_mode, missing)
+    return ranking.ranked(scored, "aggregated") if k is None else ranking.top_k(scored, k, "aggregated")
 
 
 def feature_rankings(
@@ -56,99 +51,62 @@ def feature_rankings(
         d = F.when(D.usable(f), F.col(f.distance))
         order = -d if f.similarity else d
         entries.append(F.struct(F.lit(f.name).alias("feature"), d.alias("distance"), order.alias("_order")))
-
-    def answer(batch: QueryBatch) -> DataFrame:
-        rows = D.distance_rows(catalogue, batch, features, id_col)
-        long = rows.select("query_id", "id", F.inline(F.array(*entries))).filter(F.col("distance").isNotNull())
-        return ranking.top_k(long, k, "_order", per=("query_id", "feature")).drop("_order")
-
-    return D.answer_batches(queries, [f.column for f in features], id_col, answer)
+    rows = blocks.distance_rows(catalogue, queries, features, id_col)
+    long = rows.select("query_id", "id", F.inline(F.array(*entries))).filter(F.col("distance").isNotNull())
+    return ranking.top_k(long, k, "_order", per=("query_id", "feature")).drop("_order")
 
 
 # Long query lists -----------------------------------------------------------------------
 
 
-# From this many queries on, comparing a row costs far more than moving it once.
-_SPREAD_QUERIES = 64
-
-
-def _batch_inputs(catalogue: DataFrame, batch: QueryBatch, features: Sequence[Feature], id_col: str) -> DataFrame:
-    # edit distances by the built-in expression, the rest is compared as blocks
-    inputs = [D.levenshtein_column(f, batch.of(f)) if f.metric == "levenshtein" else F.col(f.column) for f in features]
-    rows = catalogue.select(F.col(id_col).alias("id"), *[c.alias(f.distance) for c, f in zip(inputs, features)])
-    if len(batch) < _SPREAD_QUERIES:
-        return rows
-    # a catalogue in fewer pieces than there are cores (counted without reading columns) is dealt out
-    cores = catalogue.sparkSession.sparkContext.defaultParallelism
-    pieces = rows.select(F.spark_partition_id().alias("piece")).distinct().count()
-    return rows.repartition(cores) if pieces < cores else rows
-
-
-# Cells (features x rows x queries) compared at a time in a task.
-_BLOCK_CELLS = 4_000_000
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], batch: QueryBatch, features: Sequence[Feature]):
-    """Pieces of the Arrow batches: ids, distances (features, n, m) and which of them count."""
-    step = max(1, _BLOCK_CELLS // (len(batch) * len(features)))
-    for whole in batches:
-        for at in range(0, whole.num_rows, step):
-            part = whole.slice(at, step)
-            block = np.stack([D.block_distances(f, part[f.distance], batch.of(f)) for f in features])
-            ok = np.isfinite(block)
-            for i, f in enumerate(features):
-                if f.max_distance is not None:
-                    ok[i] &= block[i] <= f.max_distance
-            yield part["id"], block, ok
+def _parts(pair: blocks.Pair, features: Sequence[Feature]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Pieces of a pair: first track, distances (features, n, m) and which of them count."""
+    step = max(1, blocks.BLOCK_CELLS // (len(pair.batch) * len(features)))
+    for at in range(0, pair.tracks.num_rows, step):
+        block = pair.distances(features, at, step)
+        ok = np.isfinite(block)
+        for i, f in enumerate(features):
+            if f.max_distance is not None:
+                ok[i] &= block[i] <= f.max_distance
+        yield at, block, ok
 
 
-def _ranges(inputs: DataFrame, batch: QueryBatch, features: Sequence[Feature], scale_mode: str):
-    """Min and max per feature and query: tasks reduce their share, Spark merges the few rows."""
+def _ranges(together: DataFrame, features: Sequence[Feature], scale_mode: str, id_type: T.DataType) -> DataFrame:
+    """Min and max per feature and query: a row per query and task, then one per query."""
     names = [f.name for f in features]
-    schema = "slot int, " + ", ".join(f"min_{n} double, max_{n} double" for n in names)
+    texts, vectors = blocks._split(features)
+    schema = T.StructType([T.StructField("query_id", id_type)])
+    for n in names:
+        schema = schema.add(f"min_{n}", "double").add(f"max_{n}", "double")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.full((len(features), len(batch)), np.inf)
-        high = np.full((len(features), len(batch)), -np.inf)
-        for _, block, ok in _blocks(batches, batch, features):
-            if scale_mode == "after_join":
-                ok = np.broadcast_to(ok.all(axis=0), ok.shape)
-            low = np.minimum(low, np.where(ok, block, np.inf).min(axis=1))
-            high = np.maximum(high, np.where(ok, block, -np.inf).max(axis=1))
-        data = {"slot": pa.array(np.arange(len(batch), dtype=np.int32))}
-        for i, n in enumerate(names):
-            data[f"min_{n}"], data[f"max_{n}"] = pa.array(low[i]), pa.array(high[i])
-        yield pa.RecordBatch.from_pydict(data)
-
-    partial = inputs.mapInArrow(reduce, schema)
-    merged = partial.groupBy("slot").agg(
+        held: dict[bytes, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for ids, low, high in held.values():
+                cells = [pa.array(x) for pair in zip(low, high) for x in pair]
+                yield pa.RecordBatch.from_arrays([ids, *cells], schema.names)
+            held.clear()
+
+        for pair in blocks.pairs(batches, vectors, [f.name for f in texts]):
+            shape = (len(features), len(pair.batch))
+            if pair.key not in held:
+                if sum(len(x[0]) for x in held.values()) > blocks.HELD_QUERIES:
+                    yield from rows()
+                held[pair.key] = pair.queries.column("query_id"), np.full(shape, np.inf), np.full(shape, -np.inf)
+            _, low, high = held[pair.key]
+            for _, block, ok in _parts(pair, features):
+                if scale_mode == "after_join":
+                    ok = np.broadcast_to(ok.all(axis=0), ok.shape)
+                np.minimum(low, np.where(ok, block, np.inf).min(axis=1), out=low)
+                np.maximum(high, np.where(ok, block, -np.inf).max(axis=1), out=high)
+        yield from rows()
+
+    partial = together.mapInArrow(reduce, schema)
+    return partial.groupBy("query_id").agg(
         *[F.min(f"min_{n}").alias(f"min_{n}") for n in names],
         *[F.max(f"max_{n}").alias(f"max_{n}") for n in names],
     )
-    table = merged.orderBy("slot").toArrow()  # one row per query of a bounded batch
-    low = np.stack([table[f"min_{n}"].to_numpy() for n in names])
-    high = np.stack([table[f"max_{n}"].to_numpy() for n in names])
-    return low, high
-
-
-class _Best:
-    """Running k best (score, id) of one query."""
-
-    def __init__(self, k: int):
-        self.k, self.scores, self.ids = k, np.empty(0), None
-
-    @property
-    def bound(self) -> float:
-        return self.scores[-1] if len(self.scores) >= self.k else np.inf
-
-    def offer(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        if len(scores) > self.k:
-            near = scores <= np.partition(scores, self.k - 1)[self.k - 1]
-            scores, ids = scores[near], ids[near]
-        if self.ids is not None:
-            scores, ids = np.concatenate([self.scores, scores]), np.concatenate([self.ids, ids])
-        order = np.lexsort((ids, scores))[: self.k]
-        self.scores, self.ids = scores[order], ids[order]
 
 
 def recommend_sets(
@@ -159,26 +117,47 @@ def recommend_sets(
     k: int,
     scale_mode: str = "after_join",
     id_col: str = "id",
-    max_queries: int = 2048,
+    max_queries: int = blocks.BLOCK_QUERIES,
 ) -> DataFrame:
     """The k best per query and feature set: (feature_set, query_id, rank, id, aggregated).
 
     Distances and scaling cover all `features`; every set averages its share of the scaled
-    columns, so many sets cost one comparison. A batch of queries meets each Arrow batch of the
-    catalogue in a NumPy block. Tasks send on only min/max (first pass) and their k best (second
-    pass), never the pairs. Query lists beyond one batch take one such scan per batch.
+    columns, so many sets cost one comparison. Blocks of queries meet chunks of the catalogue
+    (`blocks.met`) twice: tasks send on only min/max, which are joined to the queries, and then their k best,
+    never the pairs. A list of any length is one plan; max_queries is the size of a block.
     """
-    columns = [f.column for f in features]
+    blocks.checked_id(catalogue, id_col)
     id_type = catalogue.schema[id_col].dataType
-    answers = None
-    for batch in D.query_batches(queries, columns, id_col, max_queries):
-        part = _rank_batch(catalogue, batch, features, sets, k, scale_mode, id_col, id_type)
-        answers = part if answers is None else answers.unionByName(part)
-    if answers is None:
-        key = id_type.simpleString()
-        schema = f"feature_set string, query_id {key}, rank int, id {key}, aggregated double"
-        return catalogue.sparkSession.createDataFrame([], schema)
-    return answers
+    columns = list(dict.fromkeys(f.column for f in features))
+    texts, vectors = blocks._split(features)
+    tracks = catalogue.select(F.col(id_col).alias("id"), *columns)
+    asked = blocks.wanted(queries, columns, id_col)
+    ranges = _ranges(blocks.met(tracks, asked, texts, max_queries), features, scale_mode, id_type)
+    place = {f.name: i for i, f in enumerate(features)}
+    members = {name: [place[n] for n in names] for name, names in sets.items()}
+
+    def score(pair: blocks.Pair) -> Iterator[tuple[str, np.ndarray, int]]:
+        low = np.stack([pair.queries.column(f"min_{f.name}").to_numpy() for f in features])
+        high = np.stack([pair.queries.column(f"max_{f.name}").to_numpy() for f in features])
+        flat = ~(high > low)
+        with np.errstate(invalid="ignore"):
+            spread = np.where(flat, 1.0, high - low)
+        for at, block, ok in _parts(pair, features):
+            complete = ok.all(axis=0)
+            for i, f in enumerate(features):
+                with np.errstate(invalid="ignore"):
+                    share = (block[i] - low[i]) / spread[i]
+                share = 1.0 - share if f.similarity else share
+                block[i] = np.where(flat[i], 0.0, share) * f.weight
+            for name, picked in members.items():
+                yield name, np.where(complete, block[picked].sum(axis=0) / len(picked), np.inf), at
+
+    schema = T.StructType([T.StructField("feature_set", T.StringType()), T.StructField("query_id", id_type), T.StructField("id", id_type)])
+    schema = schema.add("aggregated", "double")
+    together = blocks.met(tracks, asked.join(ranges, "query_id"), texts, max_queries)
+    partial = blocks.best_of(together, vectors, [f.name for f in texts], list(members), k, schema, score)
+    ranked = ranking.top_k(partial, k, "aggregated", per=("feature_set", "query_id"))
+    return ranked.select("feature_set", "query_id", "rank", "id", "aggregated")
 
 
 def recommend_many(
@@ -188,60 +167,9 @@ def recommend_many(
     k: int,
     scale_mode: str = "after_join",
     id_col: str = "id",
-    max_queries: int = 2048,
+    max_queries: int = blocks.BLOCK_QUERIES,
 ) -> DataFrame:
     """The k best per query for a long query list: (query_id, rank, id, aggregated)."""
     sets = {"all": [f.name for f in features]}
     ranked = recommend_sets(catalogue, queries, features, sets, k, scale_mode, id_col, max_queries)
     return ranked.drop("feature_set")
-
-
-def _rank_batch(catalogue, batch, features, sets, k, scale_mode, id_col, id_type) -> DataFrame:
-    inputs = _batch_inputs(catalogue, batch, features, id_col)
-    low, high = _ranges(inputs, batch, features, scale_mode)
-    spread = high - low
-    flat = ~(spread > 0)
-    spread = np.where(flat, 1.0, spread)
-    place = {f.name: i for i, f in enumerate(features)}
-    members = {name: [place[n] for n in names] for name, names in sets.items()}
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        leaders = {name: [_Best(k) for _ in batch.ids] for name in members}
-        bounds = {name: np.full(len(batch), np.inf) for name in members}
-        key_type = None
-        for ids, block, ok in _blocks(batches, batch, features):
-            key_type = ids.type
-            keys = ids.to_numpy(zero_copy_only=False)
-            complete = ok.all(axis=0)
-            for i, f in enumerate(features):
-                with np.errstate(invalid="ignore"):
-                    share = (block[i] - low[i]) / spread[i]
-                share = 1.0 - share if f.similarity else share
-                block[i] = np.where(flat[i], 0.0, share) * f.weight
-            for name, picked in members.items():
-                total = np.where(complete, block[picked].sum(axis=0) / len(picked), np.inf)
-                near = (total <= bounds[name]) & np.isfinite(total)
-                for j in np.flatnonzero(near.any(axis=0)):
-                    leader = leaders[name][j]
-                    leader.offer(total[near[:, j], j], keys[near[:, j]])
-                    bounds[name][j] = leader.bound
-        for name, group in leaders.items():
-            filled = [(q, x) for q, x in zip(batch.ids, group) if x.ids is not None]
-            if not filled:
-                continue
-            sizes = [len(x.ids) for _, x in filled]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * sum(sizes)),
-                    pa.array([q for (q, _), n in zip(filled, sizes) for _ in range(n)], key_type),
-                    pa.array([i for _, x in filled for i in x.ids.tolist()], key_type),
-                    pa.array(np.concatenate([x.scores for _, x in filled])),
-                ],
-                names=["feature_set", "query_id", "id", "aggregated"],
-            )
-
-    key = id_type.simpleString()
-    schema = f"feature_set string, query_id {key}, id {key}, aggregated double"
-    partial = inputs.mapInArrow(best, schema)
-    ranked = ranking.top_k(partial, k, "aggregated", per=("feature_set", "query_id"))
-    return ranked.select("feature_set", "query_id", "rank", "id", "aggregated")

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resona.operators import blocks, ranking, scaling
 from resona.operators import distances as D
-from resona.operators import ranking, scaling
 from resona.operators.distances import Feature
 from resona.operators.reuse import shared
 from resona.session import cut_lineage
@@ -25,34 +25,29 @@ def filter_refine(
     """Feature after feature, keep the tracks strictly closer than the mean of those still in.
 
     Each feature is scaled by min and max before its own filter. The order of the features
-    matters. All distances come from one scan and are written once as narrow rows; each stage
-    reads those, and its limits, one row per query, are a broadcast join.
+    matters: put the ones that cost least first. A stage reads its own column of the tracks that some query has left,
+    and compares these pairs alone; what goes on is a narrow row per pair, written once per stage because its limits
+    and its filter both read it. Ids of the catalogue are unique.
     """
     features = [f for s in stages for f in ([s] if isinstance(s, Feature) else s)]
-    columns = [f.column for f in features]
-    scored = D.answer_batches(
-        queries, columns, id_col, lambda batch: _refined(catalogue, batch, features, id_col, keep)
-    )
-    if k is None:
-        return ranking.ranked(scored, "aggregated")
-    return ranking.top_k(scored, k, "aggregated")
-
-
-def _refined(catalogue, batch, features, id_col, keep) -> DataFrame:
-    rows = cut_lineage(D.distance_rows(catalogue, batch, features, id_col, keep))
+    asked = queries.filter(D._usable([f.column for f in features], "drop"))
+    rows = None
     for f in features:
-        rows = rows.filter(D.usable(f))
+        if rows is None:
+            rows = blocks.distance_rows(catalogue, asked, [f], id_col, keep)
+        else:
+            rows = blocks.survivor_rows(catalogue, asked, rows, [f], id_col)
+        rows = cut_lineage(rows.filter(D.usable(f)))
         d = F.col(f.distance)
         limits = rows.groupBy("query_id").agg(
             F.min(d).alias(f"min_{f.name}"), F.max(d).alias(f"max_{f.name}"), F.avg(d).alias(f"mean_{f.name}")
         )
         columns = [c for c in rows.columns if c != f.distance]
-        rows = (
-            rows.join(F.broadcast(limits), "query_id")  # one row per query of a bounded batch
-            .filter(scaling.by_mean([f]))
-            .select(*columns, scaling.scaled(f).alias(f.scaled))
-        )
-    return rows.withColumn("aggregated", scaling.mean_score(features))
+        rows = rows.join(limits, "query_id").filter(scaling.by_mean([f])).select(*columns, scaling.scaled(f).alias(f.scaled))
+    scored = rows.withColumn("aggregated", scaling.mean_score(features))
+    if k is None:
+        return ranking.ranked(scored, "aggregated")
+    return ranking.top_k(scored, k, "aggregated")
 
 
 def prefilter(
@@ -65,35 +60,21 @@ def prefilter(
     id_col: str = "id",
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The n best by one metric, then all other metrics on those alone.
+    """The n best by one metric, then all other metrics on those alone, each with its own query.
 
-    The first metric is scaled over the catalogue, the others over the n survivors.
+    The first metric is scaled over the catalogue, the others over the n survivors. Ids of the catalogue are unique.
     """
-    columns = [first.column, *[f.column for f in others]]
-    scored = D.answer_batches(
-        queries, columns, id_col, lambda batch: _prefiltered(catalogue, batch, first, others, n, id_col, keep)
-    )
-    if k is None:
-        return ranking.ranked(scored, "aggregated")
-    return ranking.top_k(scored, k, "aggregated")
-
-
-def _prefiltered(catalogue, batch, first, others, n, id_col, keep) -> DataFrame:
-    rows = D.distance_rows(catalogue, batch, [first], id_col, keep)
+    asked = queries.filter(D._usable([first.column, *[f.column for f in others]], "drop"))
+    rows = blocks.distance_rows(catalogue, asked, [first], id_col, keep)
     rows = scaling.scale_rows(rows, [first], "after_join").drop("aggregated")
     order = -F.col(first.distance) if first.similarity else F.col(first.distance)
-    best = cut_lineage(ranking.top_k(rows, n, order).drop("rank"))  # n rows per query, read three times
-    survivors = catalogue.join(
-        F.broadcast(best.select(F.col("id").alias(id_col)).distinct()),  # n per query of one batch
-        id_col,
-        "left_semi",
-    )
-    rest = D.distance_rows(survivors, batch, others, id_col)
-    both = shared(best.join(rest, ["query_id", "id"]))
+    best = cut_lineage(ranking.top_k(rows, n, order).drop("rank"))  # n rows per query
+    both = shared(blocks.survivor_rows(catalogue, asked, best, others, id_col))
     ranges = scaling.min_max(both, others, own=True)
-    both = both.join(F.broadcast(ranges), "query_id").filter(D.all_usable(others))
+    both = both.join(ranges, "query_id").filter(D.all_usable(others))
     columns = [scaling.scaled(f).alias(f.scaled) for f in others]
     features = [first, *others]
-    return both.select(*[c for c in best.columns], *columns).withColumn(
-        "aggregated", scaling.mean_score(features)
-    )
+    scored = both.select(*best.columns, *columns).withColumn("aggregated", scaling.mean_score(features))
+    if k is None:
+        return ranking.ranked(scored, "aggregated")
+    return ranking.top_k(scored, k, "aggregated")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resona.operators import ann, learn, neighbours
+from resona.operators import ann, blocks, learn, neighbours
 from resona.operators import distances as D
 from resona.operators.distances import FEATURES, features_of
 from resona.plans import evaluate as E
@@ -161,40 +161,59 @@ SELECT id, dimension, round((v - mean) / sd, 6) AS z FROM cells JOIN dims USING
 
 # Approximate neighbours ------------------------------------------------------------------------
 
-BUCKET = 0.4
+WIDE = ann.projections(64, 0.4, 6)
+NARROW = ann.projections(64, 0.1, 3)
+
+
+def _rp(spark, sf_dir):
+    return B.tracks(spark, sf_dir).select("id", "label", "rp")
 
 
 def lsh_top_k(spark, sf_dir):
     """Bucketed random projections, then exact ranking."""
-    cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
-    model = ann.projection_model(cat, "rp", BUCKET, 6)
-    return rounded(ann.approximate_top_k(model, cat, B.query_list(cat), "rp", 10), "distance")
+    cat = _rp(spark, sf_dir)
+    return rounded(ann.approximate_top_k(WIDE, cat, B.query_list(cat), "rp", 10), "distance")
 
 
 def lsh_nearest_single(spark, sf_dir):
-    cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
-    model = ann.projection_model(cat, "rp", BUCKET, 6)
-    key = D.query_batch(B.first_query(cat.select("id", "rp")), ["rp"]).values["rp"][0]
-    return rounded(ann.approximate_nearest(model, cat, "rp", key, 10).select("id", "distance"), "distance")
+    cat = _rp(spark, sf_dir)
+    return rounded(ann.approximate_top_k(WIDE, cat, B.first_query(cat), "rp", 10).select("id", "distance"), "distance")
 
 
 def lsh_similarity_join(spark, sf_dir):
     """Pairs of tracks below a distance, from shared buckets: every track against every track."""
-    cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
-    model = ann.projection_model(cat, "rp", BUCKET / 4, 3)
-    pairs = ann.similarity_join(model, cat, cat, "rp", 1.1).filter(F.col("query_id") < F.col("id"))
-    return rounded(pairs, "distance")
+    cat = _rp(spark, sf_dir)
+    return rounded(ann.similarity_join(NARROW, cat, cat, "rp", 1.1).filter(F.col("query_id") < F.col("id")), "distance")
 
 
 def lsh_recall(spark, sf_dir):
-    cat = B.tracks(spark, sf_dir).select("id", "label", "rp")
+    """Of the exact ten nearest, the share among the approximate ten."""
+    cat = _rp(spark, sf_dir)
     queries = B.query_list(cat)
-    model = ann.projection_model(cat, "rp", BUCKET, 6)
-    approximate = ann.approximate_top_k(model, cat, queries, "rp", 10)
+    approximate = ann.approximate_top_k(WIDE, cat, queries, "rp", 10)
     exact = neighbours.nearest(cat, queries, "rp", 10, standardised=False)
     return rounded(ann.recall_at_k(approximate, exact), "recall")
 
 
+def _lsh_sql(model, queries):
+    """CTEs up to `near`: (query_id, id, distance) of the pairs that share a bucket."""
+    lines = ", ".join("[" + ", ".join(map(repr, line)) + "]" for line in model.directions)
+    return f"""WITH {B.TRACKS_SQL} {queries}
+directions AS (SELECT unnest([{lines}]) AS line, unnest(range(0, {len(model.directions)})) AS t),
+hashed AS (SELECT id, rp, t, floor(list_dot_product(rp, line::DOUBLE[]) / {model.length}::DOUBLE) AS bucket FROM tracks, directions),
+near AS (SELECT DISTINCT q.id AS query_id, c.id AS id, list_distance(c.rp, q.rp) AS distance
+    FROM hashed q JOIN hashed c USING (t, bucket) WHERE q.id IN (SELECT id FROM queries))"""
+
+
+SQL["lsh_top_k"] = _lsh_sql(WIDE, B.QUERIES_SQL) + top_sql(10, "query_id, id, round(distance, 6) AS distance, rank", "distance", "near")
+SQL["lsh_nearest_single"] = _lsh_sql(WIDE, B.FIRST_SQL) + top_sql(10, "id, round(distance, 6) AS distance", "distance", "near")
+SQL["lsh_similarity_join"] = _lsh_sql(NARROW, "queries AS (SELECT id FROM tracks),") + """
+SELECT query_id, id, round(distance, 6) AS distance FROM near WHERE distance <= 1.1 AND query_id < id"""
+SQL["lsh_recall"] = _lsh_sql(WIDE, B.QUERIES_SQL) + """,
+found AS (SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, id) <= 10),
+exact AS (SELECT q.id AS query_id, c.id AS id FROM queries q, tracks c
+    QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(c.rp, q.rp), c.id) <= 10)
+SELECT query_id, round(count(found.id) / count(*), 6) AS recall FROM exact LEFT JOIN found USING (query_id, id) GROUP BY query_id"""
 QUERIES["lsh_top_k"] = lsh_top_k
 QUERIES["lsh_nearest_single"] = lsh_nearest_single
 QUERIES["lsh_similarity_join"] = lsh_similarity_join
@@ -286,8 +305,7 @@ round(avg((original = detected)::INT), 6) AS precision FROM found GROUP BY featu
 def feature_correlation(spark, sf_dir):
     cat = B.tracks(spark, sf_dir)
     features = features_of("all")
-    batch = D.query_batch(B.query_list(cat), [f.column for f in features])
-    rows = D.distance_rows(cat, batch, features)
+    rows = blocks.distance_rows(cat, B.query_list(cat), features)
     return rounded(E.correlation_matrix(rows.filter(D.all_usable(features)), [f.distance for f in features]), "correlation")
 
 

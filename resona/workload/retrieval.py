@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from resona.operators import blocks, ranking, scaling
 from resona.operators import distances as D
-from resona.operators import ranking, scaling
 from resona.operators.distances import PRESETS, Feature, features_of
 from resona.plans import recommend as R
 from resona.workload import tables as B
@@ -20,8 +20,7 @@ EIGHT = PRESETS["all"]
 def _distance(spark, sf_dir, names, extra=()):
     cat = B.tracks(spark, sf_dir)
     features = features_of(names) + list(extra)
-    batch = D.query_batch(B.query_list(cat), [f.column for f in features])
-    rows = D.distance_rows(cat, batch, features)
+    rows = blocks.distance_rows(cat, B.query_list(cat), features)
     return rows.filter(D.all_usable(features)), [f.distance for f in features]
 
 
