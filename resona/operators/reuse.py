@@ -19,6 +19,10 @@ def shared(rows: DataFrame) -> DataFrame:
 
 
 def observed(df: DataFrame, *measures: Column) -> tuple[DataFrame, Observation]:
-    """Measures of a step (row count if none are named), filled when a job passes through it."""
+    """Measures of a step (row count if none are named), filled when a job passes through it.
+
+    The session keeps them. MLlib's SVM models that are fitted in the same session afterwards cannot be sent to
+    tasks (Spark 4.1), so observe in `spark.newSession()` where both are needed.
+    """
     watch = Observation()
     return df.observe(watch, *(measures or [F.count(F.lit(1)).alias("rows")])), watch

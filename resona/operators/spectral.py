@@ -332,9 +332,9 @@ def notes_of_beats(frames: DataFrame, beats: DataFrame, d: int = 12, width: int
 
 
 def beat_histogram(beats: DataFrame, bins: int = 250, rate: float = 1.0, width: int = 4096) -> DataFrame:
-    """(id, bin, n): beats per minute out of the intervals between beats, in bins of 1."""
+    """(id, bin, n): beats per minute out of the intervals between beats, in bins of 1; the last bin has all faster ones."""
     placed = positions(beats.select("id", "frame"), "id", "frame", width)
     seconds = (F.col("frame") - F.col("previous")) / rate
     bpm = F.floor(F.try_divide(F.lit(60.0), seconds)).cast("int").alias("bin")
-    binned = placed.select("id", bpm).filter(F.col("bin").between(0, bins - 1))
-    return binned.groupBy("id", "bin").agg(F.count("*").alias("n"))
+    binned = placed.select("id", bpm).filter(F.col("bin") >= 0)
+    return binned.select("id", F.least("bin", F.lit(bins - 1)).alias("bin")).groupBy("id", "bin").agg(F.count("*").alias("n"))

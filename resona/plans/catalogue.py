@@ -13,10 +13,19 @@ KINDS = ("chroma", "mfcckl", "notes", "rp", "rh", "bh")
 
 
 def ingest(
-    spark: SparkSession, folder: str, kinds: Sequence[str] = KINDS, how: str = "inner", repeated: str = "all"
+    spark: SparkSession,
+    folder: str,
+    kinds: Sequence[str] = KINDS,
+    how: str = "inner",
+    repeated: str = "all",
+    widths: dict[str, int] | None = None,
 ) -> DataFrame:
-    """All shards `out*.<kind>` below the folder as one wide row per track."""
-    parts = [feature_text.read_features(spark, f"{folder}/out*.{kind}", kind) for kind in kinds]
+    """All shards `out*.<kind>` below the folder as one wide row per track.
+
+    Lines of another length than the format's (or the one `widths` names for a kind) are left out.
+    """
+    widths = widths or {}
+    parts = [feature_text.read_features(spark, f"{folder}/out*.{kind}", kind, widths.get(kind)) for kind in kinds]
     return C.assemble(parts, how=how, repeated=repeated)
 
 

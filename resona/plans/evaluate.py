@@ -136,6 +136,32 @@ def classes_from_paths(results: DataFrame, root: str = "music/") -> DataFrame:
     return results.select("id", ids.class_from_path(bare).alias("class"))
 
 
+# From stored lists -----------------------------------------------------------------------
+
+
+def labelled_lists(lists: DataFrame, classes: DataFrame, feature_set: str = "all") -> DataFrame:
+    """Rows of stored lists (query, id, aggregated) with the classes of both tracks; the query's own row is left out.
+
+    Works on a stream of list files as well: the classes are the only join.
+    """
+    rows = lists.select(
+        F.lit(feature_set).alias("feature_set"), F.col("query").alias("query_id"), F.col("id").cast("string").alias("id"), "aggregated"
+    )
+    named = classes.select(F.col("id").cast("string").alias("id"), "class")
+    return with_classes(rows.filter(F.col("id") != F.col("query_id")), named)
+
+
+def among_first(labelled: DataFrame, k: int) -> DataFrame:
+    """The k best rows of every stored list, with their rank among the other tracks."""
+    return ranking.top_k(labelled, k, "aggregated", per=("feature_set", "query_id"))
+
+
+def pair_hits(labelled: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """How often each class was found for each class among the first k: (feature_set, original, detected, hits_k)."""
+    hits = [F.sum((F.col("rank") <= k).cast("long")).alias(f"hits_{k}") for k in ks]
+    return labelled.groupBy("feature_set", "original", "detected").agg(*hits)
+
+
 def correlation_matrix(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every two columns, long form, in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]

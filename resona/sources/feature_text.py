@@ -7,6 +7,9 @@
     .mfcckl   id; [means]; [[covariance]]
     .mfcc     id; [means]; [variances]; [upper triangle of the covariance]
 
+A number is a decimal with or without sign, point and exponent (`-1`, `.5`, `5.0E-4`); writers print the shortest
+decimal that reads back as the same double. Vector lengths are those of `LENGTHS` unless a width is given; `ANY_WIDTH` takes all.
+
 A path may be a glob over many shards. Lines are split and parsed by column expressions.
 `parse` keeps every line with a `reason` (null where it is fine); `good` and `quarantined`
 part them.
@@ -22,6 +25,7 @@ from resona.functions import ids, symbols, vectors
 # fixed values: vector lengths
 LENGTHS = {"rp": 1440, "rh": 60, "bh": 250, "mfcckl": 182}
 MFCC_WIDTH = 13
+ANY_WIDTH = -1
 PITCHES = 12
 
 
@@ -55,7 +59,8 @@ def _extracted(lines: DataFrame, **fields: Column) -> DataFrame:
 
 
 def _numbers(name: str) -> tuple[Column, str]:
-    return vectors.all_numbers(F.col(name)), "not a number"
+    finite = F.forall(name, lambda v: F.abs(v) < float("inf"))
+    return vectors.all_numbers(F.col(name)) & finite, "not a number"
 
 
 def _checked(rows: DataFrame, columns: list[Column | str], *checks: tuple[Column, str]) -> DataFrame:
@@ -110,14 +115,15 @@ def _parse_chroma(lines: DataFrame) -> DataFrame:
     rows = _extracted(
         lines,
         id=ids.clean_id(_field(pattern, 1)),
-        starts=matrix.rlike(r"^\[\[[01]\."),
+        opens=matrix.startswith("[["),
         pitches=F.size(F.split(matrix, r"\],\[")),
         chroma=vectors.parse_numbers(matrix),
     )
     whole = (F.col("pitches") == PITCHES) & (F.size("chroma") % PITCHES == 0)
-    return _checked(
-        rows, ["chroma"], (F.col("starts"), "empty or not a chroma matrix"), _numbers("chroma"), (whole, "not twelve rows")
-    )
+    # a chroma matrix opens with a share of energy: zero, or a number of the order of one, however it is printed
+    first = F.get("chroma", F.lit(0))
+    starts = F.col("opens") & (first >= 0) & (first < 2)
+    return _checked(rows, ["chroma"], (starts, "empty or not a chroma matrix"), _numbers("chroma"), (whole, "not twelve rows"))
 
 
 def _parse_gaussian(lines: DataFrame, d: int) -> DataFrame:
@@ -149,7 +155,12 @@ def _parse_euclid(lines: DataFrame, d: int) -> DataFrame:
 
 
 def parse(lines: DataFrame, kind: str, width: int | None = None) -> DataFrame:
-    """Lines of one kind to typed columns, `reason`, the line and its file."""
+    """Lines of one kind to typed columns, `reason`, the line and its file.
+
+    `width` is the length of the vectors (of the means for `mfcckl` and `mfcc`), by default that of the format.
+    """
+    width = LENGTHS.get(kind) if width is None and not kind.startswith("mfcc") else width
+    width = None if width == ANY_WIDTH else width
     if kind in ("rp", "rh"):
         return _parse_rhythm(lines, kind, width)
     if kind == "bh":
@@ -209,8 +220,8 @@ def _list(values: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(values.cast("array<string>"), ","), F.lit("]"))
 
 
-def to_lines(df: DataFrame, kind: str) -> DataFrame:
-    """Rows back to text lines of their kind (notes as numbers)."""
+def to_lines(df: DataFrame, kind: str, width: int | None = None) -> DataFrame:
+    """Rows back to text lines of their kind (notes as numbers); `width` is the length of the means of `mfcckl` and `mfcc`."""
     if kind in ("rp", "rh"):
         line = F.concat_ws(",", F.col("id"), F.array_join(F.col(kind).cast("array<string>"), ","))
     elif kind == "bh":
@@ -222,9 +233,14 @@ def to_lines(df: DataFrame, kind: str) -> DataFrame:
         rows = F.transform(vectors.rows_of(F.col("chroma"), PITCHES), _list)
         line = F.concat_ws("; ", F.col("id"), _list(rows))
     elif kind == "mfcckl":
-        d = MFCC_WIDTH
+        d = MFCC_WIDTH if width is None else width
         cov = F.transform(vectors.rows_of(F.slice("mfcc", d + 1, d * d), d), _list)
         line = F.concat_ws("; ", F.col("id"), _list(F.slice("mfcc", 1, d)), _list(cov))
+    elif kind == "mfcc":
+        # mean and variance of n numbers, then the triangle with or without its diagonal: n * (n + 1) / 2 or n * (n - 1) / 2
+        vector, d = F.col("mfcc_euclid"), MFCC_WIDTH if width is None else width
+        parts = [F.slice(vector, 1, d), F.slice(vector, d + 1, d), F.slice(vector, F.lit(2 * d + 1), F.size(vector))]
+        line = F.concat_ws("; ", F.col("id"), *[_list(p) for p in parts])
     else:
         raise ValueError(kind)
     return df.select(line.alias("value"))

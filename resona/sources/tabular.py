@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resona.functions import ids, vectors
@@ -154,10 +154,24 @@ RESULT_COLUMNS = "idx string, id string, key string, scale string, bpm double, "
 ) + ", aggregated double"
 
 
-def read_result_lists(spark: SparkSession, path: str, schema: str = RESULT_COLUMNS) -> DataFrame:
-    """Many ranked lists as one table, with the file each row comes from as its query."""
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
-    return rows.withColumn("query", ids.strip_extension(ids.base_name(F.input_file_name())))
+def _list_of(named: str) -> Column:
+    """The query a row belongs to: the name of its file, or of the file's folder (`name=value`: the value)."""
+    if named == "file":
+        return ids.strip_extension(ids.base_name(F.input_file_name()))
+    if named == "folder":
+        return F.url_decode(F.regexp_extract(F.input_file_name(), r"(?:[^/=]*=)?([^/]*)/[^/]*$", 1))
+    raise ValueError(named)
+
+
+def read_result_lists(
+    spark: SparkSession, path: str, schema: str = RESULT_COLUMNS, named: str = "file", sep: str = ",", stream: bool = False
+) -> DataFrame:
+    """Many ranked lists as one table (or one stream of files), with the file or folder each row comes from as `query`."""
+    reader = spark.readStream if stream else spark.read
+    reader = reader.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep)
+    if named == "folder":
+        reader = reader.option("recursiveFileLookup", True)
+    return reader.csv(path).withColumn("query", _list_of(named))
 
 
 def list_audio(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from resona.operators import catalogue as C
 from resona.operators import distances as D
 from resona.operators.distances import Feature
+from resona.plans import evaluate
 from resona.plans.recommend import recommend_many
+from resona.session import cut_lineage
 from resona.sources import feature_text
 
 
@@ -23,10 +25,13 @@ def feature_lines(spark: SparkSession, folder: str, pattern: str, files_per_batc
 
 
 def ingest_new(
-    stream: DataFrame, catalogue_path: str, checkpoint: str, quarantine_path: str | None = None, kind: str | None = None, id_col: str = "id"
-) -> StreamingQuery:
+    stream: DataFrame, catalogue_path: str, checkpoint: str, quarantine_path: str | None = None, kind: str | None = None, id_col: str = "id",
+    width: int | None = None,
+) -> StreamingQuery:
     """Append rows whose id the catalogue does not have yet, then stop when all files are read.
 
+    Of several new rows with one id the smallest is taken, column by column in their order.
+
     With `kind`, lines are parsed first and unreadable ones go to the quarantine. Files of a
     batch are written under its number, so a batch that runs again replaces its own output and
     does not take its earlier rows for known ones.
@@ -36,12 +41,17 @@ def ingest_new(
     def append(batch: DataFrame, number: int) -> None:
         rows = batch
         if kind:
-            parsed = feature_text.parse(batch, kind)
+            parsed = feature_text.parse(batch, kind, width)
             if quarantine_path:
+                parsed = cut_lineage(parsed)  # parsed once for both readers
                 aside = feature_text.quarantined(parsed)
                 aside.write.mode("overwrite").parquet(f"{quarantine_path}/batch={number}")
             rows = feature_text.good(parsed)
-        rows = rows.dropDuplicates([id_col])
+        others = [c for c in rows.columns if c != id_col]
+        if others:
+            rows = D.first_per_id(rows, id_col, others).select(*rows.columns)
+        else:
+            rows = rows.distinct()
         known = _known_ids(spark, catalogue_path, id_col, number)
         if known is not None:
             rows = C.not_yet_done(rows, known, id_col)
@@ -82,6 +92,25 @@ def score_queries(
     )
 
 
+def count_lists(stream: DataFrame, classes: DataFrame, out_path: str, checkpoint: str, feature_set: str = "all") -> StreamingQuery:
+    """Class counts of result lists as their files arrive: (feature_set, original, detected, n).
+
+    The state is one row per pair of classes, updated with every micro-batch; the newest counts replace the stored ones.
+    """
+    counts = evaluate.confusion(evaluate.labelled_lists(stream, classes, feature_set))
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(out_path)  # a row per pair of classes
+
+    return (
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def distances_to_stream(
     stream: DataFrame, catalogue: DataFrame, reference_queries: DataFrame, features: Sequence[Feature], id_col: str = "id"
 ) -> DataFrame:

@@ -398,10 +398,11 @@ best AS (SELECT id, beat, list(v ORDER BY p) AS s FROM sums GROUP BY id, beat)
 SELECT id, beat, coalesce(list_position(s, list_max(s)) - 1, 0)::INT AS note FROM spans LEFT JOIN best USING (id, beat)"""
 
 # a beat interval of h hours counts as h seconds
+# (so a few intervals are faster than the last bin)
 QUERIES["beat_histogram"] = lambda spark, sf_dir: S.beat_histogram(_beats(spark, sf_dir), 250, 3600.0, WIDTH)
 SQL["beat_histogram"] = f"""WITH {_SPANS}, g AS (SELECT id, frame - lag(frame) OVER (PARTITION BY id ORDER BY frame) AS gap FROM beats),
 b AS (SELECT id, floor(60.0::DOUBLE / (gap / 3600.0::DOUBLE))::INT AS bin FROM g WHERE gap > 0)
-SELECT id, bin, count(*) AS n FROM b WHERE bin BETWEEN 0 AND 249 GROUP BY id, bin"""
+SELECT id, least(bin, 249) AS bin, count(*) AS n FROM b GROUP BY ALL"""
 
 # Notes and chroma to key A, vector building -------------------------------------------------------------
 

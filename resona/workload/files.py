@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from resona.operators import learn
 from resona.operators.distances import features_of
+from resona.operators.reuse import observed
 from resona.plans import catalogue as build
+from resona.plans import evaluate as E
 from resona.plans import recommend as R
 from resona.session import use_checkpoint_dir
 from resona.sources import feature_text as T
 from resona.sources import tabular
+from resona.streaming import ingest
 from resona.workload import tables as B
 from resona.workload.tables import rounded, scaled_sql, table
 
@@ -29,7 +32,7 @@ def _production_like(spark, sf_dir):
     """Tracks with 13 means and 169 covariance cells taken from their 64 numbers."""
     cat = B.tracks(spark, sf_dir)
     wide = F.concat(F.slice("rp", 1, 13), *[F.slice("rp", 1, 52)] * 3, F.slice("rp", 1, 13))
-    chroma = F.transform("chroma", lambda v: F.round(v, 4) + 0.001)
+    chroma = F.transform("chroma", lambda v: F.round(v, 4))
     return cat.withColumns({"mfcc": wide, "chroma": chroma})
 
 
@@ -40,7 +43,7 @@ def ingest_feature_files(spark, sf_dir):
     for kind in build.KINDS:
         for shard, part in enumerate((F.col("label") < 5, F.col("label") >= 5)):
             T.to_lines(cat.filter(part), kind).write.text(f"{folder}/out{shard}.{kind}")
-    wide = build.ingest(spark, folder)
+    wide = build.ingest(spark, folder, widths={"rp": 64, "rh": 16, "bh": 16})
     return wide.select(
         "id",
         "key",
@@ -57,7 +60,7 @@ def ingest_feature_files(spark, sf_dir):
 QUERIES["ingest_feature_files"] = ingest_feature_files
 SQL["ingest_feature_files"] = "WITH " + B.TRACKS_SQL + """ z AS (SELECT 1) SELECT id::VARCHAR AS id, key, scale, notes, round(bpm, 6) AS bpm,
 64::INT AS n_rp, 16::INT AS n_rh, 16::INT AS n_bh, 182::INT AS n_mfcc, (12 * beats)::INT AS n_chroma,
-round(rp[64], 6) AS last_rp, round(rp[13], 6) AS last_mfcc, round(round(chroma[12 * beats], 4) + 0.001, 6) AS last_chroma FROM tracks"""
+round(rp[64], 6) AS last_rp, round(rp[13], 6) AS last_mfcc, round(round(chroma[12 * beats], 4), 6) AS last_chroma FROM tracks"""
 
 
 def json_catalogue(spark, sf_dir):
@@ -187,3 +190,140 @@ def per_feature_parquet(spark, sf_dir):
 
 QUERIES["per_feature_parquet"] = per_feature_parquet
 SQL["per_feature_parquet"] = """SELECT f AS feature, vec_id AS id, 2::BIGINT AS n, 16::INT AS width FROM embeddings, (VALUES ('rh'), ('bh')) t(f)"""
+
+
+def feature_text_round_trip(spark, sf_dir):
+    """Every track as lines of all seven kinds, read back: how many numbers came back as the very same doubles."""
+    folder = _folder(spark)
+    cat = B.tracks(spark, sf_dir)
+    wide = F.concat(F.slice("rp", 1, 13), *[F.slice("rp", 1, 52)] * 3, F.slice("rp", 1, 13))
+    euclid = F.concat(F.slice("rp", 1, 26), F.slice("rp", 1, 64), F.slice("rp", 1, 27))
+    # tiny, huge and negative numbers, which print with exponents
+    scaled = F.transform("rp", lambda v, i: v * F.pow(F.lit(10.0), F.when(i % 3 == 0, -9).when(i % 3 == 1, 0).otherwise(9)))
+    cat = cat.withColumns({"mfcc": wide, "mfcc_euclid": euclid, "rp": scaled, "id": F.concat(F.lit("a; b, "), F.col("id"))})
+    widths = {"rp": 64, "rh": 16, "bh": 16}
+    found = None
+    for kind, column in (("rp", "rp"), ("rh", "rh"), ("bh", "bh"), ("notes", "notes"), ("chroma", "chroma"), ("mfcckl", "mfcc"), ("mfcc", "mfcc_euclid")):
+        T.to_lines(cat, kind).write.text(f"{folder}/out.{kind}")
+        back = T.read_features(spark, f"{folder}/out.{kind}", kind, widths.get(kind)).select("id", F.col(column).alias("back"))
+        # the cleaned id has no blanks and separators
+        same = cat.select(F.col("id").alias("_id"), F.col(column).alias("was")).join(
+            back.withColumn("_n", F.regexp_extract("id", r"(\d+)$", 1)), F.regexp_extract("_id", r"(\d+)$", 1) == F.col("_n")
+        )
+        one = same.agg(F.lit(kind).alias("kind"), F.count("*").alias("tracks"), F.sum((F.col("was") == F.col("back")).cast("long")).alias("equal"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+QUERIES["feature_text_round_trip"] = feature_text_round_trip
+SQL["feature_text_round_trip"] = """SELECT k AS kind, count(*) AS tracks, count(*) AS equal
+FROM embeddings, (VALUES ('rp'), ('rh'), ('bh'), ('notes'), ('chroma'), ('mfcckl'), ('mfcc')) t(k) GROUP BY k"""
+
+# Evaluation from stored lists ---------------------------------------------------------------------
+
+_LISTED = ["rh", "bh", "mfcc"]
+_LIST_COLUMNS = "rank int, id bigint, aggregated double"
+
+
+def _stored_lists(spark, sf_dir):
+    """The eleven best of one query per class, the query itself among them, a folder of files for each list."""
+    folder = _folder(spark)
+    cat = B.tracks(spark, sf_dir)
+    out = R.recommend(cat, B.query_list(cat), features_of("rh_bh_mfcc"), 11)
+    out.select("query_id", "rank", "id", "aggregated").write.partitionBy("query_id").option("sep", "\t").option("header", True).csv(folder)
+    return folder, cat.select("id", F.col("label").alias("class"))
+
+
+def _labelled_lists(spark, sf_dir):
+    folder, classes = _stored_lists(spark, sf_dir)
+    lists = tabular.read_result_lists(spark, folder, _LIST_COLUMNS, named="folder", sep="\t")
+    return E.labelled_lists(lists, classes, "rh_bh_mfcc")
+
+
+def genre_from_lists(spark, sf_dir):
+    """Confusion counts among the ten best, read from the files of the lists."""
+    return E.confusion(E.among_first(_labelled_lists(spark, sf_dir), 10))
+
+
+def cover_pairs_from_lists(spark, sf_dir):
+    """Hits per pair of classes among the first and the first five, read from the files of the lists."""
+    return E.pair_hits(E.among_first(_labelled_lists(spark, sf_dir), 5), (1, 5))
+
+
+def stream_list_counts(spark, sf_dir):
+    """The same confusion counts while the files of the lists arrive as a stream."""
+    folder, classes = _stored_lists(spark, sf_dir)
+    out = _folder(spark)
+    stream = tabular.read_result_lists(spark, folder, _LIST_COLUMNS, named="folder", sep="\t", stream=True)
+    ingest.count_lists(stream, classes, f"{out}/counts", f"{out}/progress", "rh_bh_mfcc").awaitTermination()
+    return spark.read.parquet(f"{out}/counts")
+
+
+_LISTS_SQL = scaled_sql(_LISTED) + """, others AS (SELECT query_label AS original, label AS detected,
+row_number() OVER (PARTITION BY query_id ORDER BY aggregated, id) AS rank FROM scored WHERE id != query_id)
+SELECT 'rh_bh_mfcc' AS feature_set, original, detected, """
+
+QUERIES["genre_from_lists"] = genre_from_lists
+SQL["genre_from_lists"] = _LISTS_SQL + "count(*) AS n FROM others WHERE rank <= 10 GROUP BY ALL"
+QUERIES["cover_pairs_from_lists"] = cover_pairs_from_lists
+SQL["cover_pairs_from_lists"] = _LISTS_SQL + (
+    "count(*) FILTER (rank <= 1) AS hits_1, count(*) FILTER (rank <= 5) AS hits_5 FROM others WHERE rank <= 5 GROUP BY ALL"
+)
+QUERIES["stream_list_counts"] = stream_list_counts
+SQL["stream_list_counts"] = SQL["genre_from_lists"]
+
+
+def numeric_csv_parts(spark, sf_dir):
+    """Numbers in three files, read as one table."""
+    folder = _folder(spark)
+    cat = B.tracks(spark, sf_dir)
+    flat = tabular.features_as_columns(cat, "rh", 16, "rh").withColumn("part", F.pmod("id", F.lit(3)))
+    paths = [f"{folder}/part-{n}" for n in range(3)]
+    for n, path in enumerate(paths):
+        tabular.write_csv(flat.filter(F.col("part") == n).drop("part"), path, header=False)
+    back = tabular.read_many(spark, paths, id_cols=0)
+    return back.select("id", F.round(F.aggregate("features", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+QUERIES["numeric_csv_parts"] = numeric_csv_parts
+SQL["numeric_csv_parts"] = "SELECT vec_id::VARCHAR AS id, round(list_sum(embedding[1:16]::DOUBLE[]), 6) AS total FROM embeddings"
+
+
+def step_metrics(spark, sf_dir):
+    """Rows and bytes that pass through a step, observed while another job runs over it."""
+    # in a session of its own: SVM models hold their session, and one that has observed anything can't be sent to tasks
+    docs = table(spark.newSession(), sf_dir, "documents").filter(F.col("lang") == "de")
+    watched, watch = observed(docs, F.count(F.lit(1)).alias("rows"), F.sum(F.length("text")).alias("characters"))
+    watched.groupBy("source").count().write.format("noop").mode("overwrite").save()
+    seen = watch.get
+    return spark.createDataFrame([(seen["rows"], seen["characters"])], "rows long, characters long")
+
+
+QUERIES["step_metrics"] = step_metrics
+SQL["step_metrics"] = "SELECT count(*) AS rows, sum(length(text))::BIGINT AS characters FROM documents WHERE lang = 'de'"
+
+
+def size_sweep(spark, sf_dir):
+    """The same queries on the whole catalogue and on three ever smaller ones."""
+    cat = B.tracks(spark, sf_dir)
+    total = cat.count()
+    found = None
+    for size, ranked in E.size_sweep(cat, B.query_list(cat), features_of("rh_bh_mfcc"), 3, total, max(1, total // 4)):
+        if size < total // 5:
+            break
+        one = ranked.select(F.lit(size).cast("long").alias("size"), "query_id", "rank", "id", F.round("aggregated", 6).alias("aggregated"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+QUERIES["size_sweep"] = size_sweep
+SQL["size_sweep"] = B.distances_sql(_LISTED) + """,
+placed AS (SELECT vec_id AS id, row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) AS place, count(*) OVER () AS total FROM embeddings),
+sizes AS (SELECT DISTINCT total - n * greatest(1, total // 4) AS size FROM placed, range(0, 4) AS t(n)),
+part AS (SELECT size, d.* FROM d JOIN placed USING (id), sizes WHERE place <= size AND size >= total // 5),
+bounds AS (SELECT size, query_id, """ + ", ".join(f"min(d_{n}) AS lo_{n}, max(d_{n}) AS hi_{n}" for n in _LISTED) + """ FROM part GROUP BY size, query_id),
+marks AS (SELECT size, query_id, id, (""" + " + ".join(
+    f"CASE WHEN hi_{n} = lo_{n} THEN 0.0 ELSE (d_{n} - lo_{n}) / (hi_{n} - lo_{n}) END" for n in _LISTED
+) + """) / 3 AS aggregated FROM part JOIN bounds USING (size, query_id))
+SELECT size, query_id, rank, id, round(aggregated, 6) AS aggregated FROM (
+  SELECT *, row_number() OVER (PARTITION BY size, query_id ORDER BY aggregated, id)::INT AS rank FROM marks) WHERE rank <= 3"""

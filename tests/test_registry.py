@@ -6,16 +6,8 @@ import pytest
 import __spark_entry__ as entry
 from resona.workload import registry
 
-# no SQL counterpart: projections, classifiers
-ROWS_ONLY = {
-    "lsh_top_k",
-    "lsh_nearest_single",
-    "lsh_similarity_join",
-    "lsh_recall",
-    "svm_classify",
-    "svm_accuracy",
-    "svm_cross_validation",
-}
+# no SQL counterpart: classifiers
+ROWS_ONLY = {"svm_classify", "svm_accuracy", "svm_cross_validation"}
 
 
 def test_every_query_has_sql_but_the_listed():
@@ -30,7 +22,7 @@ def test_entry(spark):
     assert df.columns[:4] == ["query_id", "rank", "id", "label"]
 
 
-@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "recommend_left_outer", "subset_of_size", "cover_evaluation", "build_catalogue", "beat_notes"])
+@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "recommend_left_outer", "subset_of_size", "cover_evaluation", "build_catalogue", "beat_notes", "lsh_top_k", "genre_from_lists", "feature_text_round_trip"])
 def test_some_match_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "documents", "lineitem"):

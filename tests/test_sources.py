@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from resona.functions import ids, symbols
 from resona.plans import catalogue as build
+from resona.plans import evaluate
 from resona.sources import feature_text as T
 from resona.sources import tabular
+from resona.streaming import ingest
+
+ANY = dict.fromkeys(("rp", "rh", "bh"), T.ANY_WIDTH)
 
 
 def write(folder, name, *lines):
@@ -47,7 +51,7 @@ def test_rhythm_lines(spark, tmp_path):
 
 def test_beat_histogram_and_notes(spark, tmp_path):
     bh = write(tmp_path, "a.bh", "audio/a;b.mp3;  163.75; [0.  ,1.5, 2.]", "c.mp3; fast; [1.]", "d.mp3; 1; []")
-    parsed = T.parse(T.read_lines(spark, bh), "bh")
+    parsed = T.parse(T.read_lines(spark, bh), "bh", T.ANY_WIDTH)
     assert rows(T.good(parsed), "id", "bpm", "bh") == [("ab", 163.75, [0.0, 1.5, 2.0])]
     assert sorted(r["reason"] for r in T.quarantined(parsed).collect()) == ["no bpm", "not a number"]
     notes = write(
@@ -104,9 +108,9 @@ def test_shards_are_read_by_glob_and_assembled(spark, tmp_path):
         write(tmp_path / shard, f"out{n}.rh", f"a{n}.mp3,1,2", f"b{n}.mp3,3,4")
         write(tmp_path / shard, f"out{n}.notes", f"a{n}.mp3; A; major; [0, 1]")
         write(tmp_path / shard, f"out{n}.bh", f"a{n}.mp3; 100; [1.]", f"a{n}.mp3; 100; [1.]", f"b{n}.mp3; 90; [1.]")
-    wide = build.ingest(spark, f"{tmp_path}/features[0-9]*", ("rh", "notes", "bh"))
+    wide = build.ingest(spark, f"{tmp_path}/features[0-9]*", ("rh", "notes", "bh"), widths=ANY)
     assert rows(wide, "id", "notes", "bpm") == [("a0", "AB", 100.0), ("a1", "AB", 100.0)]
-    left = build.ingest(spark, f"{tmp_path}/features[0-9]*", ("rh", "notes", "bh"), how="left")
+    left = build.ingest(spark, f"{tmp_path}/features[0-9]*", ("rh", "notes", "bh"), how="left", widths=ANY)
     assert [r[0] for r in rows(left.na.fill("", ["notes"]), "id", "notes")] == ["a0", "a1", "b0", "b1"]
 
 
@@ -174,6 +178,63 @@ def test_result_lists_keep_their_file(spark, tmp_path):
     assert rows(got, "query", "id", "bpm") == [("q1", "music/Pop/q1.mp3", 120.0), ("q2", "music/Pop/q2.mp3", 120.0)]
 
 
+def test_result_lists_named_by_their_folder(spark, tmp_path):
+    for name in ("query=7", "a b"):
+        (tmp_path / name).mkdir()
+        write(tmp_path / name, "part-0.csv", "rank,id,aggregated", "1,7,0.0", "2,9,0.5")
+    got = tabular.read_result_lists(spark, str(tmp_path), "rank int, id long, aggregated double", named="folder")
+    assert rows(got, "query", "rank", "id") == [("7", 1, 7), ("7", 2, 9), ("a b", 1, 7), ("a b", 2, 9)]
+
+
+def test_evaluation_of_stored_lists(spark, tmp_path):
+    for name, ids_ in (("1", [1, 2, 3, 4]), ("4", [4, 3, 1, 2])):
+        write(tmp_path, f"{name}.tsv", "id\taggregated", *[f"{x}\t{i / 10}" for i, x in enumerate(ids_)])
+    classes = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "id long, class string")
+    schema = "id long, aggregated double"
+    lists = tabular.read_result_lists(spark, str(tmp_path), schema, sep="\t")
+    first = evaluate.among_first(evaluate.labelled_lists(lists, classes), 2)
+    assert rows(first, "query_id", "rank", "id") == [("1", 1, "2"), ("1", 2, "3"), ("4", 1, "3"), ("4", 2, "1")]
+    hits = rows(evaluate.pair_hits(first, (1, 2)), "original", "detected", "hits_1", "hits_2")
+    assert hits == [("a", "a", 1, 1), ("a", "b", 0, 1), ("b", "a", 0, 1), ("b", "b", 1, 1)]
+    out = f"{tmp_path}/counts"
+    for _ in range(2):  # the second run has no new files and changes nothing
+        stream = tabular.read_result_lists(spark, f"{tmp_path}/*.tsv", schema, sep="\t", stream=True)
+        ingest.count_lists(stream, classes, out, f"{tmp_path}/progress").awaitTermination()
+        whole = rows(evaluate.confusion(evaluate.labelled_lists(lists, classes)), "original", "detected", "n")
+        assert rows(spark.read.parquet(out), "original", "detected", "n") == whole and sum(r[2] for r in whole) == 6
+
+
+def test_all_kinds_come_back_bit_by_bit(spark, tmp_path):
+    values = [0.0005, 1.5, 3e-12, 0.1 + 0.2, 7.25e9, -4.0, 1e-300, 123456789.123, 0.0, -0.5, 1 / 3, 2.0, 1e22]
+
+    def vector(n, shift=0):
+        return [values[(i * 7 + shift) % 13] for i in range(n)]
+
+    row = ("a; b/c.mp3", vector(1440), vector(60, 1), 97.5, vector(250, 2), vector(182, 3), vector(117), vector(104, 5), "C", "minor", "ABL")
+    schema = "id string, rp array<double>, rh array<double>, bpm double, bh array<double>, mfcc array<double>, "
+    schema += "mfcc_euclid array<double>, older array<double>, key string, scale string, notes string"
+    df = spark.createDataFrame([row], schema).withColumn("chroma", F.slice("rp", 1, 288))
+    for kind, column in (("rp", "rp"), ("rh", "rh"), ("bh", "bh"), ("chroma", "chroma"), ("mfcckl", "mfcc"), ("mfcc", "mfcc_euclid"), ("notes", "notes")):
+        T.to_lines(df, kind).write.text(f"{tmp_path}/{kind}")
+        parsed = T.parse(T.read_lines(spark, f"{tmp_path}/{kind}"), kind)
+        assert [r["reason"] for r in parsed.collect()] == [None]
+        back = T.good(parsed).first()
+        assert back["id"] == "abc" and back[column] == df.first()[column]
+    older = df.drop("mfcc_euclid").withColumnRenamed("older", "mfcc_euclid")
+    T.to_lines(older, "mfcc").write.text(f"{tmp_path}/older")  # a triangle without its diagonal
+    assert T.read_features(spark, f"{tmp_path}/older", "mfcc").first()["mfcc_euclid"] == row[7]
+    assert T.read_features(spark, f"{tmp_path}/bh", "bh").first()["bpm"] == 97.5
+
+
+def test_lengths_are_checked_unless_told_otherwise(spark, tmp_path):
+    path = write(tmp_path, "a.rh", "a.mp3,1,2", "b.mp3," + ",".join(["0.5"] * 60), "c.mp3," + ",".join(["1"] * 59 + ["Infinity"]))
+    lines = T.read_lines(spark, path)
+    reasons = {r["id"]: r["reason"] for r in T.parse(lines, "rh").collect()}
+    assert reasons["b"] is None and reasons["c"] == "not a number" and list(reasons.values()).count(None) == 1
+    assert [r["id"] for r in T.good(T.parse(lines, "rh", 2)).collect() if r["rh"] == [1.0, 2.0]] == ["a"]
+    assert {r["id"] for r in T.good(T.parse(lines, "rh", T.ANY_WIDTH)).collect()} == {"a", "b"}
+
+
 def test_audio_listing(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name in ("a.mp3", "sub/b.WAV", ".c.mp3", "d.txt"):
