@@ -83,6 +83,14 @@ def gaussian_width(length: int) -> int:
     return d
 
 
+def stored_width(length: int) -> int:
+    """d of a flat mean, covariance, log-determinant and inverse of d + d*d + 1 + d*d numbers."""
+    d = int((np.sqrt(8 * length - 7) - 1) / 4 + 0.5)
+    if d + 2 * d * d + 1 != length:
+        raise ValueError(f"{length} numbers are no mean, covariance, log-determinant and inverse")
+    return d
+
+
 def cholesky_lower(matrices: np.ndarray) -> np.ndarray:
     """Lower factors of a stack, read from the lower triangles; NaN where not positive definite."""
     d = matrices.shape[-1]
@@ -107,6 +115,8 @@ def log_det(matrices: np.ndarray) -> np.ndarray:
 class Gaussians:
     """Means, covariances and, on demand, log-determinants and inverses of a stack."""
 
+    _inverse: np.ndarray | None = None
+
     def __init__(self, flat: np.ndarray, good: np.ndarray | None = None):
         d = gaussian_width(flat.shape[1])
         self.mean = flat[:, :d]
@@ -116,7 +126,21 @@ class Gaussians:
         self.log_det = log_det(self.cov)
         self.definite = np.isfinite(self.log_det)
 
+    @classmethod
+    def stored(cls, flat: np.ndarray, good: np.ndarray | None = None) -> Gaussians:
+        """From vectors that bring their log-determinant and inverse along: mean, covariance, log-determinant, inverse."""
+        d = stored_width(flat.shape[1])
+        out = cls.__new__(cls)
+        out.mean, out.cov = flat[:, :d], flat[:, d : d + d * d].reshape(-1, d, d)
+        good = np.ones(len(flat), bool) if good is None else good
+        out.log_det = np.where(good, flat[:, d + d * d], np.nan)
+        out.definite = np.isfinite(out.log_det)
+        out._inverse = flat[:, d + d * d + 1 :].reshape(-1, d, d)
+        return out
+
     def inverse(self) -> np.ndarray:
+        if self._inverse is not None:
+            return self._inverse
         d = self.cov.shape[-1]
         low = np.tril(self.cov)
         symmetric = low + np.transpose(np.tril(self.cov, -1), (0, 2, 1))
@@ -172,6 +196,20 @@ def symmetric_kl_block(column: pa.Array, queries) -> np.ndarray:
     return _gaussian_block(column, queries, symmetric_kl_raw)
 
 
+def _stored_block(column: pa.Array, queries, raw) -> np.ndarray:
+    """The same out of stored factors: nothing of a track or a query alone is factorised."""
+    flat, good = dense(column, len(queries[0]))
+    return _settle(raw(Gaussians.stored(flat, good), Gaussians.stored(np.asarray(queries, dtype=np.float64))))
+
+
+def jensen_shannon_stored_block(column: pa.Array, queries) -> np.ndarray:
+    return _stored_block(column, queries, jensen_shannon_raw)
+
+
+def symmetric_kl_stored_block(column: pa.Array, queries) -> np.ndarray:
+    return _stored_block(column, queries, symmetric_kl_raw)
+
+
 # Chroma --------------------------------------------------------------------------------
 
 
@@ -309,6 +347,8 @@ BLOCKS = {
     "euclidean": euclidean_block,
     "js": jensen_shannon_block,
     "skl": symmetric_kl_block,
+    "js_stored": jensen_shannon_stored_block,
+    "skl_stored": symmetric_kl_stored_block,
     "chroma": chroma_same_block,
     "chroma_2d": chroma_same_2d_block,
     "chroma_full": chroma_full_2d_block,

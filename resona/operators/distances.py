@@ -78,10 +78,19 @@ PRESETS = {
 }
 
 
-def features_of(preset: str | Sequence[str], weights: dict[str, float] | None = None) -> list[Feature]:
+# the divergences on a catalogue that `with_factors` has completed
+STORED = {
+    "js": replace(FEATURES["js"], metric="js_stored", column="gaussian"),
+    "skl": replace(FEATURES["skl"], metric="skl_stored", column="gaussian"),
+}
+
+
+def features_of(preset: str | Sequence[str], weights: dict[str, float] | None = None, stored: bool = False) -> list[Feature]:
+    """Features by name; `stored` takes the divergences from the stored factors of `with_factors`."""
     names = PRESETS[preset] if isinstance(preset, str) else list(preset)
     weights = weights or {}
-    return [FEATURES[n].weighted(weights.get(n, 1.0)) for n in names]
+    known = FEATURES | STORED if stored else FEATURES
+    return [known[n].weighted(weights.get(n, 1.0)) for n in names]
 
 
 @dataclass(frozen=True)
@@ -271,6 +280,18 @@ def gaussian_summary(column: str, d: int) -> Column:
     return summary(F.col(column))
 
 
+def with_factors(catalogue: DataFrame, d: int, column: str = "mfcc", out: str = "gaussian") -> DataFrame:
+    """The catalogue with mean, covariance, log-determinant and inverse in one vector, to be stored with it.
+
+    Rankings by `features_of(..., stored=True)` then factorise nothing per query but the mixtures of the
+    Jensen-Shannon divergence. Null where the covariance is not positive definite: such a track has no divergence.
+    """
+    factors = F.col("_factors")
+    flat = F.concat(vectors.doubles(F.col(column)), F.array(factors["log_det"]), factors["inverse"])
+    whole = catalogue.withColumn("_factors", gaussian_summary(column, d))
+    return whole.withColumn(out, F.when(factors["status"] == "ok", flat)).drop("_factors")
+
+
 def divergence_status(feature: Feature, batch: QueryBatch) -> Column:
     """Per query: ok, negative (set to 0), not_a_number or not_positive_definite."""
     queries = batch.of(feature)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from resona.operators import blocks, ranking, scaling
 from resona.operators import distances as D
 from resona.operators.distances import PRESETS, Feature, features_of
 from resona.plans import recommend as R
+from resona.session import use_checkpoint_dir
 from resona.workload import tables as B
 from resona.workload.tables import distances_sql, rounded, scaled_sql, top_sql
 
@@ -203,6 +206,22 @@ for preset, names in PRESETS.items():
     SQL[f"recommend_{preset}"] = _recommend_sql(names)
 
 _WEIGHTS = {"rp": 2.0, "notes": 0.5, "js": 1.5}
+
+
+def recommend_stored_factors(spark, sf_dir):
+    """The divergences from log-determinants and inverses that were written with the catalogue."""
+    folder = f"{use_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    D.with_factors(B.tracks(spark, sf_dir), 2).drop("mfcc").write.parquet(folder)
+    cat = spark.read.parquet(folder)
+    features = features_of(["rp", "js", "skl"], stored=True)
+    out = R.recommend(cat, B.query_list(cat), features, 10, keep=_KEEP)
+    columns = [f.scaled for f in features]
+    return rounded(out.select("query_id", "rank", "id", "label", *columns, "aggregated"), *columns, "aggregated")
+
+
+QUERIES["recommend_stored_factors"] = recommend_stored_factors
+SQL["recommend_stored_factors"] = _recommend_sql(["rp", "js", "skl"])
+
 QUERIES["recommend_weighted"] = _recommend(["rp", "notes", "js"], _WEIGHTS)
 SQL["recommend_weighted"] = _recommend_sql(["rp", "notes", "js"], _WEIGHTS)
 

@@ -290,6 +290,23 @@ def test_scores_have_the_same_bits_alone_and_in_long_lists(spark, sf):
         assert rows == alone and len(rows) == 9
 
 
+def test_stored_factors_give_the_same_divergences(spark):
+    d, n = 13, 40
+    flat = []
+    for i in range(n):
+        a = RNG.normal(size=(d, d))
+        cov = a @ a.T + np.eye(d) * (0.1 if i else -50)  # the first is not positive definite
+        flat.append((i, np.concatenate([RNG.normal(size=d), cov.ravel()]).tolist()))
+    df = spark.createDataFrame(flat, "id long, mfcc array<double>")
+    stored = distances.with_factors(df, d).drop("mfcc").cache()
+    assert stored.filter("gaussian is null").count() == 1
+    queries = [1, 2, 3]
+    plain = recommend.recommend(df, df.filter(F.col("id").isin(queries)), features_of(["js", "skl"]), 5)
+    quick = recommend.recommend(stored, stored.filter(F.col("id").isin(queries)), features_of(["js", "skl"], stored=True), 5)
+    key = lambda out: sorted((r["query_id"], r["rank"], r["id"], round(r["aggregated"], 9)) for r in out.collect())
+    assert key(plain) == key(quick) and len(key(plain)) == 15
+
+
 def test_refine_compares_survivors_with_their_own_queries(spark, sf):
     cat = tables.tracks(spark, sf).select("id", "rp", "notes", "mfcc").cache()
     queries = cat.filter("id < 6")
