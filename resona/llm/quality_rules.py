@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects documents. On a bounded sample every rule sees every sampled document, which
-gives its CPU time per document and the pattern of rules that reject it. Rules are then ordered
+Each rule rejects documents. On a bounded sample every rule sees every sampled document that passes the base
+test (the cascade sees no others), which gives its CPU time and the pattern of rules that reject each document. Rules are then ordered
 greedily: next comes the rule that rejects most of what the earlier ones leave, per unit of time.
 Over the whole table a rule only looks at documents that all earlier rules passed. The verdict is
 that of all rules together and does not depend on the order, so estimates that differ from run to
@@ -92,8 +92,31 @@ def subset(piece: Piece, which: np.ndarray) -> Piece:
     return Piece(np.concatenate(parts) if parts else piece.data[:0], offsets, piece.rows)
 
 
-def rule_order(docs: DataFrame, names: list[str], sample: int = SAMPLE) -> list[str]:
-    """The names in the order of greatest rejection per cost, from about `sample` documents."""
+def base_failures(piece: Piece, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents that fail the base test, and their repeated words."""
+    repeats = repeated_words(piece)
+    return (piece.n_words < min_words) | (100 * repeats > 50 * piece.n_words), repeats
+
+
+def by_worth(names: list[str], patterns: dict[int, float], costs: dict[str, float]) -> list[str]:
+    """The names in the order of greatest rejection per cost among what the earlier ones leave; ties: the cheaper first.
+
+    patterns: how many documents are rejected by exactly the rules whose bits (places in `names`) are set.
+    """
+    left, order = dict(patterns), []
+    while len(order) < len(names):
+        def worth(name: str) -> tuple[float, float]:
+            bit = 1 << names.index(name)
+            return sum(n for key, n in left.items() if key & bit) / costs[name], -costs[name]
+
+        best = max((n for n in names if n not in order), key=worth)
+        order.append(best)
+        left = {key: n for key, n in left.items() if not key & (1 << names.index(best))}
+    return order
+
+
+def rule_order(docs: DataFrame, names: list[str], sample: int = SAMPLE, min_words: int = MIN_WORDS) -> list[str]:
+    """The order of the rules, from about `sample` documents."""
     rows = docs.count()
     if not rows:
         return names
@@ -104,7 +127,8 @@ def rule_order(docs: DataFrame, names: list[str], sample: int = SAMPLE) -> list[
         spent = np.zeros(len(names))
         patterns: dict[int, int] = {}
         for batch in batches:
-            for piece in pieces(batch.column(0)):
+            for whole in pieces(batch.column(0)):
+                piece = subset(whole, ~base_failures(whole, min_words)[0])
                 pattern = np.zeros(len(piece), np.int64)
                 for i, name in enumerate(names):
                     fresh = Piece(piece.data, piece.offsets, piece.rows)
@@ -120,33 +144,23 @@ def rule_order(docs: DataFrame, names: list[str], sample: int = SAMPLE) -> list[
     # one row per rule and per pattern of rules met in the sample
     seen = chosen.mapInArrow(profile, "key long, value double").groupBy("key").agg(F.sum("value").alias("value"))
     totals = {row.key: row.value for row in seen.collect()}
-    left = {key: n for key, n in totals.items() if key >= 0}
     costs = {name: max(totals.get(-1 - i, 0.0), 1e-9) for i, name in enumerate(names)}
-    order: list[str] = []
-    while len(order) < len(names):
-        def worth(name: str) -> tuple[float, float]:
-            bit = 1 << names.index(name)
-            return sum(n for key, n in left.items() if key & bit) / costs[name], -costs[name]
-
-        best = max((n for n in names if n not in order), key=worth)
-        order.append(best)
-        left = {key: n for key, n in left.items() if not key & (1 << names.index(best))}
-    return order
+    return by_worth(names, {key: n for key, n in totals.items() if key >= 0}, costs)
 
 
 def judged(docs: DataFrame, rules: list[str] | None = None, min_words: int = MIN_WORDS) -> DataFrame:
     """A row per document: doc_id, the base measures, base_failed, rejected_by (the first rule of
     the order that rejects it, or null) and kept."""
     names = list(RULES) if rules is None else rules
-    order = rule_order(docs, names)
+    order = rule_order(docs, names, min_words=min_words)
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[list] = [[] for _ in range(7)]
             for piece in pieces(batch.column(1)):
-                n, repeats = piece.n_words, repeated_words(piece)
-                failed = (n < min_words) | (100 * repeats > 50 * n)
+                n = piece.n_words
+                failed, repeats = base_failures(piece, min_words)
                 by = np.full(len(piece), None, object)
                 alive = ~failed
                 for name in order:  # only what is left

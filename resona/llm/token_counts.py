@@ -1,19 +1,17 @@
-"""Token counts by a counting transducer over text.
+"""Token counts of texts, segment by segment, each distinct segment counted by the tokenizer's own library.
 
 No piece of the vocabulary has a space behind another character (checked when the model is
 loaded), so no merge crosses the start of a run of spaces, and a text's tokens are those of its
-segments, `spaces + everything up to the next space`. The transducer's states are the open
-segments, known by hash; reading a byte inside a segment emits nothing and moves on to the longer
-segment, a space behind another character closes the segment and emits its number of tokens,
-which is taken from the tokenizer's own library when a state is first closed and kept for later.
+segments, `spaces + everything up to the next space`. A segment's number of tokens is asked of the library
+once per task and remembered by hash. (The merge rules are not compiled into a transducer.)
 
-Texts longer than a chunk are cut. What a chunk does is a state map: it completes an open
+A text longer than a chunk is cut, inside its task. What a chunk does is a state map: it completes an open
 segment (`head`), emits what lies between (`emitted`) and leaves a segment open (`tail`). Maps
 compose associatively (`then`), and a tree of compositions gives the text's total, whatever the
 cuts.
 
 Counts equal the library's. Defined cases: null and empty texts have 0 bytes and tokens; rows are
-independent, so repeated rows get equal counts; other columns are not read.
+independent, so ties and repeated rows get equal counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.llm import (
-    decontamination, line_dedup, mixing, ngram_join, ordinal_quality, quality_rules, suffix_tree, token_counts,
+    decontamination, line_dedup, mixing, ngram_join, ordinal_quality, quality_rules, queries, suffix_tree, token_counts,
     toxicity, url_filter,
 )
 
@@ -225,7 +225,7 @@ def test_empty_tables(spark, docs):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     for result in (
         ngram_join.near_duplicates(empty), line_dedup.deduplicated(empty), decontamination.contamination(empty, bench),
-        mixing.mixture(empty), quality_rules.judged(empty), suffix_tree.scores(empty, F.lit(False)), url_filter.judged(pages),
+        token_counts.token_counts(empty, queries._model("piece_bpe_32k.model")), mixing.mixture(empty), quality_rules.judged(empty), suffix_tree.scores(empty, F.lit(False)), url_filter.judged(pages),
         ordinal_quality.graded(empty, labels), toxicity.scored(empty, labels, F.lit(True)),
     ):
         assert result.count() == 0
