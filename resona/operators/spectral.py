@@ -41,25 +41,38 @@ def segments(
 
     `skip` segments are left out at both ends and every `step`-th is taken, except for tracks
     shorter than `min_duration` seconds, which are taken whole. A last incomplete one is dropped.
+
+    Which segments are taken is decided on a row per segment; samples meet those on (id, range), so a track with
+    half of all samples is as many keys as it has segments.
     """
-    lengths = samples.groupBy("id").agg((F.max("sample") + 1).alias("_n"))
+    ranged, facts = with_ranges(samples, "sample", size, (F.max("sample") + 1).alias("_n"))
     short = (F.col("_n") / samplerate) < min_duration
-    rows = samples.join(lengths, "id").withColumns(
-        {"_skip": F.when(short, 0).otherwise(skip), "_step": F.when(short, 1).otherwise(step)}
-    )
+    facts = facts.withColumns({"_skip": F.when(short, 0).otherwise(skip), "_step": F.when(short, 1).otherwise(step)})
     inside = F.floor((F.col("_n") - F.col("_skip") * 2 * size) / size)
     count = F.floor((inside - 1) / F.col("_step")) + 1
-    place = F.floor(F.col("sample") / size) - F.col("_skip")
-    return (
-        rows.withColumns({"_place": place, "_count": count})
+    taken = (
+        facts.withColumns({"_place": F.col("_range") - F.col("_skip"), "_count": count})
         .withColumn("segment", F.floor(F.col("_place") / F.col("_step")))
         .filter(
             (F.col("_place") >= 0)
             & (F.col("_place") % F.col("_step") == 0)
             & (F.col("segment") < F.col("_count"))
         )
-        .select("id", "segment", (F.col("sample") % size).cast("int").alias("offset"), "value", (F.col("sample") - F.col("sample") % size).alias("start"))
+        .select("id", "_range", "segment")
     )
+    return ranged.join(taken, ["id", "_range"]).select(
+        "id", "segment", (F.col("sample") % size).cast("int").alias("offset"), "value", (F.col("sample") - F.col("sample") % size).alias("start")
+    )
+
+
+def with_ranges(rows: DataFrame, place: str, width: int, *facts: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with the `_range` of `width` places they lie in, and per (id, _range) facts of the whole track.
+
+    Facts are one row per track, copied to the track's ranges: joined on both columns, rows of a long track are many keys.
+    """
+    ranged = rows.withColumn("_range", F.floor(F.col(place) / width))
+    ranges = ranged.select("id", "_range").distinct()
+    return ranged, ranges.join(rows.groupBy("id").agg(*facts), "id")
 
 
 def segment_positions(segmented: DataFrame, size: int, samplerate: float) -> DataFrame:
@@ -308,23 +321,23 @@ def beat_means(frames: DataFrame, beats: DataFrame, d: int = 12, width: int = 40
     return means.select("id", "beat", unit.alias("vec"))
 
 
-def clear_frames(frames: DataFrame) -> DataFrame:
+def clear_frames(frames: DataFrame, width: int = 4096) -> DataFrame:
     """Chroma frames with only clear notes: the largest value as 1 and others from 0.8 up;
     frames with no more energy than half the track's mean are all zero."""
     energy = vectors.total(F.col("vec"))
-    limits = frames.groupBy("id").agg((F.avg(energy) / 2).alias("_limit"))
+    ranged, limits = with_ranges(frames, "frame", width, (F.avg(energy) / 2).alias("_limit"))
     top = F.array_max("vec")
     clear = F.transform("vec", lambda v: F.when(v == top, 1.0).when(v >= 0.8, v).otherwise(0.0))
     silent = F.transform("vec", lambda v: F.lit(0.0))
-    joined = frames.join(limits, "id")
-    return joined.withColumn("vec", F.when(energy > F.col("_limit"), clear).otherwise(silent)).drop("_limit")
+    joined = ranged.join(limits, ["id", "_range"])
+    return joined.withColumn("vec", F.when(energy > F.col("_limit"), clear).otherwise(silent)).select(*frames.columns)
 
 
 def notes_of_beats(frames: DataFrame, beats: DataFrame, d: int = 12, width: int = 4096) -> DataFrame:
     """(id, beat, note): the pitch class with most energy of the beat's clear frames (the first
     of equals; 0 for a beat without any)."""
     spans = shared(beat_segments(beats, width))
-    met = frames_in_beats(clear_frames(frames), spans, width)
+    met = frames_in_beats(clear_frames(frames, width), spans, width)
     sums = met.groupBy("id", "beat").agg(F.array(*[F.sum(F.col("vec")[i]) for i in range(d)]).alias("s"))
     note = (F.array_position("s", F.array_max("s")) - 1).cast("int")
     found = sums.select("id", "beat", note.alias("note"))

@@ -164,3 +164,23 @@ def test_beats(spark):
     assert sum(histogram.values()) == len(beats) - 1
     coarse = {r["bin"]: r["n"] for r in S.beat_histogram(b, bins=5, rate=10.0).collect()}
     assert coarse[4] == int((bpm >= 4).sum())  # nothing is lost beyond the last bin
+
+
+def test_a_long_track_is_many_keys(spark):
+    """One track with most of all rows: the largest task of the join that brings facts has a small share of them."""
+    size = 64
+    long = spark.range(size * 200).select(F.lit("long").alias("id"), F.col("id").alias("sample"))
+    rest = spark.range(size * 30).select(F.concat(F.lit("t"), F.col("id") % 10).alias("id"), F.floor(F.col("id") / 10).alias("sample"))
+    samples = long.unionByName(rest).withColumn("value", F.col("sample") / 7)
+    ranged, facts = S.with_ranges(samples, "sample", size, (F.max("sample") + 1).alias("n"))
+    assert facts.filter("id = 'long'").count() == 200 and facts.filter("id = 'long' and n = 12800").count() == 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        cut = S.segments(samples, size, 44100.0, skip=0, min_duration=0.0)
+        parts = [r["n"] for r in cut.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        # eight partitions: a join on the bare id would put all of the long track in one
+        assert sum(parts) == size * 200 + 10 * 3 * size and max(parts) < 0.3 * sum(parts)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
