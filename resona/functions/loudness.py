@@ -40,6 +40,7 @@ def band_loudness(bands: int = len(BARK)) -> np.ndarray:
 
 def spreading(bands: int = len(BARK)) -> np.ndarray:
     """Masking of band j in band i."""
+    # fixed values: the spreading function of critical bands
     apart = np.arange(bands)[:, None] - np.arange(bands)[None, :] + 0.474
     return 10 ** ((15.81 + 7.5 * apart - 17.5 * np.sqrt(1 + apart**2)) / 10)
 
@@ -93,6 +94,7 @@ def phon(bands: Column, count: int = len(BARK)) -> Column:
 
 
 def sone(bands: Column) -> Column:
+    # fixed values: loudness doubles every 10 phon from 40 on, below it is a power
     return F.transform(
         bands,
         lambda v: F.when(v >= 40, F.pow(F.lit(2.0), (v - 40) / 10)).otherwise(F.pow(v / 40, F.lit(2.642))),
@@ -110,6 +112,7 @@ def mel_filters(samplerate: float, window: int, bands: int = 80, low: float = 0.
 
     The scale is linear below 1000 Hz and logarithmic above (27 steps per factor 6.4).
     """
+    # fixed values: the mel scale with a linear and a logarithmic part
     linear, log_start, log_step = 200.0 / 3, 1000.0, np.log(6.4) / 27.0
 
     def to_mel(f):

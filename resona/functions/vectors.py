@@ -50,10 +50,6 @@ def weighted_euclidean(a: Column, b: Column, weights: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.sqrt(dot(squares, weights)))
 
 
-def mean_of(values: Column) -> Column:
-    return total(values) / F.size(values)
-
-
 def frames_gaussian(values: Column, frames: int, d: int) -> Column:
     """Mean and sample covariance (flat d + d*d) of one vector read as frames of d numbers."""
     series = [strided(values, i, d, frames) for i in range(d)]
@@ -111,12 +107,3 @@ def transpose_flat(flat: Column, rows: int) -> Column:
         F.sequence(F.lit(0), F.size(flat) - 1),
         lambda i: F.element_at(flat, ((i % rows) * width + (i / rows).cast("int") + 1).cast("int")),
     )
-
-
-def median_of(values: Column) -> Column:
-    """Median of a vector held in one row."""
-    ordered = F.array_sort(values)
-    n = F.size(values)
-    low = F.element_at(ordered, ((n + 1) / 2).cast("int"))
-    high = F.element_at(ordered, (n / 2).cast("int") + 1)
-    return (low + high) / 2
