@@ -8,13 +8,17 @@ distribution departs from that of its suffix: count times Kullback-Leibler diver
 the suffix's. Each symbol is predicted by the longest suffix of what precedes it that is a state.
 
 The tree is never in one place: a gram is a context and the symbol after it, a row with its count.
-Depth by depth, grams are joined to the gram shorter by the oldest symbol. No key of these joins
-has more than 256 rows. Each block of documents gets the predictions of its distinct grams.
+Contexts of up to `TOP` symbols are shared by all: 256 ** 3 grams at most, of which the driver sees the 256 ** 2
+shortest. All longer contexts with the same last `TOP` + 1 symbols are one subtree, which is grown where its grams
+are; subtrees are dealt into parts of about `PART` grams.
+
+Each block of documents asks every part for its distinct grams by one packed row and gets one packed row of
+predictions. A part's predictions precede the questions in one sorted stream, so a task holds one part and one
+question at a time, whatever the number of blocks.
 
 A text's score is the sum over its symbols, so it is the probability of its token sequence. Beside it
-stands a base score from the counts of whole words. Words are counted block-wise: documents are dealt by hash into blocks of some megabytes, each block
-sends every distinct word once with its count, totals go back to the blocks that have the word. No
-word or gram, however frequent, has more rows than there are blocks, and no row stands for a single token.
+stands a base score from the counts of whole words, which are asked for in the same way. Documents are dealt by hash
+into blocks of some megabytes; no word or gram, however frequent, stands in more rows than there are blocks.
 
 Words are compared by 64-bit hash. Defined cases: null and empty texts have the end as their only
 token; rows without doc_id are training rows; repeated rows count each; without training rows known
@@ -24,7 +28,6 @@ words are none and N is 0; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +36,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from resona.llm.text import Piece, pieces
+from resona.llm.text import Piece, mixed, pieces
 from resona.session import cut_lineage
 
 DEPTH = 5
 DIVERGENCE = 20.0
 #: Weight of the suffix's distribution, in observations.
 SMOOTHING = 4.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, BLOCKS = 16 << 20, 24
+#: Context symbols of the shared top of the tree, and keys of a part.
+TOP, PART = 2, 1 << 17
+#: Rows of the top that are sent to every task; beyond it they are joined by a shuffle.
+SENT_ROWS = 500_000
+_GRAM, _WORD = 0, 1
 _END, _GAP = 10, 32
 #: Stands for the end among word hashes.
 _END_WORD = np.uint64(0)
@@ -79,103 +87,254 @@ def grams(symbols: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def gram_counts(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n): each sequence of depth + 1 symbols and how often it stands in texts that are not held out."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+
+
+def tally(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(kind, key, n): grams and word hashes, and how often they stand in texts that are not held out.
+
+    Grams that only held-out texts have are there with 0, words are not.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[list[list[np.ndarray]]] = [[[], []], [[], []]]
 
-        def merged():
-            every = np.concatenate([keys, *(k for k, _ in waiting)])
-            amount = np.concatenate([counts, *(n for _, n in waiting)])
-            order = np.argsort(every, kind="stable")
-            every, amount = every[order], amount[order]
-            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-            return every[first], np.add.reduceat(amount, first)
+        def add(kind: int, keys: np.ndarray, n: np.ndarray) -> None:
+            waiting[kind][0].append(keys)
+            waiting[kind][1].append(n)
+            if len(waiting[kind][0]) > 1 and sum(map(len, waiting[kind][0])) > max(4_000_000, 2 * len(waiting[kind][0][0])):
+                waiting[kind][:] = [[x] for x in _summed(*waiting[kind])]
 
         for batch in batches:
             train = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for piece in pieces(batch.column(0)):
                 symbols, before, stops = sequence(piece)
-                taught = np.repeat(train[piece.rows], np.diff(np.concatenate(([0], stops + 1))))
+                of = train[piece.rows]
+                taught = np.repeat(of, np.diff(np.concatenate(([0], stops + 1))))
                 every = grams(symbols, before, depth + 1)
-                waiting.append(np.unique(every[taught], return_counts=True))
+                add(_GRAM, *np.unique(every[taught], return_counts=True))
                 held = np.unique(every[~taught])
-                waiting.append((held, np.zeros(len(held), np.int64)))
-                if sum(len(k) for k, _ in waiting) > 4_000_000:
-                    keys, counts = merged()
-                    waiting = []
-        if waiting:
-            keys, counts = merged()
-        for at in range(0, len(keys), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[at : at + 100_000]), pa.array(counts[at : at + 100_000])], ["gram", "n"]
-            )
+                add(_GRAM, held, np.zeros(len(held), np.int64))
+                add(_WORD, *np.unique(piece.lower.hashes[of[piece.lower.spans[2]]].view(np.int64), return_counts=True))
+                if of.any():
+                    add(_WORD, np.array([_END_WORD]).view(np.int64), np.array([of.sum()]))
+        for kind, (keys, counts) in enumerate(waiting):
+            if not keys:
+                continue
+            key, n = _summed(keys, counts)
+            for at in range(0, len(key), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(key[part]), kind, np.int32)), pa.array(key[part]), pa.array(n[part])], ["kind", "key", "n"]
+                )
 
-    counted = rows.select(F.col("text").cast("string"), "held_out").mapInArrow(count, "gram long, n long")
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = rows.select(F.col("text").cast("string"), "held_out").mapInArrow(count, "kind int, key long, n long")
+    return counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def _low(size: int) -> int:
+    return (1 << 8 * size) - 1
 
 
 def _last(size: int) -> Column:
     """The last `size` symbols of a gram."""
-    return F.col("gram").bitwiseAND(F.lit((1 << 8 * size) - 1).cast("long"))
+    return F.col("gram").bitwiseAND(F.lit(_low(size)).cast("long"))
+
+
+#: Spreads neighbouring contexts over the parts.
+_SPREAD = 2654435761
+
+
+def _gram_part(parts: int) -> Column:
+    root = F.shiftright("gram", 8).bitwiseAND(F.lit(_low(TOP + 1)).cast("long"))
+    return F.shiftright(root * F.lit(_SPREAD), 16) % F.lit(parts)
+
+
+def _parts(kind: int, keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of every key, as `_gram_part` has it for grams."""
+    if kind == _WORD:
+        return (mixed(keys.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    return (((keys >> 8) & _low(TOP + 1)) * _SPREAD >> 16) % parts
+
+
+def _smoothed(n: np.ndarray, every: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed probabilities and the terms of the divergence."""
+    safe = np.where(n > 0, n, 1)
+    gain = np.where(n > 0, n * np.log(safe / np.maximum(every, 1) / base), 0.0)
+    return (n + SMOOTHING * base) / (every + SMOOTHING), gain
+
+
+def subtree(gram: np.ndarray, n: np.ndarray, base: np.ndarray, depth: int, divergence: float):
+    """Whole subtrees from their grams, counts and the last symbols' probabilities after `TOP` symbols.
+
+    Gives the states as (size << 48 | context), and for every gram log10 of its probability after the longest state and
+    whether there is one here; where there is none it is log10 of `base`.
+    """
+    known, first = np.unique(gram & _low(TOP + 1), return_index=True)
+    p = base[first]
+    levels = []
+    for size in range(TOP + 1, depth + 1):
+        keys, place = np.unique(gram & _low(size + 1), return_inverse=True)
+        times = np.bincount(place, n, len(keys))
+        contexts, of = np.unique(keys >> 8, return_inverse=True)
+        p, gain = _smoothed(times, np.bincount(of, times, len(contexts))[of], p[np.searchsorted(known, keys & _low(size))])
+        levels.append((size, p[place], contexts, of[place], np.bincount(of, gain, len(contexts)) >= divergence))
+        known = keys
+    states, longer = [], np.empty(0, np.int64)
+    value, found = np.log10(base), np.zeros(len(gram), bool)
+    for size, after, contexts, of, passed in reversed(levels):
+        kept = passed | np.isin(contexts, longer & _low(size))
+        longer = contexts[kept]
+        states.append(size << 48 | longer)
+        here = kept[of] & ~found
+        value[here] = np.log10(after[here])
+        found |= here
+    return np.concatenate(states) if states else longer, value, found
+
+
+def _top(counts: DataFrame, divergence: float):
+    """The shared top: p of one and of two symbols, which contexts of one and of two symbols pass, and (gram, p) of three."""
+    three = cut_lineage(counts.groupBy(_last(TOP + 1).alias("gram")).agg(F.sum("n").alias("n")))
+    pairs = np.zeros((256, 256))
+    for key, n in three.groupBy(_last(2).alias("gram")).agg(F.sum("n")).collect():  # at most 256 ** 2 rows
+        pairs[key >> 8, key & 255] = n
+    one = (pairs.sum(axis=0) + 0.5) / (pairs.sum() + 0.5 * 256)
+    two, gain = _smoothed(pairs, pairs.sum(axis=1, keepdims=True), one[None, :])
+    passed_one, flat = gain.sum(axis=1) >= divergence, two.ravel()
+
+    def smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, n, every = (c.to_numpy() for c in batch.columns)
+            p, gain = _smoothed(n, every, flat[gram & 0xFFFF])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(gain)], ["gram", "p", "gain"])
 
+    every = F.sum("n").over(W.partitionBy(F.shiftright("gram", 8)))  # 256 rows each
+    level = cut_lineage(three.select("gram", "n", every.alias("every")).mapInArrow(smooth, "gram long, p double, gain double"))
+    passed_two = np.zeros(1 << 16, bool)
+    context = F.shiftright("gram", 8).alias("context")
+    for row in level.groupBy(context).agg(F.sum("gain").alias("gain")).where(F.col("gain") >= divergence).collect():
+        passed_two[row.context] = True  # at most 256 ** 2 rows
+    return one, flat, passed_one, passed_two, level.select("gram", "p")
 
-def grow(counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> tuple[list[DataFrame], DataFrame]:
-    """(gram, p) of each context size from 0 on, and the states (size, context) except the root.
+
+def grow(counts: DataFrame, depth: int = DEPTH, divergence: float = DIVERGENCE) -> tuple[DataFrame, DataFrame]:
+    """(part, keys, values): all grams with log10 of their last symbol after the longest state, packed by part; and the
+    states (size, context) except the root. `counts` (gram, n) is read more than once, so it should be stored.
 
     p is smoothed: (n + SMOOTHING * p of the gram without its oldest symbol) / (count of the context + SMOOTHING).
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    levels, chosen = [], []
-    for size in range(depth + 1):
-        level = counts.groupBy(_last(size + 1).alias("gram")).agg(F.sum("n").alias("n")) if size < depth else counts
-        if not size:
-            levels.append(cut_lineage(level.select("gram", ((F.col("n") + 0.5) / (total + 0.5 * 256)).alias("p"))))
-            continue
-        level = level.select(F.shiftright("gram", 8).alias("context"), "gram", "n", _last(size).alias("shorter"))
-        level = level.withColumn("all", F.sum("n").over(W.partitionBy("context")))
-        level = level.join(levels[-1].select(F.col("gram").alias("shorter"), F.col("p").alias("base")), "shorter")
-        p = (F.col("n") + SMOOTHING * F.col("base")) / (F.col("all") + SMOOTHING)
-        gain = F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") / F.col("all") / F.col("base"))).otherwise(0.0)
-        level = cut_lineage(level.select("gram", "context", p.alias("p"), gain.alias("gain")))
-        levels.append(level.select("gram", "p"))
-        passed = level.groupBy("context").agg(F.sum("gain").alias("gain")).where(F.col("gain") >= divergence)
-        chosen.append(passed.select(F.lit(size).alias("size"), "context"))
-    own = reduce(DataFrame.unionByName, chosen)
-    # suffixes of what is retained
-    shorter = own.select(F.explode(F.sequence(F.lit(1), "size")).alias("size"), "context")
-    suffix = F.col("context").bitwiseAND(F.expr("shiftleft(1L, size * 8) - 1"))
-    return levels, cut_lineage(shorter.select("size", suffix.alias("context")).distinct())
-
-
-def predictions(levels: list[DataFrame], states: DataFrame) -> DataFrame:
-    """(gram, log10): each gram's last symbol as predicted by the longest state before it."""
-    found = levels[0].select("gram", F.log10("p").alias("log10"))
-    for size, level in enumerate(levels[1:], 1):
-        kept = states.where(F.col("size") == size).select("context", F.lit(True).alias("kept"))
-        level = level.select("gram", "p", F.shiftright("gram", 8).alias("context"), _last(size).alias("shorter"))
-        level = level.join(kept, "context", "left").join(found.withColumnRenamed("gram", "shorter"), "shorter")
-        found = level.select("gram", F.when(F.col("kept"), F.log10("p")).otherwise(F.col("log10")).alias("log10"))
-    return found
-
-
-def _word_rows(left: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of a block and how often its training texts have them."""
-    hashes, taught = [], []
-    ends = left.column("train").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-    for piece in pieces(left.column("text")):
-        low = piece.lower
-        h = low.hashes
-        keys, place = np.unique(h, return_inverse=True)
-        hashes.append(keys)
-        taught.append(np.bincount(place, ends[piece.rows][low.spans[2]], len(keys)).astype(np.int64))
-    hashes.append(np.array([_END_WORD]))
-    taught.append(np.array([ends.sum()]))
-    every, amount = np.concatenate(hashes), np.concatenate(taught)
-    keys, place = np.unique(every, return_inverse=True)
-    return keys, np.bincount(place, amount, len(keys)).astype(np.int64)
+    spark = counts.sparkSession
+    parts = part_count(counts.count())
+    one, two, passed_one, passed_two, level = _top(counts, divergence)
+    near = level.select(F.col("gram").alias("short"), F.col("p").alias("base"))
+    if level.count() <= SENT_ROWS:
+        near = F.broadcast(near)
+    dealt = counts.join(near, _last(TOP + 1) == F.col("short")).select(_gram_part(parts).alias("part"), "gram", "n", "base")
+
+    def whole(left: pa.Table) -> pa.Table:
+        left = left.sort_by("gram")
+        gram, n, base = (left.column(c).to_numpy() for c in ("gram", "n", "base"))
+        states, value, found = subtree(gram, n, base, depth, divergence)
+        cells = [[left.column("part")[0].as_py()], [packed(gram)], [value.tobytes()], [found.tobytes()], [states]]
+        return pa.table(dict(zip(("part", "keys", "values", "found", "states"), cells, strict=True)), grown)
+
+    grown = pa.schema({"part": pa.int64(), "keys": pa.binary(), "values": pa.binary(), "found": pa.binary(), "states": pa.list_(pa.int64())})
+    deep = cut_lineage(
+        dealt.groupBy("part").applyInArrow(whole, "part long, keys binary, values binary, found binary, states array<long>")
+    )
+    state = deep.select(F.explode("states").alias("state"))
+    size, context = F.shiftright("state", 48), F.col("state").bitwiseAND(F.lit(_low(6)).cast("long"))
+    ends = state.where(size == TOP + 1).select(context.bitwiseAND(F.lit(_low(TOP)).cast("long")).alias("context")).distinct()
+    kept_two = passed_two.copy()
+    kept_two[[row.context for row in ends.collect()]] = True  # at most 256 ** 2 rows
+    kept_one = passed_one | kept_two.reshape(256, 256).any(axis=0)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                gram = unpacked(batch.column(1)[row].as_py())
+                value = np.frombuffer(batch.column(2)[row].as_py(), np.float64)
+                found = np.frombuffer(batch.column(3)[row].as_py(), bool)
+                after_one = np.where(kept_one[gram >> 8 & 255], two[gram & 0xFFFF], one[gram & 255])
+                value = np.where(found | kept_two[gram >> 8 & 0xFFFF], value, np.log10(after_one))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), pa.array([value.tobytes()])], names)
+
+    names = ["part", "keys", "values"]
+    filled = deep.select(*names, "found").mapInArrow(fill, "part long, keys binary, values binary")
+    short = [(1, int(c)) for c in np.flatnonzero(kept_one)] + [(2, int(c)) for c in np.flatnonzero(kept_two)]
+    top = spark.createDataFrame(short, "size int, context long")
+    return filled, top.unionByName(state.select(size.cast("int").alias("size"), context.alias("context")))
+
+
+def part_count(keys: int) -> int:
+    return max(1, -(-keys // PART))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, byte by byte of all, which compresses well."""
+    steps = np.diff(keys, prepend=np.int64(0)).astype(np.int64)
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+def _word_answers(counts: DataFrame, parts: int) -> DataFrame:
+    """(part, keys, values): word hashes with their counts, packed by part."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.array(_parts(_WORD, batch.column(0).to_numpy(), parts))
+            yield pa.RecordBatch.from_arrays([part, *batch.columns], ["part", "key", "n"])
+
+    def whole(left: pa.Table) -> pa.Table:
+        left = left.sort_by("key")
+        keys, n = left.column("key").to_numpy(), left.column("n").to_numpy()
+        return pa.table({"part": [left.column("part")[0].as_py()], "keys": [packed(keys)], "values": [n.tobytes()]})
+
+    dealt = counts.mapInArrow(deal, "part long, key long, n long")
+    return dealt.groupBy("part").applyInArrow(whole, "part long, keys binary, values binary")
+
+
+def _asked(texts: pa.ChunkedArray) -> dict[int, np.ndarray]:
+    """The distinct keys of a block, sorted."""
+    found = {_GRAM: [np.empty(0, np.int64)], _WORD: [np.array([_END_WORD]).view(np.int64)]}
+    for piece in pieces(texts):
+        found[_GRAM].append(np.unique(grams(*sequence(piece)[:2], DEPTH + 1)))
+        found[_WORD].append(np.unique(piece.lower.hashes).view(np.int64))
+    return {kind: np.unique(np.concatenate(keys)) for kind, keys in found.items()}
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, part, block, keys, values) sorted by these; block -1 has what is known, the others ask."""
+    at, keys, values = None, np.empty(0, np.int64), np.empty(0, np.int64)
+    names = ["block", "kind", "part", "values"]
+    for batch in batches:
+        out: list[tuple] = []
+        for row in range(batch.num_rows):
+            kind, part, block = (batch.column(c)[row].as_py() for c in range(3))
+            if block < 0:
+                at, keys = (kind, part), unpacked(batch.column(3)[row].as_py())
+                values = np.frombuffer(batch.column(4)[row].as_py(), np.int64)
+                continue
+            asked = unpacked(batch.column(3)[row].as_py())
+            answer = np.zeros(len(asked), np.int64)
+            if at == (kind, part) and len(keys):
+                place = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+                answer = np.where(keys[place] == asked, values[place], 0)
+            out.append((block, kind, part, answer.tobytes()))
+            if sum(len(x[3]) for x in out) > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER)], names)
+
+
+_ANSWER = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
 
 
 def scores(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -184,78 +343,69 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
     Rows where `held_out` (a condition on doc_id) is true are scored, not learned from.
     """
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = cut_lineage(gram_counts(rows))
-    predicted = predictions(*grow(counts))
-    ends = F.col("gram").bitwiseAND(F.lit(255)).isin(_GAP, _END)
-    taught = counts.agg(F.sum(F.when(ends, F.col("n")))).first()[0] or 0
+    counts = cut_lineage(tally(rows))
+    of_words = counts.where(F.col("kind") == _WORD).select("key", "n")
+    words, taught = of_words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of_grams = counts.where(F.col("kind") == _GRAM).select(F.col("key").alias("gram"), "n")
+    parts = {_GRAM: part_count(of_grams.count()), _WORD: part_count(words)}
     bytes_ = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(64, -(-bytes_ // BLOCK_BYTES))
-    dealt = rows.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"),
-        "doc_id", "held_out", (~F.col("held_out")).alias("train"), "text",
-    )
-
-    def send_words(left: pa.Table) -> pa.Table:
-        keys, n = _word_rows(left)
-        block = np.full(len(keys), left.column("block")[0].as_py(), np.int64)
-        return pa.table({"block": block, "word": keys.view(np.int64), "n": n})
-
-    def send_grams(left: pa.Table) -> pa.Table:
-        found = [np.empty(0, np.int64)]
-        for piece in pieces(left.column("text")):
-            found.append(np.unique(grams(*sequence(piece)[:2], DEPTH + 1)))
-        keys = np.unique(np.concatenate(found))
-        return pa.table({"block": np.full(len(keys), left.column("block")[0].as_py(), np.int64), "gram": keys})
-
-    words = dealt.groupBy("block").applyInArrow(send_words, "block long, word long, n long")
-    same = W.partitionBy("word")
-    owner = F.min(F.when(F.col("n") > 0, F.col("block"))).over(same) == F.col("block")
-    totals = words.select(
-        "block", F.col("word").alias("key"), F.sum("n").over(same).alias("total"),
-        F.coalesce(owner, F.lit(False)).alias("owner"), F.lit(None).cast("double").alias("log10"),
+    blocks = max(BLOCKS, -(-bytes_ // BLOCK_BYTES))
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "held_out", "text")
+
+    def ask(left: pa.Table) -> pa.Table:
+        block, out = left.column("block")[0].as_py(), []
+        for kind, keys in _asked(left.column("text")).items():
+            of = _parts(kind, keys, parts[kind])
+            order = np.argsort(of, kind="stable")
+            edges = np.flatnonzero(np.diff(of[order], prepend=-1))
+            for places in np.split(order, edges[1:]):
+                out.append((kind, int(of[places[0]]), block, packed(keys[places]), None))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), stream)], ["kind", "part", "block", "keys", "values"])
+
+    stream = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    known = grow(of_grams)[0].withColumn("kind", F.lit(_GRAM))
+    known = known.unionByName(_word_answers(of_words, parts[_WORD]).withColumn("kind", F.lit(_WORD)))
+    columns = ["kind", "part", "block", "keys", "values"]
+    questions = dealt.groupBy("block").applyInArrow(ask, "kind int, part long, block long, keys binary, values binary")
+    meeting = questions.unionByName(known.withColumn("block", F.lit(-1).cast("long")).select(*columns))
+    answers = (
+        meeting.repartition("kind", "part").sortWithinPartitions("kind", "part", "block")
+        .mapInArrow(_answered, "block long, kind int, part long, values binary")
     )
-    needed = dealt.groupBy("block").applyInArrow(send_grams, "block long, gram long").join(predicted, "gram")
-    totals = totals.unionByName(
-        needed.select("block", F.col("gram").alias("key"), F.lit(0).cast("long").alias("total"), F.lit(False).alias("owner"), "log10")
-    )
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        of_gram = pc.is_valid(right.column("log10"))
-        predicted = right.filter(of_gram).sort_by("key")
-        known, log10 = predicted.column("key").to_numpy(), predicted.column("log10").to_numpy()
-        right = right.filter(pc.invert(of_gram))
-        keys = right.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, total = keys[order], right.column("total").to_numpy()[order]
-        end_total = total[0] if len(keys) and keys[0] == _END_WORD else 0
+        right = right.sort_by("part")
+        asked, value = _asked(left.column("text")), {}
+        for kind, keys in asked.items():
+            got = right.filter(pc.equal(right.column("kind"), kind)).column("values").to_pylist()
+            value[kind] = np.empty(len(keys), np.int64)
+            value[kind][np.argsort(_parts(kind, keys, parts[kind]), kind="stable")] = np.frombuffer(b"".join(got), np.int64)
+        log10, total = value[_GRAM].view(np.float64), value[_WORD]
+        end_total = total[np.searchsorted(asked[_WORD], np.array([_END_WORD]).view(np.int64))][0]
         columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-        for piece in pieces(left.column("text") if left.num_rows else pa.array([], pa.string())):
+        for piece in pieces(left.column("text")):
             low = piece.lower
-            doc, h = low.spans[2], low.hashes
-            c = total[np.searchsorted(keys, h)] if len(h) else np.empty(0, np.int64)
+            doc, h = low.spans[2], low.hashes.view(np.int64)
+            c = total[np.searchsorted(asked[_WORD], h)] if len(h) else np.empty(0, np.int64)
             symbols, place, stops = sequence(piece)
-            each = log10[np.searchsorted(known, grams(symbols, place, DEPTH + 1))]
+            each = log10[np.searchsorted(asked[_GRAM], grams(symbols, place, DEPTH + 1))]
             before = np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], stops + 1))]
             n = len(piece)
             columns[0].append(np.bincount(doc, minlength=n) + 1)
             columns[1].append(np.bincount(doc, c > 0, n).astype(np.int64) + (end_total > 0))
             columns[2].append(np.bincount(doc, np.log10(c + 0.5), n) + np.log10(end_total + 0.5))
             columns[3].append(np.diff(before))
-        tokens, seen, base, model = (np.concatenate(x) if x else np.empty(0) for x in columns)
-        kinds = np.zeros(left.num_rows, np.int64)
-        if left.num_rows:
-            kinds[0] = right.column("owner").to_numpy().sum()
+        tokens, seen, base, model = (np.concatenate(x) for x in columns)
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens.astype(np.int64),
-            "n_known": seen.astype(np.int64), "known_sum": base.astype(float), "score": model.astype(float), "kinds": kinds,
+            "n_known": seen.astype(np.int64), "known_sum": base.astype(float), "score": model.astype(float),
         })
 
     schema = dealt.select("doc_id", "held_out").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("known_sum", "double"), ("score", "double"), ("kinds", "long")):
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("known_sum", "double"), ("score", "double")):
         schema = schema.add(name, kind)
-    found = cut_lineage(dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema))
-    kinds = found.agg(F.sum("kinds")).first()[0] or 0
-    norm = float(np.log10(taught + 0.5 * (kinds + 1)))
+    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    norm = float(np.log10(taught + 0.5 * (words + 1)))
     return found.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(taught).cast("long").alias("train_tokens"),
         (F.col("known_sum") - F.col("n_tokens") * F.lit(norm)).alias("base_score"), "score",
