@@ -87,9 +87,32 @@ def grams(symbols: np.ndarray, before: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def _edges(ordered: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], ordered[1:] != ordered[:-1]))[: len(ordered)]
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; sorting integers is several times faster here than `unique`."""
+    ordered = np.sort(keys)
+    return ordered[_edges(ordered)]
+
+
+def _places(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """`searchsorted` of grams (48 bits) in any order: runs are sorted first, with their places in the low bits."""
+    out = np.empty(len(wanted), np.int64)
+    for at in range(0, len(wanted), 1 << 15):
+        part = wanted[at : at + (1 << 15)]
+        order = np.sort(part << 15 | np.arange(len(part)))
+        out[at + (order & 0x7FFF)] = np.searchsorted(known, order >> 15)
+    return out
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return every, np.bincount(place, np.concatenate(counts), len(every)).astype(np.int64)
+    every, amount = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(every)
+    every = every[order]
+    first = np.flatnonzero(_edges(every))
+    return every[first], np.add.reduceat(amount[order], first) if len(first) else amount
 
 
 def tally(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -104,7 +127,7 @@ def tally(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
         def add(kind: int, keys: np.ndarray, n: np.ndarray) -> None:
             waiting[kind][0].append(keys)
             waiting[kind][1].append(n)
-            if len(waiting[kind][0]) > 1 and sum(map(len, waiting[kind][0])) > max(4_000_000, 2 * len(waiting[kind][0][0])):
+            if len(waiting[kind][0]) > 1 and sum(map(len, waiting[kind][0])) > max(3_000_000, 2 * len(waiting[kind][0][0])):
                 waiting[kind][:] = [[x] for x in _summed(*waiting[kind])]
 
         for batch in batches:
@@ -115,7 +138,7 @@ def tally(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
                 taught = np.repeat(of, np.diff(np.concatenate(([0], stops + 1))))
                 every = grams(symbols, before, depth + 1)
                 add(_GRAM, *np.unique(every[taught], return_counts=True))
-                held = np.unique(every[~taught])
+                held = _distinct(every[~taught])
                 add(_GRAM, held, np.zeros(len(held), np.int64))
                 add(_WORD, *np.unique(piece.lower.hashes[of[piece.lower.spans[2]]].view(np.int64), return_counts=True))
                 if of.any():
@@ -304,9 +327,9 @@ def _asked(texts: pa.ChunkedArray) -> dict[int, np.ndarray]:
     """The distinct keys of a block, sorted."""
     found = {_GRAM: [np.empty(0, np.int64)], _WORD: [np.array([_END_WORD]).view(np.int64)]}
     for piece in pieces(texts):
-        found[_GRAM].append(np.unique(grams(*sequence(piece)[:2], DEPTH + 1)))
-        found[_WORD].append(np.unique(piece.lower.hashes).view(np.int64))
-    return {kind: np.unique(np.concatenate(keys)) for kind, keys in found.items()}
+        found[_GRAM].append(_distinct(grams(*sequence(piece)[:2], DEPTH + 1)))
+        found[_WORD].append(_distinct(piece.lower.hashes.view(np.int64)))
+    return {kind: _distinct(np.concatenate(keys)) for kind, keys in found.items()}
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +411,7 @@ def scores(docs: DataFrame, held_out: Column) -> DataFrame:
             doc, h = low.spans[2], low.hashes.view(np.int64)
             c = total[np.searchsorted(asked[_WORD], h)] if len(h) else np.empty(0, np.int64)
             symbols, place, stops = sequence(piece)
-            each = log10[np.searchsorted(asked[_GRAM], grams(symbols, place, DEPTH + 1))]
+            each = log10[_places(asked[_GRAM], grams(symbols, place, DEPTH + 1))]
             before = np.concatenate(([0.0], np.cumsum(each)))[np.concatenate(([0], stops + 1))]
             n = len(piece)
             columns[0].append(np.bincount(doc, minlength=n) + 1)
