@@ -170,13 +170,34 @@ def test_suffix_tree_keeps_its_states_at_any_size(spark):
     # 120,000 contexts over all bytes: a dense table of their children would have some 100 MiB or more
     context = F.xxhash64("id").bitwiseAND(F.lit((1 << 40) - 1))
     gram = F.shiftleft(context, 8).bitwiseOR(F.pmod(F.hash("id"), F.lit(256)).cast("long"))
-    counts = spark.range(120_000).select(gram.alias("gram"), F.lit(40).cast("long").alias("n")).localCheckpoint()
+    counts = spark.range(120_000).select(gram.alias("gram"), F.lit(40).cast("long").alias("n")).cache()
     states = suffix_tree.grow(counts)[1]
     assert states.count() > 87_000
     longest = states.where("size = 3").select(F.col("context").bitwiseAND(F.lit(0xFFFF)).alias("context")).distinct()
     assert longest.join(states.where("size = 2"), "context", "left_anti").count() == 0
 
 
+def test_suffix_tree_keys_survive_packing_and_lookup():
+    rng = np.random.default_rng(3)
+    every = rng.integers(0, 1 << 48, 100_000)
+    known = suffix_tree._distinct(np.concatenate([every, every[:500]]))
+    assert known.tolist() == sorted(set(every.tolist()))
+    wanted = rng.choice(every, 90_000)
+    assert (known[suffix_tree._places(known, wanted)] == wanted).all()
+    signed = np.sort(rng.integers(-(2**63), 2**63 - 1, 1000))
+    for keys in (known, signed, signed[:1], signed[:0]):
+        assert (suffix_tree.unpacked(suffix_tree.packed(keys)) == keys).all()
+
+
+def test_suffix_tree_words_with_few_keys_a_part_and_wide_top(docs, monkeypatch):
+    held = F.col("doc_id") % 3 == 1
+    whole = sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffix_tree.scores(docs, held).collect())
+    monkeypatch.setattr(suffix_tree, "PART", 40)  # many parts
+    monkeypatch.setattr(suffix_tree, "SENT_ROWS", 0)  # the top is joined by a shuffle
+    parts = suffix_tree.scores(docs, held).collect()
+    assert whole == sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in parts)
+
+
 def test_suffix_tree_reads_pieces_shorter_than_a_context():
     assert suffix_tree.preceding(np.array([120, 32, 10], np.uint8), np.arange(3), 5).tolist() == [10, 10, 10]
 
