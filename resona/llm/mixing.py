@@ -14,7 +14,7 @@ are then sorted by range of position.
 
 Defined cases: null or wordless texts have size 0 and are taken 0 times; sources of size 0 have
 target 0; repeated rows are documents of their own; an empty table gives an empty result; other
-columns are ignored. Equal positions are ordered by hash and doc_id.
+columns are ignored. Equal positions are ordered by doc_id, null last, then epoch.
 
 Running sums work on two levels, prefixes of the hash and rows of a prefix, with about as many
 prefixes as rows in each, so a source with a third of all rows is dealt out like any other.
