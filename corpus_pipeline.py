@@ -4,6 +4,10 @@ Every stage reads what its predecessor has written. All but the last return the
 `documents`: the quality classifier and decontamination drop documents, line dedup cuts texts, the
 n-gram join leaves one document of each group. The last returns the mix, a row per copy of a
 document that is taken, in training order.
+
+Defined cases: documents without words, from the start or emptied by line dedup, go on unless a stage rejects them, and
+the mix takes none of them; other null columns, ties, repeated rows and empty tables as the stages' operators state.
+Columns beyond those of `documents` end with the first stage.
 """
 
 from __future__ import annotations
