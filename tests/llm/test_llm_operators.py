@@ -105,16 +105,41 @@ def test_mixture_reaches_its_targets(docs):
     assert order == sorted(order)
 
 
-def test_token_counts_equal_the_library(docs):
-    tokenizers = pytest.importorskip("public_tokenizers")
-    model = str(tokenizers.path("piece_bpe_32k.model"))
-    library = token_counts.transducer(model).library
-    want = Counter((i, len(t.encode()), len(library.encode(t))) for i, t in texts())
+def _library():
+    model = str(pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model"))
+    return model, pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=model)
+
+
+def test_token_counts_equal_the_library(spark, docs):
+    model, library = _library()
+    rows = [*texts(), (5, "twice " * 400), (5, "twice " * 400), (None, "é▁▁" * 300), (6, "abcdefgh" * 200)]
+    docs = docs.unionByName(spark.createDataFrame(rows[-4:], "doc_id long, text string"), allowMissingColumns=True)
+    want = Counter((i, len(t.encode()), len(library.encode(t))) for i, t in rows)
     for chunk in (7, 1 << 20):
         got = token_counts.token_counts(docs, model, chunk=chunk).collect()
         assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
 
 
+def test_transducer_equals_the_library_on_any_text_and_cuts(monkeypatch):
+    model, library = _library()
+    rng, machine = random.Random(3), token_counts.Transducer.of_model(model)
+    pieces = [library.id_to_piece(i) for i in range(259, 32000)]
+    letters = "aabcdeeeiilnorssttt   ▁\n\t\0.,'\"-_/01<>　ﬁé\u0301ßзж中文日本🙂\u200d\ufffd"
+    made = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    made += ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 25))).replace("▁", rng.choice(["", " "])) for _ in range(1500)]
+    made += ["<s>", "</s><unk>", "<0x0A>", " ", "▁", "   ", "a" * 500, "\n" * 50]
+    want = [len(ids) for ids in library.encode(made)]
+    assert [machine.count(t) for t in made] == want
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)  # the memory starts anew in the middle of texts
+    for text, n in zip(made[::7], want[::7], strict=True):
+        size = rng.choice([1, 2, 5, 17])
+        maps = [machine.chunk(text[i : i + size], i == 0) for i in range(0, len(text), size)]
+        while len(maps) > 1:  # any order of compositions
+            i = rng.randrange(len(maps) - 1)
+            maps[i : i + 2] = [machine.then(maps[i], maps[i + 1])]
+        assert not maps or (maps[0].head, maps[0].emitted) == ("", n)
+
+
 def test_suffix_tree_base_is_exact_and_scores_repeat(docs):
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
     got = suffix_tree.scores(docs, held).collect()
