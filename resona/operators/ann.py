@@ -63,12 +63,16 @@ def candidates(tracks: DataFrame, queries: DataFrame, crowded: int = CROWDED) ->
     return met.select("query_id", "id").distinct()
 
 
-def candidate_distances(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str) -> DataFrame:
+def candidate_distances(
+    model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, stored: DataFrame | None = None
+) -> DataFrame:
     """Exact distances of all pairs (query, track) that share a bucket in some table.
 
-    Queries without the feature, or with one of another width, have none; a list of any length is one plan.
+    Queries without the feature, or with one of another width, have none; a list of any length is one plan. `stored` is
+    the catalogue's index where it is kept beside it, so that its vectors are not projected again.
     """
-    pairs = candidates(index(model, catalogue, column), index(model, queries, column))
+    tracks = index(model, catalogue, column) if stored is None else stored.select("id", "table", "bucket")
+    pairs = candidates(tracks, index(model, queries, column))
     ours = catalogue.select("id", vectors.doubles(F.col(column)).alias("_track"))
     theirs = queries.select(F.col("id").alias("query_id"), vectors.doubles(F.col(column)).alias("_query"))
     both = pairs.join(ours, "id").join(theirs, "query_id")
@@ -76,9 +80,11 @@ def candidate_distances(model: Projections, catalogue: DataFrame, queries: DataF
     return far.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
 
-def approximate_top_k(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, k: int) -> DataFrame:
+def approximate_top_k(
+    model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, k: int, stored: DataFrame | None = None
+) -> DataFrame:
     """Candidates by buckets, ranked exactly."""
-    return ranking.top_k(candidate_distances(model, catalogue, queries, column), k, "distance")
+    return ranking.top_k(candidate_distances(model, catalogue, queries, column, stored), k, "distance")
 
 
 def approximate_nearest(model: Projections, catalogue: DataFrame, column: str, key: Sequence[float], k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from resona.plans.recommend import recommend_many
 from resona.session import cut_lineage
 from resona.sources import feature_text
 
+Rows = Callable[[DataFrame], DataFrame]
+
 
 def feature_lines(spark: SparkSession, folder: str, pattern: str, files_per_batch: int = 100) -> DataFrame:
     """New text files in a folder as a stream of lines with their path."""
@@ -26,7 +28,7 @@ def feature_lines(spark: SparkSession, folder: str, pattern: str, files_per_batc
 
 def ingest_new(
     stream: DataFrame, catalogue_path: str, checkpoint: str, quarantine_path: str | None = None, kind: str | None = None, id_col: str = "id",
-    width: int | None = None,
+    width: int | None = None, complete: Rows | None = None, beside: dict[str, Rows] | None = None,
 ) -> StreamingQuery:
     """Append rows whose id the catalogue does not have yet, then stop when all files are read.
 
@@ -35,6 +37,10 @@ def ingest_new(
     With `kind`, lines are parsed first and unreadable ones go to the quarantine. Files of a
     batch are written under its number, so a batch that runs again replaces its own output and
     does not take its earlier rows for known ones.
+
+    `complete` adds columns to the new rows before they are stored (factors of Gaussians). `beside` keeps further tables in
+    step, such as a bucket index: per folder a function of the stored new rows, written in the same micro-batch
+    under the same number, so that a batch that runs again replaces these rows too.
     """
     spark = stream.sparkSession
 
@@ -55,7 +61,10 @@ def ingest_new(
         known = _known_ids(spark, catalogue_path, id_col, number)
         if known is not None:
             rows = C.not_yet_done(rows, known, id_col)
-        rows.write.mode("overwrite").parquet(f"{catalogue_path}/batch={number}")
+        stored = f"{catalogue_path}/batch={number}"
+        (complete(rows) if complete else rows).write.mode("overwrite").parquet(stored)
+        for path, derived in (beside or {}).items():
+            derived(spark.read.parquet(stored)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (
         stream.writeStream.foreachBatch(append)

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from resona.functions import ids
+from resona.operators import ann, learn
 from resona.operators import catalogue as C
-from resona.operators import learn
 from resona.plans import catalogue as build
 from resona.session import use_checkpoint_dir
 from resona.sources import feature_text as T
 from resona.streaming import ingest
 from resona.operators.distances import features_of
+from resona.workload import evaluation as V
 from resona.workload import tables as B
 from resona.workload.tables import rounded, scaled_sql, table, top_sql
 
@@ -539,6 +540,26 @@ SQL["stream_score_queries"] = scaled_sql(["rp", "rh"], source="queries AS (SELEC
 )
 
 
+def stream_index(spark, sf_dir):
+    """Tracks arrive at a catalogue that has the even classes; the bucket index beside it answers for all of them."""
+    folder = _folder(spark)
+    catalogue, index = f"{folder}/catalogue", f"{folder}/index"
+    known = B.tracks(spark, sf_dir).select("id", "label", "rp").where("label % 2 = 0")
+    known.write.parquet(f"{catalogue}/batch=-1")
+    ann.index(V.WIDE, known, "rp").write.parquet(f"{index}/batch=-1")
+    raw = _stream(spark, sf_dir, "embeddings")
+    arriving = raw.select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("rp"))
+    beside = {index: lambda new: ann.index(V.WIDE, new, "rp")}
+    ingest.ingest_new(arriving, catalogue, f"{folder}/checkpoint", beside=beside).awaitTermination()
+    cat = spark.read.parquet(catalogue).drop("batch")
+    found = ann.approximate_top_k(V.WIDE, cat, B.query_list(cat), "rp", 10, spark.read.parquet(index))
+    return rounded(found, "distance")
+
+
+QUERIES["stream_keeps_index"] = stream_index
+SQL["stream_keeps_index"] = V.SQL["lsh_top_k"]
+
+
 def stream_dedup(spark, sf_dir):
     folder = _folder(spark)
     events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from resona.operators import ann, blocks, learn, neighbours
+from resona.operators import ann, blocks, learn, neighbours, pivots
 from resona.operators import distances as D
 from resona.operators.distances import FEATURES, features_of
 from resona.plans import evaluate as E
@@ -111,6 +111,18 @@ QUERIES["knn_concatenated_features"] = _knn("rh_bh", True)
 SQL["knn_concatenated_features"] = _knn_sql("list_concat(rh, bh)", 32, "WHERE c.id != q.id")
 
 
+def knn_every_track(spark, sf_dir):
+    """Six nearest others of every track: chunks whose boxes are near enough are compared, the answer is exact."""
+    found = pivots.cut(B.tracks(spark, sf_dir), "bh", 16, 6)
+    return rounded(pivots.nearest_of_all(found), "distance")
+
+
+QUERIES["knn_every_track"] = knn_every_track
+SQL["knn_every_track"] = f"""WITH {B.TRACKS_SQL}
+near AS (SELECT q.id AS query_id, c.id AS id, list_distance(c.bh, q.bh) AS distance FROM tracks c, tracks q WHERE c.id != q.id)
+""" + top_sql(6, "query_id, rank, id, round(distance, 6) AS distance", "distance", "near")
+
+
 def _centroids(cat):
     """Query vectors that are no tracks: the mean vector of each class."""
     mean = F.array(*[F.avg(F.col("rp")[i]) for i in range(64)])

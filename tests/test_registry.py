@@ -22,7 +22,7 @@ def test_entry(spark):
     assert df.columns[:4] == ["query_id", "rank", "id", "label"]
 
 
-@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "recommend_left_outer", "subset_of_size", "cover_evaluation", "build_catalogue", "beat_notes", "lsh_top_k", "genre_from_lists", "feature_text_round_trip"])
+@pytest.mark.parametrize("name", ["recommend_precise", "recommend_scaled_before_join", "recommend_left_outer", "subset_of_size", "cover_evaluation", "build_catalogue", "beat_notes", "lsh_top_k", "knn_every_track", "stream_keeps_index", "genre_from_lists", "feature_text_round_trip"])
 def test_some_match_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "documents", "lineitem"):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from resona.operators import ann, blocks, distances, neighbours, scaling
+from resona.operators import ann, blocks, distances, neighbours, pivots, scaling
 from resona.operators.distances import FEATURES, Feature, features_of
 from resona.operators.reuse import observed
 from resona.plans import evaluate, recommend, refine
@@ -357,3 +357,25 @@ def test_size_sweep(spark):
     _, df = small(spark)
     sizes = [(size, out.count()) for size, out in evaluate.size_sweep(df, df.filter("id = 't001'"), E, 100, 60, 25)]
     assert sizes == [(60, 60), (35, 35), (10, 10)]
+
+
+@pytest.mark.parametrize("clusters", [1, 12])
+def test_pruned_neighbours_equal_the_full_scan(spark, clusters):
+    centres = RNG.normal(size=(clusters, 6)) * 8
+    rows = [(i, (centres[i % clusters] + RNG.normal(size=6) * 0.2).tolist()) for i in range(900)]
+    rows += [(1000 + i, rows[0][1]) for i in range(9)]  # copies: ties at distance 0
+    good = spark.createDataFrame(rows, "id long, v array<double>")
+    bad = [(2000, None), (2001, [1.0]), (2002, [float("nan")] * 6), (2003, [float("inf")] * 6), (2004, [None] * 6)]
+    found = pivots.cut(good.union(spark.createDataFrame(bad, good.schema)), "v", 6, 4, pivots=24, chunk=32)
+    want = neighbours.nearest(good, good, "v", 4, standardised=False, skip_query=True)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(pivots.nearest_of_all(found)) == key(want)
+    row = pivots.compared(found).first()
+    assert row.tracks == 909 and (clusters == 1 or row.compared < 909**2 / 4)
+
+
+def test_pruned_neighbours_of_few_tracks(spark):
+    few = spark.createDataFrame([("a", [0.0]), ("b", [3.0])], "id string, v array<double>")
+    assert [tuple(r) for r in pivots.nearest_of_all(pivots.cut(few, "v", 1, 5)).orderBy("query_id").collect()] == [("a", 1, "b", 3.0), ("b", 1, "a", 3.0)]
+    none = pivots.cut(few.limit(0), "v", 1, 5)
+    assert pivots.nearest_of_all(none).collect() == [] and tuple(pivots.compared(none).first()) == (0, 0)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from resona.operators.distances import features_of
+from resona.operators import ann
+from resona.operators.distances import features_of, with_factors
 from resona.plans.recommend import recommend_many
 from resona.streaming import ingest
 
@@ -60,3 +61,29 @@ def test_dedup_on_arrival(spark, tmp_path):
     query = ingest.dedup_on_arrival(stream, "ts").writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["id"] for r in spark.table("arrived").collect()) == ["a", "b"]
+
+
+def test_index_and_factors_are_kept_up_by_the_stream(spark, sf, tmp_path):
+    inbox, catalogue, index = f"{tmp_path}/in", f"{tmp_path}/catalogue", f"{tmp_path}/index"
+    model = ann.projections(64, 0.4, 6)
+    vector = F.col("embedding").cast("array<double>")
+    gaussian = F.array(*[F.lit(v) for v in (0.0, 0.0, 2.0, 0.5, 0.5, 1.0)])
+    all_rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), vector.alias("rp"), gaussian.alias("mfcc"))
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(all_rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        ingest.ingest_new(
+            stream, catalogue, f"{tmp_path}/cp", complete=lambda new: with_factors(new, 2),
+            beside={index: lambda new: ann.index(model, new, "rp")},
+        ).awaitTermination()
+
+    arrive(all_rows.where("id % 2 = 0"))
+    arrive(all_rows.where("id % 2 = 1 or id < 20"))  # some are known already
+    stored, kept = spark.read.parquet(catalogue), spark.read.parquet(index)
+    assert stored.count() == all_rows.count() and stored.where("gaussian is null").count() == 0
+    rebuilt = ann.index(model, all_rows, "rp")
+    assert kept.count() == rebuilt.count() and rebuilt.exceptAll(kept.select(rebuilt.columns)).count() == 0
+    queries = all_rows.where("id < 5")
+    ours = ann.approximate_top_k(model, stored, queries, "rp", 5, kept)
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ann.approximate_top_k(model, all_rows, queries, "rp", 5).collect()))
