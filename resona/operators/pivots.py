@@ -4,7 +4,7 @@ A bounded set of pivots (a sample, spread by hash) is measured against every tra
 pivot (cell) and their distance to it, and packed into chunks; a chunk knows its box, the least and largest distance of its
 tracks to every pivot, and its reach, the largest distance of any of its tracks to its k-th neighbour inside the chunk.
 By the triangle inequality a chunk can hold a neighbour only if the boxes are no farther apart than the reach. That is a
-range join on the distance to the cell's pivot, done on bins of that distance, and then a test of the whole boxes; it meets
+range join on the distance to one pivot (the cell of the chunk's first track), done on bins of that distance, and then a test of the whole boxes; it meets
 narrow rows of chunks alone. Packed chunks come to the pairs that are left.
 
 The answer is exact whatever the pivots are; they decide only how many pairs are compared (`compared`).
@@ -49,14 +49,22 @@ def _numbers(catalogue: DataFrame, column: str, width: int, id_col: str) -> Data
     return rows.where((F.size("vector") == width) & vectors.all_numbers(F.col("vector")) & finite)
 
 
+def _parts(cells: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of up to `most` sorted tracks each; a chunk ends with its cell, but small cells go together."""
+    start = 0
+    for end in [*(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)]:
+        if end - start >= max(1, most // 4) or (end == len(cells) and end > start):
+            yield from np.array_split(np.arange(start, end), -(-(end - start) // most))
+            start = end
+
+
 def _packed(rows: DataFrame, pivots: int, k: int, most: int) -> DataFrame:
-    """Sorted rows as chunks of one cell each: cell, n, data, low, high, reach."""
+    """Sorted rows as chunks: cell (of the first track), n, data, low, high, reach."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column("cell").to_numpy()
-            runs = np.split(np.arange(len(cells)), np.flatnonzero(np.diff(cells)) + 1) if len(cells) else []
-            for part in (p for run in runs for p in np.array_split(run, -(-len(run) // most))):
+            for part in _parts(cells, most):
                 held = batch.slice(int(part[0]), len(part))
                 ids, vector = held.column("id"), held.column("vector")
                 to = held.column("to").flatten().to_numpy().reshape(len(part), pivots)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resona.functions import ids
-from resona.operators import ranking
+from resona.operators import pivots, ranking
 from resona.operators.catalogue import subset
 from resona.operators.distances import FEATURES, Feature, features_of
 from resona.plans.recommend import recommend, recommend_sets
@@ -125,6 +125,17 @@ def evaluate_covers(catalogue: DataFrame, queries: DataFrame, classes: DataFrame
     return cover_hits(with_classes(found, classes), classes, ks)
 
 
+def neighbours_of_all(catalogue: DataFrame, feature: Feature, width: int, k: int) -> DataFrame:
+    """The k nearest others of every track by one Euclidean feature, without comparing all pairs.
+
+    Scaling one feature doesn't change its order, so this is the ranking of `neighbours_by_set` with every track as a query.
+    """
+    if feature.metric != "euclidean":
+        raise ValueError("bounds by pivots need a Euclidean feature")
+    found = pivots.nearest_of_all(pivots.cut(catalogue, feature.column, width, k))
+    return found.select(F.lit(feature.name).alias("feature_set"), "query_id", "rank", "id", F.col("distance").alias("aggregated"))
+
+
 def evaluate_genres(catalogue: DataFrame, queries: DataFrame, classes: DataFrame, sets=None, k: int = 10) -> DataFrame:
     found = neighbours_by_set(catalogue, queries, sets or GENRE_SETS, k)
     return confusion(with_classes(found, classes))

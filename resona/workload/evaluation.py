@@ -284,6 +284,21 @@ SELECT feature_set, original, detected, count(*) AS n FROM found GROUP BY ALL"""
 _SMALL = {"mfcc": ["mfcc"], "rp_mfcc": ["rp", "mfcc"]}
 
 
+def every_track_evaluation(spark, sf_dir):
+    """Every track against all others by one feature: class pairs and hits among the first five."""
+    cat = B.tracks(spark, sf_dir)
+    found = E.neighbours_of_all(cat, FEATURES["rh"], 16, 5)
+    return E.pair_hits(E.with_classes(found, _classes(cat)), (1, 5))
+
+
+QUERIES["every_track_evaluation"] = every_track_evaluation
+SQL["every_track_evaluation"] = f"""WITH {B.TRACKS_SQL}
+near AS (SELECT q.label AS original, c.label AS detected, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(c.rh, q.rh), c.id) AS rank
+    FROM tracks q, tracks c WHERE c.id != q.id)
+SELECT 'rh' AS feature_set, original, detected, count(*) FILTER (rank <= 1) AS hits_1, count(*) AS hits_5
+FROM near WHERE rank <= 5 GROUP BY original, detected"""
+
+
 def _labelled(spark, sf_dir):
     cat = B.tracks(spark, sf_dir)
     return E.with_classes(E.neighbours_by_set(cat, cat, _SMALL, 10), _classes(cat))
