@@ -379,3 +379,13 @@ def test_pruned_neighbours_of_few_tracks(spark):
     assert [tuple(r) for r in pivots.nearest_of_all(pivots.cut(few, "v", 1, 5)).orderBy("query_id").collect()] == [("a", 1, "b", 3.0), ("b", 1, "a", 3.0)]
     none = pivots.cut(few.limit(0), "v", 1, 5)
     assert pivots.nearest_of_all(none).collect() == [] and tuple(pivots.compared(none).first()) == (0, 0)
+
+
+def test_every_track_by_pivots_equals_the_scaled_ranking(spark):
+    _, df = small(spark)
+    got = evaluate.neighbours_of_all(df, FEATURES["rh"], 5, 3)
+    want = evaluate.neighbours_by_set(df, df, {"rh": ["rh"]}, 3)
+    key = lambda rows: sorted((r.query_id, r["rank"], r.id) for r in rows.collect())
+    assert key(got) == key(want)
+    with pytest.raises(ValueError):
+        evaluate.neighbours_of_all(df, FEATURES["js"], 5, 3)
