@@ -499,8 +499,9 @@ QUERIES["svm_cross_validation"] = svm_cross_validation
 
 
 def _stream(spark, sf_dir, name):
+    """The table as a stream of files, be it one file or a folder of parts (a pattern meets both; a plain path of one file doesn't)."""
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def _folder(spark):

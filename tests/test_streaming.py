@@ -87,3 +87,16 @@ def test_index_and_factors_are_kept_up_by_the_stream(spark, sf, tmp_path):
     queries = all_rows.where("id < 5")
     ours = ann.approximate_top_k(model, stored, queries, "rp", 5, kept)
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, ann.approximate_top_k(model, all_rows, queries, "rp", 5).collect()))
+
+
+def test_a_table_is_a_stream_as_one_file_and_as_a_folder_of_parts(spark, sf, tmp_path):
+    from resona.workload import cataloguing, registry
+
+    registry.ship(spark)
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").limit(40)
+    rows.repartition(3).write.parquet(f"{tmp_path}/parts/embeddings.parquet")
+    (tmp_path / "file").mkdir()
+    rows.toPandas().to_parquet(f"{tmp_path}/file/embeddings.parquet")
+    for kind in ("parts", "file"):
+        found = cataloguing.stream_score(spark, f"{tmp_path}/{kind}")
+        assert found.count() == 120 and found.select("query_id").distinct().count() == 40
