@@ -8,15 +8,18 @@ no task gets a whole crowded bucket. Vectors come to the distinct pairs afterwar
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from resona.functions import vectors
-from resona.operators import ranking
+from resona.operators import blocks, ranking, screen
+from resona.operators.distances import Feature
 
 #: Tracks of a bucket that are joined in one place.
 CROWDED = 2048
@@ -94,12 +97,66 @@ def approximate_nearest(model: Projections, catalogue: DataFrame, column: str, k
     return approximate_top_k(model, catalogue, one, column, k).drop("query_id")
 
 
+def _with_buckets(model: Projections, rows: DataFrame, column: str) -> DataFrame:
+    """(id, column, _buckets): vectors with the buckets of all rows of their id, an array per table (one bucket, if ids are unique)."""
+    good = rows.filter(vectors.all_numbers(F.col(column)) & (F.size(column) == len(model.directions[0])))
+    good = good.select("id", vectors.doubles(F.col(column)).alias(column))
+    of_id = good.select("id", model.buckets(column).alias("b")).groupBy("id").agg(F.collect_set("b").alias("_buckets"))
+    return good.join(of_id, "id")
+
+
+def _shares_bucket(tracks: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Of pairs with their buckets (pairs, rows of the id, tables), those with a common bucket in some table."""
+    hit = np.zeros(len(tracks), bool)
+    for a in range(tracks.shape[1]):
+        for b in range(queries.shape[1]):
+            hit |= (tracks[:, a] == queries[:, b]).any(axis=1)
+    return hit
+
+
+def _buckets(rows: screen.Rows, tables: int) -> np.ndarray:
+    """(rows, most rows of an id, tables); ids with fewer rows repeat their first."""
+    lists = rows.column("_buckets")
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, tables)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.max(initial=0))[None, :]
+    return flat[starts[:, None] + np.where(place < lengths[:, None], place, 0)]
+
+
 def similarity_join(model: Projections, catalogue: DataFrame, queries: DataFrame, column: str, threshold: float) -> DataFrame:
     """Pairs (query, track) that share a bucket and are no farther apart than the threshold.
 
-    `queries` may be of any length, also the catalogue itself.
+    `queries` may be of any length, also the catalogue itself: narrow buckets that many pairs share are no list of candidates. Packed
+    blocks meet packed chunks, a bound of the distance leaves few pairs, and these are tested for a common bucket and measured.
     """
-    return candidate_distances(model, catalogue, queries, column).filter(F.col("distance") <= threshold)
+    tracks = _with_buckets(model, catalogue, column)
+    asked = _with_buckets(model, queries, column).withColumnRenamed("id", "query_id")
+    feature, tables = Feature(column, "euclidean", column), len(model.directions)
+    schema = T.StructType([T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", catalogue.schema["id"].dataType)])
+    schema = schema.add("distance", "double")
+    limit = np.float32(max(threshold, 0.0) ** 2 * (1 + 1e-6))
+
+    def near(met: blocks.Met) -> Iterator[pa.RecordBatch]:
+        for chunk, _, block in met:
+            for piece in screen.pieces([feature], chunk, block):
+                cells = piece.cells[0]
+                close = cells.least <= limit if isinstance(cells, screen.Bounds) else cells <= threshold
+                if piece.usable[0] is not None:
+                    close &= piece.usable[0]
+                track, query = np.nonzero(close)
+                ours, theirs = (r.once("buckets", lambda: _buckets(r, tables)) for r in (chunk, block))
+                for at in range(0, len(track), screen.MEASURED):
+                    t, q = track[at : at + screen.MEASURED], query[at : at + screen.MEASURED]
+                    d = piece.measured(0, t, q)
+                    held = (d <= threshold) & _shares_bucket(ours[t + piece.at], theirs[q])
+                    ids = [block.column("query_id").take(pa.array(q[held])), chunk.column("id").take(pa.array(t[held] + piece.at))]
+                    if held.any():
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(d[held])], schema.names)
+
+    sizes = tuple(blocks.estimated_bytes(x.select("id", column)) for x in (catalogue, queries))
+    pairs = blocks.meet(tracks, asked, near, schema, sizes[1] > blocks.SENT_BYTES, sizes=sizes)
+    return pairs.groupBy("query_id", "id").agg(F.min("distance").alias("distance"))
 
 
 def recall_at_k(approximate: DataFrame, exact: DataFrame) -> DataFrame:

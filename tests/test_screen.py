@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from resona.functions import kernels
-from resona.operators import blocks
+from resona.operators import ann, blocks
 from resona.operators.distances import features_of
 from resona.plans import recommend
 
@@ -58,3 +59,14 @@ def test_tiles_and_bounds_rank_like_all_exact_distances(odd, mode, monkeypatch):
         assert key(many) == want
         plan = many._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and ("CoGroup" in plan) == (sent == 0)
+
+
+def test_similarity_join_equals_the_join_of_candidates(odd, monkeypatch):
+    """Also with a repeated id whose rows differ, and with long lists; no list of candidates is shuffled."""
+    model = ann.projections(5, 0.4, 2)
+    rows = odd.select("id", "rh").union(odd.where("id = 7").select(F.lit(20).cast("long"), "rh"))
+    key = lambda df: sorted((r.query_id, r.id, round(r.distance, 9)) for r in df.collect())
+    want = key(ann.candidate_distances(model, rows, rows, "rh").where("distance <= 1.9"))
+    for sent in (0, 1 << 64):
+        monkeypatch.setattr(blocks, "SENT_BYTES", sent)
+        assert key(ann.similarity_join(model, rows, rows, "rh", 1.9)) == want
