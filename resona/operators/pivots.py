@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resona.functions import vectors
-from resona.operators import blocks, ranking
+from resona.operators import blocks, ranking, screen
 from resona.operators import distances as D
 from resona.session import cut_lineage
 
@@ -147,17 +147,34 @@ def compared(found: Cut) -> DataFrame:
 
 def nearest_of_all(found: Cut) -> DataFrame:
     """The k nearest other tracks of every track by L2: (query_id, rank, id, distance)."""
-    tracks = found.chunks.select("chunk", F.col("data").alias("tracks"))
-    asked = found.chunks.select(F.col("chunk").alias("asked"), F.col("data").alias("queries"))
-    together = found.pairs.join(tracks, "chunk").join(asked, "asked")
-    together = together.select("tracks", F.col("asked").alias("queries_key"), "queries")
-
-    def score(pair: blocks.Pair) -> Iterator[tuple[str, np.ndarray, int]]:
-        out = D.block_distances(_VECTOR, pair.tracks.column("vector"), pair.batch.of(_VECTOR))
-        ids, asked = (b.column(c).to_numpy(zero_copy_only=False) for b, c in ((pair.tracks, "id"), (pair.queries, "query_id")))
-        out[ids[:, None] == asked[None, :]] = np.inf
-        yield "nearest", out, 0
-
+    # chunks and asked chunks meet in tiles: data is sent once per tile that needs it, not once per pair
+    ours, theirs = blocks.TRACK_PARTS, blocks.QUERY_PARTS
+    part = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    tile = (part("chunk", ours) * theirs + part("asked", theirs)).alias("tile")
+    wanted = found.pairs.select(tile, "asked", "chunk")
+    lists = wanted.groupBy("tile", "asked").agg(F.collect_list("chunk").alias("chunks"))
+    asked = lists.join(found.chunks.select(F.col("chunk").alias("asked"), F.col("data").alias("queries")), "asked")
+    tracks = wanted.select("tile", "chunk").distinct().join(found.chunks.select("chunk", F.col("data").alias("tracks")), "chunk")
     schema = T.StructType([T.StructField("_list", T.StringType()), T.StructField("query_id", found.id_type), T.StructField("id", found.id_type)])
-    partial = blocks.best_of(together, ["vector"], [], ["nearest"], found.k, schema.add("distance", "double"), score)
+    schema = schema.add("distance", "double")
+
+    def best(met: blocks.Met) -> Iterator[pa.RecordBatch]:
+        leaders = screen.Leaders(["nearest"], found_k, schema)
+        for chunk, key, block in met:
+            if key not in leaders.held and leaders.queries > blocks.HELD_QUERIES:
+                yield from leaders.rows()
+            front = leaders.of(key, block, chunk)["nearest"]
+            for piece in screen.pieces([_VECTOR], chunk, block):
+                cells = piece.cells[0]
+                least = np.sqrt(np.maximum(cells.least, np.float32(0))) if isinstance(cells, screen.Bounds) else cells.astype(np.float32)
+                ids = chunk.numbers("id")[piece.at : piece.at + len(least)]
+                ok = ids[:, None] != block.numbers("query_id")[None, :]
+                ok = ok if piece.usable[0] is None else ok & piece.usable[0]
+                screen.offer(front, least, ok, 1.0, np.zeros(len(block)), 0.0, lambda t, q: piece.measured(0, t, q), ids)
+        yield from leaders.rows()
+
+    found_k = found.k
+    tiles = ours * theirs
+    asked, tracks = asked.select("tile", "queries", "chunks"), tracks.select((F.col("tile") + 0).alias("tile"), "chunk", "tracks")  # columns of their own
+    partial = blocks.beside(tracks.repartition(tiles, "tile"), asked.repartition(tiles, "tile"), best, schema)
     return ranking.top_k(partial, found.k, "distance").select("query_id", "rank", "id", "distance")

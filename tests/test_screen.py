@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import kernels
-from resona.operators import ann, blocks
+from resona.operators import ann, blocks, pivots
 from resona.operators.distances import features_of
 from resona.plans import recommend
 
@@ -70,3 +70,17 @@ def test_similarity_join_equals_the_join_of_candidates(odd, monkeypatch):
     for sent in (0, 1 << 64):
         monkeypatch.setattr(blocks, "SENT_BYTES", sent)
         assert key(ann.similarity_join(model, rows, rows, "rh", 1.9)) == want
+
+
+def test_neighbours_of_all_send_a_chunk_once_per_tile(odd):
+    """Chunks go to the tiles, not to each of their pairs."""
+    found = pivots.cut(odd.dropDuplicates(["id"]), "rh", 5, 3, pivots=8, chunk=8)
+    plan = pivots.nearest_of_all(found)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan
+    got = sorted((r.query_id, r["rank"], r.id) for r in pivots.nearest_of_all(found).collect())
+    rows = {r.id: np.array(r.rh) for r in odd.select("id", "rh").dropDuplicates(["id"]).collect()}
+    want = []
+    for q, v in rows.items():
+        near = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows.items() if i != q)[:3]
+        want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
+    assert got == sorted(want)
