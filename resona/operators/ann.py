@@ -144,7 +144,7 @@ def similarity_join(model: Projections, catalogue: DataFrame, queries: DataFrame
                 close = cells.least <= limit if isinstance(cells, screen.Bounds) else cells <= threshold
                 if piece.usable[0] is not None:
                     close &= piece.usable[0]
-                track, query = np.nonzero(close)
+                track, query = screen.places(close)
                 ours, theirs = (r.once("buckets", lambda: _buckets(r, tables)) for r in (chunk, block))
                 for at in range(0, len(track), screen.MEASURED):
                     t, q = track[at : at + screen.MEASURED], query[at : at + screen.MEASURED]
