@@ -380,7 +380,8 @@ def _found(tree: Tree, probes: DataFrame, blocks: DataFrame, same: bool, k: int)
                 columns = [np.frombuffer(key, np.int64)[a], a_ids[a], slots[a, j], ids[b], score]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["key", "anchor", "slot", "id", "score"])
 
-    pairs = blocks.join(probes, "leaf").select("n", "ids", "labels", "vectors", *list(_PROBE)[1:])
+    # both are shuffled: a probe has no size that Spark could estimate, it takes that of the anchors for it, a fraction
+    pairs = blocks.join(probes.hint("merge"), "leaf").select("n", "ids", "labels", "vectors", *list(_PROBE)[1:])
     return pairs.mapInArrow(compare, "key long, anchor long, slot long, id long, score long")
 
 
@@ -413,9 +414,10 @@ def mined(rows: DataFrame, is_anchor: Column, n_positives: int = 5, n_negatives:
         F.col("vector").cast("array<long>").alias("vector"), F.coalesce(is_anchor, F.lit(False)).alias("anchor"),
     )
     width = whole.agg(F.max(F.size("vector"))).first()[0] or 0
-    sampled = whole.select("id", "label", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
-    ids, labels = (sampled[c].to_numpy(np.int64) for c in ("id", "label"))
-    tree = build(ids, labels, matrix([list(x) for x in sampled["vector"]], width))
+    # as Arrow: the first rows of all tasks meet in one task, the driver gets SAMPLE rows and not as many from each task
+    sampled = whole.select("id", "label", "vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
+    ids, labels = (sampled[c].to_numpy() for c in ("id", "label"))
+    tree = build(ids, labels, matrix(sampled["vector"].combine_chunks(), width))
     _measured(whole, tree)
 
     dealt = _dealt(whole, tree)

@@ -55,6 +55,25 @@ def test_hard_negatives_of_few_rows_and_of_large_numbers(spark):
         assert got == brute_negatives(rows) and len(got) >= least
 
 
+def test_probes_are_shuffled_and_one_task_sends_the_sample(spark, monkeypatch):
+    """Anchors of a few KB become probes of many times that, which Spark would send to all tasks through the driver."""
+    draw = np.random.default_rng(7)
+    rows = [(i, int(draw.integers(3)), [int(x) for x in draw.integers(-99, 99, 8)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, vector array<long>").repartition(6)
+    kept, found, sent = hard_negatives._found, [], []
+    monkeypatch.setattr(hard_negatives, "_found", lambda *a: found.append(kept(*a)) or found[-1])
+    arrow = type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: sent.append(self) or arrow(self))
+    hard_negatives.mined(df, F.col("vec_id") % 50 == 0)
+    for frame in found:
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan
+        # the windows' join is of lists of bounded size, below the probes
+        assert "SortMergeJoin [leaf" in plan and "BroadcastHashJoin [leaf" not in plan
+    assert len(found) == 2 and len(sent) == 1 and sent[0].count() == 600
+
+
 def test_a_node_eliminates_only_leaves_without_hits():
     rnd = np.random.RandomState(5)
     centres = rnd.randint(-200, 200, (12, 16))
