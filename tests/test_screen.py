@@ -1,11 +1,12 @@
 """Bounded comparison of all pairs, tiles and edit distances, against plain ones."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from resona.functions import kernels
-from resona.operators import ann, blocks, pivots
+from resona.operators import ann, blocks, distances, pivots, scaling, screen
 from resona.operators.distances import features_of
 from resona.plans import recommend
 
@@ -84,3 +85,85 @@ def test_neighbours_of_all_send_a_chunk_once_per_tile(odd):
         near = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows.items() if i != q)[:3]
         want += [(q, rank, i) for rank, (_, i) in enumerate(near, 1)]
     assert got == sorted(want)
+
+
+def _gaussians(draw, n, spread):
+    out = []
+    for _ in range(n):
+        a = draw.normal(size=(2, 2)) * 10.0 ** draw.uniform(-1, spread)
+        out.append([*(draw.normal(size=2) * 10.0**spread).tolist(), *(a @ a.T + 0.01 * np.eye(2)).ravel().tolist()])
+    return out
+
+
+@pytest.mark.parametrize("spread", [0, 1])
+def test_products_bound_divergences_and_chroma(spread):
+    """Bounds hold, what is measured are the numbers of the plain comparison, extremes are the same; also beyond the largest distance."""
+    draw = np.random.default_rng(11 + spread)
+
+    def rows(n, key):
+        chroma = [np.abs(draw.normal(size=12 * int(b))).tolist() for b in draw.integers(1, 9, n)]
+        columns = {"mfcc": _gaussians(draw, n, spread), "chroma": chroma}
+        if key == "id":
+            columns["mfcc"][2:5] = [None, [0.0] * 6, [float("nan")] * 6]
+            columns["chroma"][2:5] = [None, [1.0] * 13, [float("nan")] * 12]
+        columns["mfcc"][7], columns["chroma"][7] = columns["mfcc"][6], columns["chroma"][6]
+        kind = pa.list_(pa.float64())
+        return screen.Rows(pa.RecordBatch.from_pydict({key: pa.array(range(n)), **{c: pa.array(v, kind) for c, v in columns.items()}}))
+
+    tracks, queries = rows(300, "id"), rows(40, "query_id")
+    for name in ("js", "skl", "chroma"):
+        feature = features_of([name])[0]
+        want = distances.block_distances(feature, tracks.column(feature.column), queries.values(feature.column))
+        low, high = np.full(40, np.inf), np.full(40, -np.inf)
+        for piece in screen.pieces([feature], tracks, queries):
+            cells, part = piece.cells[0], want[piece.at : piece.at + 300]
+            good = np.isfinite(part) & (part <= (feature.max_distance or np.inf))
+            assert isinstance(cells, screen.Bounds) and (piece.complete() == good).all()
+            with np.errstate(invalid="ignore"):
+                gap = np.where(good, cells.key(np.where(good, part, 0.0)) - cells.least, 0.0)
+            assert (gap >= 0).all() and (gap <= cells.error + cells.relative * np.abs(cells.least)).all()
+            track, query = np.nonzero(good)
+            np.testing.assert_allclose(cells.measured(track, query), part[track, query], rtol=0 if name != "chroma" else 1e-9, atol=1e-12)
+            screen.widen(piece, piece.complete(), 0, low, high)
+        good = np.isfinite(want) & (want <= (feature.max_distance or np.inf))
+        np.testing.assert_allclose(low, np.where(good, want, np.inf).min(axis=0), rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(high, np.where(good, want, -np.inf).max(axis=0), rtol=1e-9, atol=1e-12)
+
+
+def test_mixtures_too_flat_for_products_are_compared_exactly():
+    rows = [[0.0, 0.0, 1e-9, 0.0, 0.0, 1e-9], [3e4, 3e4, 1e-9, 0.0, 0.0, 1e-9]]
+    tracks = screen.Rows(pa.RecordBatch.from_pydict({"mfcc": pa.array(rows, pa.list_(pa.float64()))}))
+    for feature in features_of(["js", "skl"]):
+        assert all(not isinstance(p.cells[0], screen.Bounds) for p in screen.pieces([feature], tracks, tracks))
+
+
+def test_a_ranking_of_many_sets_is_that_of_exact_distances(spark, monkeypatch):
+    """All eight features by sets, with copies, missing values and far Gaussians, in tiles."""
+    draw = np.random.default_rng(13)
+    rows = []
+    for i, g in enumerate(_gaussians(draw, 90, 1)):
+        v = draw.normal(size=6).tolist()
+        chroma = np.abs(draw.normal(size=12 * int(draw.integers(2, 6)))).tolist()
+        rows.append((i, v, v[:3], v[3:], g, "".join(draw.choice(list("ABCD"), int(draw.integers(0, 70)))), chroma))
+    rows[4] = (4, *rows[4][1:4], None, *rows[4][5:])
+    rows[9] = (9, *rows[9][1:6], None)
+    rows += [(100, *rows[20][1:]), (101, *rows[20][1:])]
+    kinds = "id long, rp array<double>, rh array<double>, bh array<double>, mfcc array<double>, notes string, chroma array<double>"
+    cat = spark.createDataFrame(rows, kinds).coalesce(3).localCheckpoint()
+    monkeypatch.setattr(blocks, "TRACK_PARTS", 2)
+    monkeypatch.setattr(blocks, "QUERY_PARTS", 2)
+    monkeypatch.setattr(blocks, "SENT_BYTES", 0)
+    sets = {"one": ["chroma"], "two": ["js", "skl"], "notes": ["notes", "rp"]}
+    names = ["chroma", "js", "skl", "notes", "rp"]
+    got = recommend.recommend_sets(cat, cat, features_of(names), sets, 7).collect()
+    every = blocks.distance_rows(cat, cat, features_of(names))
+    scaled = scaling.scale_rows(every, features_of(names), "after_join", "drop").collect()
+    for name, members in sets.items():
+        lists = {}
+        for r in scaled:
+            lists.setdefault(r.query_id, []).append((round(sum(r[f"scaled_{m}"] for m in members) / len(members), 9), r.id))
+        want = {q: sorted(x)[:7] for q, x in lists.items()}
+        found = {}
+        for r in sorted((r for r in got if r.feature_set == name), key=lambda r: r["rank"]):
+            found.setdefault(r.query_id, []).append((round(r.aggregated, 9), r.id))
+        assert {q: sorted(x) for q, x in found.items()} == want
